@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op4_minhash_near_dedup": near_dedup.query,
     }
 
 
