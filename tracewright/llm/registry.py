@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import near_dedup, piece_codec, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op4_minhash_near_dedup": near_dedup.query,
+        "op9_sentencepiece": piece_codec.query,
     }
 
 
