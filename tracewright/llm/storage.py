@@ -14,6 +14,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 100_000
 
 _own: list[str] = []
 
@@ -46,6 +49,15 @@ def drop(table: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def if_small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``rows`` rows.
+
+    Beyond that the join shuffles, and adaptive execution splits its hot keys.
+    For tables whose rows are short.
+    """
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files of finished plans now.
 
