@@ -10,15 +10,18 @@
 2. *Classes.*  Documents with the same shingle set are one class, which from
    here on is one row however many copies it has.
 3. *Banding.*  ``bands`` groups of ``rows`` components are hashed into buckets.
-   With 24 bands of 4 a pair at similarity 0.8 shares no bucket with
-   probability (1 - 0.8**4)**24 = 3e-6.
+   With 38 bands of 6 a pair at similarity 0.8 shares no bucket with probability
+   (1 - 0.8**6)**38 = 1e-5, and one at 0.2 shares some with 0.2 per cent.
 4. *First links.*  In each bucket every class is paired with the least class of
-   the bucket; each class keeps the partner whose signature agrees best.  These
-   pairs are verified on the full shingle sets of the whole texts.
-5. *Remaining links.*  In buckets that still hold several components, classes of
-   different components are paired, and all of these pairs whose signatures do
-   not rule out the threshold are verified too.  Pairs inside one component need
-   no test, since the result is reachability.
+   the bucket.  Pairs that sizes and signatures do not rule out are verified on
+   the full shingle sets of the whole texts.
+5. *Remaining links.*  Buckets that still hold several components are searched
+   in blocks: the classes outside the bucket's largest component against all of
+   its classes, by signature, each pair only in the first bucket that it shares.
+   All pairs of different components that are not ruled out are verified too.
+   Pairs inside one component need no test, since the result is reachability.
+   A block has a bounded number of classes, however large the bucket is, and
+   emits only what passes.
 6. *Grouping.*  Verified links are grouped by union-find over Spark joins.
 
 Signatures rule a pair out where fewer than ``threshold - slack`` of the
@@ -42,7 +45,7 @@ from .storage import materialize, release
 from .substring_dedup import text_key
 from .textblocks import Words, blocks, mix64, ranges, signed
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SLACK = 4, 0.8, 24, 4, 0.18
+SHINGLE, THRESHOLD, BANDS, ROWS, SLACK, BLOCK = 4, 0.8, 38, 6, 0.12, 512
 _GOLDEN = 0x9E3779B97F4A7C15
 _ODD = np.uint64(_GOLDEN)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -119,8 +122,9 @@ def _signatures(width: int, bands: int, rows: int):
                     *(pa.array(signed(x)) for x in print_),
                     pa.array(list(signed(bucket))) if len(size) else pa.array([], pa.list_(pa.int64())),
                     pa.array([x.tobytes() for x in (signature & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                    pa.array([x.tobytes() for x in (bucket & _LOW).astype(np.uint32)], pa.binary()),
                 ],
-                ["doc_id", "k0", "k1", "n_shingles", "cid", "f1", "buckets", "sig"],
+                ["doc_id", "k0", "k1", "n_shingles", "cid", "f1", "buckets", "sig", "mark"],
             )
 
     return run
@@ -135,6 +139,47 @@ def _agree(batches):
         yield pa.record_batch([*batch.columns[:2], pa.array((a == b).mean(axis=1))], ["a", "b", "est"])
 
 
+def _search_blocks(bands: int, least: float, ratio: float):
+    """Pairs of different components of each block, at the first bucket they share.
+
+    Rows come sorted by block; ``query`` rows are compared with all others.
+    """
+
+    def pairs(t: pa.Table):
+        query = t.column("query").to_numpy()
+        cid, label, n, band = (t.column(x).to_numpy() for x in ("cid", "label", "n", "band"))
+        sig, mark = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("sig", np.uint8), ("mark", np.uint32)))
+        rest = np.flatnonzero(~query)
+        out = [[], []]
+        for i in np.flatnonzero(query):
+            other = rest[label[rest] != label[i]]
+            other = other[np.minimum(n[other], n[i]) >= ratio * np.maximum(n[other], n[i])]
+            other = other[(sig[other] == sig[i]).mean(axis=1) >= least]
+            other = other[(mark[other, : band[i]] != mark[i, : band[i]]).all(axis=1)]
+            out[0].append(np.minimum(cid[other], cid[i]))
+            out[1].append(np.maximum(cid[other], cid[i]))
+        both = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in out]), axis=1)
+        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if held and block[x] != key:
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(x, y - x))
+                key = block[x]
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 def _verify(width: int, threshold: float):
     percent = round(100 * threshold)
 
@@ -161,7 +206,7 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
     sig = keyed.mapInArrow(
         _signatures(width, bands, rows),
-        "doc_id long, k0 long, k1 long, n_shingles long, cid long, f1 long, buckets array<long>, sig binary",
+        "doc_id long, k0 long, k1 long, n_shingles long, cid long, f1 long, buckets array<long>, sig binary, mark binary",
     )
     sig = materialize(sig, "signatures")
     filled = sig.where("n_shingles > 0")
@@ -171,11 +216,12 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
         F.first("n_shingles").alias("n"),
         F.first("buckets").alias("buckets"),
         F.first("sig").alias("sig"),
+        F.first("mark").alias("mark"),
     )
     classes = materialize(classes, "classes")
     release(docs.sparkSession)
 
-    in_bucket = classes.select("cid", F.explode("buckets").alias("bucket"))
+    in_bucket = classes.select("cid", F.posexplode("buckets").alias("band", "bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
     members = materialize(in_bucket.join(shared, "bucket"), "members")
     signatures = classes.select("cid", "sig", "n")
@@ -188,8 +234,7 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
         return near.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, est double").where(F.col("est") >= threshold - slack)
 
     stars = members.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    first = compared(stars).groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
-    first = materialize(first.select("a", "b"), "first-pairs")
+    first = materialize(compared(stars).select("a", "b"), "first-pairs")
 
     wanted = members.join(classes.select("cid", "key"), "cid").select("cid", "key.k0", "key.k1").distinct()
     texts = keyed.select("k0", "k1", "text").join(wanted, ["k0", "k1"]).select("cid", "text")
@@ -205,14 +250,24 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     release(docs.sparkSession)
     groups = connected_components(links)
 
-    label = members.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "bucket", F.coalesce("component", "cid").alias("label"))
-    label = materialize(label, "labelled")
-    mixed = label.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    open_ = label.join(mixed, "bucket")
-    x = open_.select("bucket", F.col("cid").alias("a"), F.col("label").alias("la"))
-    y = open_.select("bucket", F.col("cid").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, "bucket").where("la < lb").select("a", "b").distinct()
-    more = materialize(verified(compared(across).select("a", "b")), "more-links")
+    label = members.select("bucket", "band", "cid").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+    label = materialize(label.select("cid", "bucket", "band", F.coalesce("component", "cid").alias("label")), "labelled")
+    counts = label.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    open_ = label.join(mixed.where("labels > 1").drop("labels"), "bucket").join(classes.select("cid", "n", "sig", "mark"), "cid")
+    parts = F.ceil(F.col("members") / BLOCK)
+    own = F.pmod(F.xxhash64("cid", "bucket"), parts)
+    every = F.sequence(F.lit(0).cast("long"), parts - 1)
+    ask = open_.where(F.col("label") != F.col("main")).withColumn("query", F.lit(True)).withColumn("q", own).withColumn("r", F.explode(every))
+    answer = open_.withColumn("query", F.lit(False)).withColumn("r", own)
+    asking = ask.select("bucket", "q").distinct()
+    answer = answer.join(asking, "bucket")
+    block = F.xxhash64("bucket", "q", "r").alias("block")
+    wanted_columns = (block, "query", "cid", "label", "n", "band", "sig", "mark")
+    sought = ask.select(*wanted_columns).unionByName(answer.select(*wanted_columns))
+    sought = sought.repartition("block").sortWithinPartitions("block")
+    across = sought.mapInArrow(_search_blocks(bands, threshold - slack, threshold), "a long, b long").distinct()
+    more = materialize(verified(across), "more-links")
     release(docs.sparkSession)
     groups = connected_components(links.unionByName(more))
 
