@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import near_dedup, piece_codec, substring_dedup
+from . import line_dedup, mixing, near_dedup, piece_codec, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
+        "op2_mix": mixing.query,
         "op4_minhash_near_dedup": near_dedup.query,
+        "op5_line_dedup": line_dedup.query,
         "op9_sentencepiece": piece_codec.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mix": mixing.ORACLE,
+        "op5_line_dedup": line_dedup.ORACLE,
+    }
