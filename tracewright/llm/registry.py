@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, piece_codec, substring_dedup
+from . import audio, line_dedup, mixing, near_dedup, piece_codec, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.query,
         "op2_mix": mixing.query,
+        "op3_hilbert_shards": sharding.query,
         "op4_minhash_near_dedup": near_dedup.query,
         "op5_line_dedup": line_dedup.query,
+        "op6_audio_features": audio.query,
         "op9_sentencepiece": piece_codec.query,
     }
 
