@@ -139,9 +139,11 @@ def _agree(batches):
         yield pa.record_batch([*batch.columns[:2], pa.array((a == b).mean(axis=1))], ["a", "b", "est"])
 
 
-def _search_blocks(bands: int, least: float, ratio: float):
+def _search_blocks(least: float, ratio: float, best: bool):
     """Pairs of different components of each block, at the first bucket they share.
 
+    With ``best`` only the pair with the most agreement of every two components.
+
     Rows come sorted by block; ``query`` rows are compared with all others.
     """
 
@@ -150,15 +152,24 @@ def _search_blocks(bands: int, least: float, ratio: float):
         cid, label, n, band = (t.column(x).to_numpy() for x in ("cid", "label", "n", "band"))
         sig, mark = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("sig", np.uint8), ("mark", np.uint32)))
         rest = np.flatnonzero(~query)
-        out = [[], []]
+        out = [[], [], [], [], []]
         for i in np.flatnonzero(query):
             other = rest[label[rest] != label[i]]
             other = other[np.minimum(n[other], n[i]) >= ratio * np.maximum(n[other], n[i])]
-            other = other[(sig[other] == sig[i]).mean(axis=1) >= least]
-            other = other[(mark[other, : band[i]] != mark[i, : band[i]]).all(axis=1)]
-            out[0].append(np.minimum(cid[other], cid[i]))
-            out[1].append(np.maximum(cid[other], cid[i]))
-        both = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in out]), axis=1)
+            agree = (sig[other] == sig[i]).sum(axis=1)
+            new = (agree >= least * sig.shape[1]) & (mark[other, : band[i]] != mark[i, : band[i]]).all(axis=1)
+            other, agree = other[new], agree[new]
+            found = (cid[other], np.full(len(other), cid[i]), label[other], np.full(len(other), label[i]), agree)
+            for column, values in zip(out, found, strict=True):
+                column.append(values)
+        a, b, la, lb, agree = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+        a, b, la, lb = np.minimum(a, b), np.maximum(a, b), np.minimum(la, lb), np.maximum(la, lb)
+        if best and len(a):
+            order = np.lexsort((b, a, -agree, lb, la))
+            a, b, la, lb = a[order], b[order], la[order], lb[order]
+            first = np.append(True, (la[1:] != la[:-1]) | (lb[1:] != lb[:-1]))
+            a, b = a[first], b[first]
+        both = np.unique(np.stack([a, b]), axis=1)
         return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches):
@@ -248,28 +259,30 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
 
     links = materialize(verified(first), "links")
     release(docs.sparkSession)
-    groups = connected_components(links)
-
-    label = members.select("bucket", "band", "cid").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
-    label = materialize(label.select("cid", "bucket", "band", F.coalesce("component", "cid").alias("label")), "labelled")
-    counts = label.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    open_ = label.join(mixed.where("labels > 1").drop("labels"), "bucket").join(classes.select("cid", "n", "sig", "mark"), "cid")
-    parts = F.ceil(F.col("members") / BLOCK)
-    own = F.pmod(F.xxhash64("cid", "bucket"), parts)
-    every = F.sequence(F.lit(0).cast("long"), parts - 1)
-    ask = open_.where(F.col("label") != F.col("main")).withColumn("query", F.lit(True)).withColumn("q", own).withColumn("r", F.explode(every))
-    answer = open_.withColumn("query", F.lit(False)).withColumn("r", own)
-    asking = ask.select("bucket", "q").distinct()
-    answer = answer.join(asking, "bucket")
-    block = F.xxhash64("bucket", "q", "r").alias("block")
-    wanted_columns = (block, "query", "cid", "label", "n", "band", "sig", "mark")
-    sought = ask.select(*wanted_columns).unionByName(answer.select(*wanted_columns))
-    sought = sought.repartition("block").sortWithinPartitions("block")
-    across = sought.mapInArrow(_search_blocks(bands, threshold - slack, threshold), "a long, b long").distinct()
-    more = materialize(verified(across), "more-links")
-    release(docs.sparkSession)
-    groups = connected_components(links.unionByName(more))
+    groups = materialize(connected_components(links), "groups")
+
+    def across(groups: DataFrame, best: bool) -> DataFrame:
+        """Pairs of classes of different groups that share a bucket and are not ruled out."""
+        label = members.select("bucket", "band", "cid").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+        label = materialize(label.select("cid", "bucket", "band", F.coalesce("component", "cid").alias("label")), "labelled")
+        counts = label.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("main"))
+        open_ = label.join(mixed.where("labels > 1").drop("labels"), "bucket").join(classes.select("cid", "n", "sig", "mark"), "cid")
+        parts = F.ceil(F.col("members") / BLOCK)
+        own = F.pmod(F.xxhash64("cid", "bucket"), parts)
+        every = F.sequence(F.lit(0).cast("long"), parts - 1)
+        ask = open_.where(F.col("label") != F.col("main")).withColumn("query", F.lit(True)).withColumn("q", own).withColumn("r", F.explode(every))
+        answer = open_.withColumn("query", F.lit(False)).withColumn("r", own).join(ask.select("bucket", "q").distinct(), "bucket")
+        block = F.xxhash64("bucket", "q", "r").alias("block")
+        columns = (block, "query", "cid", "label", "n", "band", "sig", "mark")
+        rows = ask.select(*columns).unionByName(answer.select(*columns)).repartition("block").sortWithinPartitions("block")
+        return rows.mapInArrow(_search_blocks(threshold - slack, threshold, best), "a long, b long").distinct()
+
+    for best in (True, False):
+        more = materialize(verified(across(groups, best)), "more-links")
+        release(docs.sparkSession)
+        links = links.unionByName(more)
+        groups = materialize(connected_components(links), "groups")
 
     heads = classes.select("cid", "f1", "head").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     heads = heads.withColumn("component", F.coalesce("component", "cid"))
