@@ -139,54 +139,95 @@ def _agree(batches):
         yield pa.record_batch([*batch.columns[:2], pa.array((a == b).mean(axis=1))], ["a", "b", "est"])
 
 
-def _search_blocks(least: float, ratio: float, best: bool):
-    """Pairs of different components of each block, at the first bucket they share.
+def _by_block(batches):
+    """Tables with all rows of a block; rows come sorted by block, the first column."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if held and block[x] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            key = block[x]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(t: pa.Table, least: float, ratio: float):
+    """For each query row of a block the rows of other components that sizes and
+    signatures do not rule out and that share no earlier bucket with it, and how
+    many components of the signature agree."""
+    query = t.column("query").to_numpy()
+    label, n, band = (t.column(x).to_numpy() for x in ("label", "n", "band"))
+    sig, mark = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("sig", np.uint8), ("mark", np.uint32)))
+    rest = np.flatnonzero(~query)
+    for i in np.flatnonzero(query):
+        other = rest[label[rest] != label[i]]
+        other = other[np.minimum(n[other], n[i]) >= ratio * np.maximum(n[other], n[i])]
+        agree = (sig[other] == sig[i]).sum(axis=1)
+        new = (agree >= least * sig.shape[1]) & (mark[other, : band[i]] != mark[i, : band[i]]).all(axis=1)
+        if new.any():
+            yield i, other[new], agree[new]
+
+
+def _best_pairs(least: float, ratio: float):
+    """The pair with the most agreement of every two components of a block."""
 
-    With ``best`` only the pair with the most agreement of every two components.
+    def run(batches):
+        for t in _by_block(batches):
+            cid, label = t.column("cid").to_numpy(), t.column("label").to_numpy()
+            best: dict = {}
+            for i, other, agree in _possible(t, least, ratio):
+                for j in np.unique(label[other]):
+                    own = np.flatnonzero(label[other] == j)
+                    top = own[np.lexsort((cid[other][own], -agree[own]))[0]]
+                    found = (-int(agree[top]), *sorted((int(cid[i]), int(cid[other[top]]))))
+                    sides = tuple(sorted((int(label[i]), int(j))))
+                    best[sides] = min(best.get(sides, found), found)
+            yield pa.record_batch([pa.array([x[1] for x in best.values()], pa.int64()), pa.array([x[2] for x in best.values()], pa.int64())], ["a", "b"])
 
-    Rows come sorted by block; ``query`` rows are compared with all others.
-    """
+    return run
 
-    def pairs(t: pa.Table):
-        query = t.column("query").to_numpy()
-        cid, label, n, band = (t.column(x).to_numpy() for x in ("cid", "label", "n", "band"))
-        sig, mark = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("sig", np.uint8), ("mark", np.uint32)))
-        rest = np.flatnonzero(~query)
-        out = [[], [], [], [], []]
-        for i in np.flatnonzero(query):
-            other = rest[label[rest] != label[i]]
-            other = other[np.minimum(n[other], n[i]) >= ratio * np.maximum(n[other], n[i])]
-            agree = (sig[other] == sig[i]).sum(axis=1)
-            new = (agree >= least * sig.shape[1]) & (mark[other, : band[i]] != mark[i, : band[i]]).all(axis=1)
-            other, agree = other[new], agree[new]
-            found = (cid[other], np.full(len(other), cid[i]), label[other], np.full(len(other), label[i]), agree)
-            for column, values in zip(out, found, strict=True):
-                column.append(values)
-        a, b, la, lb, agree = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
-        a, b, la, lb = np.minimum(a, b), np.maximum(a, b), np.minimum(la, lb), np.maximum(la, lb)
-        if best and len(a):
-            order = np.lexsort((b, a, -agree, lb, la))
-            a, b, la, lb = a[order], b[order], la[order], lb[order]
-            first = np.append(True, (la[1:] != la[:-1]) | (lb[1:] != lb[:-1]))
-            a, b = a[first], b[first]
-        both = np.unique(np.stack([a, b]), axis=1)
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+def _possible_rows(least: float, ratio: float):
+    """The rows of each block that take part in some possible pair."""
 
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if held and block[x] != key:
-                    yield pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(x, y - x))
-                key = block[x]
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+        for t in _by_block(batches):
+            some = np.zeros(t.num_rows, bool)
+            for i, other, _ in _possible(t, least, ratio):
+                some[i] = True
+                some[other] = True
+            yield from t.filter(pa.array(some)).to_batches()
+
+    return run
+
+
+def _verify_blocks(width: int, threshold: float, least: float, ratio: float):
+    """Pairs of a block whose full shingle sets meet the threshold."""
+    percent = round(100 * threshold)
+
+    def run(batches):
+        for t in _by_block(batches):
+            t = t.combine_chunks()
+            cid = t.column("cid").to_numpy()
+            value, at = shingle_sets(t.column("text").chunk(0), width)
+            size = np.diff(at)
+            out = [[], []]
+            for i, other, _ in _possible(t, least, ratio):
+                own = value[at[i] : at[i + 1]]
+                theirs = value[ranges(at[other], size[other])]
+                hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(hit, np.append(0, np.cumsum(size[other]))[:-1], dtype=np.int64)
+                linked = other[100 * both >= percent * (size[i] + size[other] - both)]
+                out[0].append(np.minimum(cid[linked], cid[i]))
+                out[1].append(np.maximum(cid[linked], cid[i]))
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -261,8 +302,8 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     release(docs.sparkSession)
     groups = materialize(connected_components(links), "groups")
 
-    def across(groups: DataFrame, best: bool) -> DataFrame:
-        """Pairs of classes of different groups that share a bucket and are not ruled out."""
+    def mixed_blocks(groups: DataFrame) -> DataFrame:
+        """Blocks of the buckets with several groups: the classes outside the largest as queries, and all."""
         label = members.select("bucket", "band", "cid").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
         label = materialize(label.select("cid", "bucket", "band", F.coalesce("component", "cid").alias("label")), "labelled")
         counts = label.groupBy("bucket", "label").agg(F.count("*").alias("n"))
@@ -275,14 +316,22 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
         answer = open_.withColumn("query", F.lit(False)).withColumn("r", own).join(ask.select("bucket", "q").distinct(), "bucket")
         block = F.xxhash64("bucket", "q", "r").alias("block")
         columns = (block, "query", "cid", "label", "n", "band", "sig", "mark")
-        rows = ask.select(*columns).unionByName(answer.select(*columns)).repartition("block").sortWithinPartitions("block")
-        return rows.mapInArrow(_search_blocks(threshold - slack, threshold, best), "a long, b long").distinct()
-
-    for best in (True, False):
-        more = materialize(verified(across(groups, best)), "more-links")
-        release(docs.sparkSession)
-        links = links.unionByName(more)
-        groups = materialize(connected_components(links), "groups")
+        return ask.select(*columns).unionByName(answer.select(*columns)).repartition("block").sortWithinPartitions("block")
+
+    limits = (threshold - slack, threshold)
+    best = mixed_blocks(groups).mapInArrow(_best_pairs(*limits), "a long, b long").distinct()
+    links = links.unionByName(materialize(verified(best), "best-links"))
+    release(docs.sparkSession)
+    groups = materialize(connected_components(links), "groups")
+
+    rows = mixed_blocks(groups)
+    rows = materialize(rows.mapInArrow(_possible_rows(*limits), rows.schema), "possible")
+    release(docs.sparkSession)
+    rest = rows.join(texts, "cid").select("block", "query", "cid", "label", "n", "band", "sig", "mark", "text").repartition("block").sortWithinPartitions("block")
+    rest = rest.mapInArrow(_verify_blocks(width, threshold, *limits), "a long, b long")
+    links = links.unionByName(materialize(rest, "last-links"))
+    release(docs.sparkSession)
+    groups = materialize(connected_components(links), "groups")
 
     heads = classes.select("cid", "f1", "head").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     heads = heads.withColumn("component", F.coalesce("component", "cid"))
