@@ -17,15 +17,8 @@ lose the same lines.  An empty text stays empty; further columns pass through.
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .textblocks import blocks
 
 WINDOW = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -60,36 +53,6 @@ def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return later.groupBy("__k0", "__k1").agg(F.collect_set("at").alias("__later"))
 
 
-def _strip(width: int, names: list[str]):
-    has_word = re.compile(HAS_WORD).search
-
-    def run(batches):
-        for block in blocks(batches):
-            text_at, later_at = block.schema.get_field_index("text"), block.schema.get_field_index("__later")
-            texts, n_lines, n_removed, removed = [], [], [], []
-            for text, later in zip(block.column(text_at).to_pylist(), block.column(later_at).to_pylist(), strict=True):
-                lines = text.split("\n") if text is not None else []
-                worded = [i for i, x in enumerate(lines) if has_word(x)]
-                gone = np.zeros(len(worded), bool)
-                for at in later or ():
-                    gone[at : at + width] = True
-                drop = [worded[i] for i in np.flatnonzero(gone)]
-                if drop:
-                    out = set(drop)
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in out)
-                texts.append(text)
-                n_lines.append(len(worded))
-                n_removed.append(len(drop))
-                removed.append(drop)
-            columns = [pa.array(texts, pa.string()) if x == "text" else block.column(block.schema.get_field_index(x)) for x in names]
-            yield pa.record_batch(
-                [*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.int32()))],
-                [*names, "n_lines", "n_lines_removed", "removed_lines"],
-            )
-
-    return run
-
-
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with repeated lines removed from ``text``.
 
@@ -97,11 +60,24 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     the removed lines; columns of these names in ``docs`` are replaced.
     """
     docs = docs.drop("n_lines", "n_lines_removed", "removed_lines", "__k0", "__k1", "__later")
-    names = docs.columns
     joined = docs.select("*", *_order_key()).join(later_windows(docs, width), ["__k0", "__k1"], "left")
-    more = [T.StructField("n_lines", T.LongType()), T.StructField("n_lines_removed", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType()))]
-    schema = T.StructType([*docs.schema.fields, *more])
-    return joined.select(*names, "__later").mapInArrow(_strip(width, names), schema)
+    lines = F.split("text", "\n", -1)
+    every = F.sequence(F.lit(0), F.size("__lines") - 1)
+    worded = F.filter(every, lambda i: F.get("__lines", i).rlike(HAS_WORD))
+    covered = F.flatten(F.transform("__later", lambda j: F.array(*(F.get("__worded", j + k) for k in range(width)))))
+    left = F.array_except(every, F.col("__gone"))
+    text = F.when(F.size("__gone") > 0, F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
+    rows = (
+        joined.withColumn("__lines", lines)
+        .withColumn("__worded", F.when(F.col("text").isNotNull(), worded).otherwise(F.array().cast("array<int>")))
+        .withColumn("__gone", F.coalesce(F.array_sort(F.array_distinct(covered)), F.array().cast("array<int>")))
+    )
+    return rows.select(
+        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        F.size("__worded").cast("long").alias("n_lines"),
+        F.size("__gone").cast("long").alias("n_lines_removed"),
+        F.col("__gone").alias("removed_lines"),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
