@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, line_dedup, mixing, near_dedup, piece_codec, sharding, substring_dedup
+from . import audio, language_id, line_dedup, mixing, near_dedup, piece_codec, quality, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_minhash_near_dedup": near_dedup.query,
         "op5_line_dedup": line_dedup.query,
         "op6_audio_features": audio.query,
+        "op7_quality_classifier": quality.query,
+        "op8_language_id": language_id.query,
         "op9_sentencepiece": piece_codec.query,
     }
 
