@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, language_id, line_dedup, mixing, near_dedup, piece_codec, quality, sharding, substring_dedup
+from . import audio, language_id, line_dedup, mixing, near_dedup, piece_codec, quality, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_quality_classifier": quality.query,
         "op8_language_id": language_id.query,
         "op9_sentencepiece": piece_codec.query,
+        "op10_llr_quality_rules": quality_rules.query,
     }
 
 
