@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import mixing
-from tracewright.llm.mixing import first_words, mix, source_targets
+from tracewright.llm.mixing import mix, mixed_rows, source_targets
 
 
 def water_fill(sizes, weights, epochs):
@@ -46,7 +46,7 @@ def test_equals_sql_and_targets_are_met(spark, sf_dir):
     assert all(abs(taken_of[s] - t) <= 1 for s, t in target_of.items())
 
 
-def test_odd_rows(docs, empty, spark):
+def test_odd_rows(docs, empty):
     clash = docs.withColumns({"size": F.lit("x"), "copies": F.lit(1), "before": F.lit(2), "left": F.lit(3)})
     out = mix(clash, buckets=4).collect()
     assert len(out) == docs.count() and {r["left"] for r in out} == {3}
@@ -58,5 +58,16 @@ def test_odd_rows(docs, empty, spark):
     assert mix(empty).collect() == []
     again = sorted(map(repr, mix(docs.repartition(7), buckets=4).collect()))
     assert again == sorted(map(repr, mix(docs, buckets=4).collect()))
-    words = spark.createDataFrame([("  a b\nc d ", 2), ("a", 1)], "text string, n int").select(first_words("n").alias("t")).collect()
-    assert [r.t.split() for r in words] == [["a", "b"], ["a"]]
+
+
+def test_rows_of_the_mix(docs):
+    taken = {}
+    for r in mix(docs, buckets=4).collect():
+        key = (r.source, r.target)
+        taken[key] = taken.get(key, 0) + r["size"] * r.copies + r.extra
+    rows = mixed_rows(docs, buckets=4)
+    assert rows.columns == docs.columns
+    got = defaultdict(int)
+    for r in rows.collect():
+        got[r.source] += len((r.text or "").split())
+    assert {k[0]: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if v}

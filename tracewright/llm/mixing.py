@@ -108,9 +108,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED
     return out.select(*(F.col("row")[c].alias(c) for c in given), "size", "source_size", "target", "copies", extra.alias("extra"))
 
 
-def first_words(n):
-    """The leading ``n`` words of ``text`` with what stands between them."""
-    return F.expr(f"regexp_extract(text, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*){{', {n}, '}}'), 0)")
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
+
+    A document of which only some words are taken appears with those, joined by
+    one space.
+    """
+    given = docs.columns
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 0), F.lit(1), F.col("__extra").cast("int")), " ")
+    mixed = mix(docs.select(F.struct(*given).alias("__doc"), "doc_id", "source", "text"), **options)
+    rows = mixed.select("__doc", F.col("extra").alias("__extra"), F.col("size").alias("__size"), F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("__nth"), F.col("copies").alias("__copies"))
+    rows = rows.where("__nth < __copies or __extra > 0").select("__doc.*", "__extra", ((F.col("__nth") == F.col("__copies")) & (F.col("__extra") < F.col("__size"))).alias("__part"))
+    return rows.select(*(F.when(F.col("__part"), part).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in given))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -250,7 +250,9 @@ def _verify(width: int, threshold: float):
 
 
 def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK) -> DataFrame:
-    """``doc_id, k0, k1, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
+    """``doc_id, k0, k1, n_shingles, group, component_id, kept`` for each row of ``docs(doc_id, text)``.
+
+    ``group`` identifies the component also where ids are null or repeated (null without shingles).
 
     ``k0, k1`` address the row by content.  Rows that
     share ``k0, k1`` are equal and get equal results.
@@ -336,13 +338,26 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     heads = classes.select("cid", "f1", "head").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     heads = heads.withColumn("component", F.coalesce("component", "cid"))
     least = heads.groupBy("component").agg(F.min("head").alias("component_id"))
-    of_class = heads.join(least, "component").select("cid", "f1", "component_id")
+    of_class = heads.join(least, "component").select("cid", "f1", F.col("component").alias("group"), "component_id")
     some = filled.select("doc_id", "k0", "k1", "n_shingles", "cid", "f1").join(of_class, ["cid", "f1"])
-    none = sig.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    out = some.drop("cid", "f1").unionByName(none.select("doc_id", "k0", "k1", "n_shingles", "component_id"))
+    none = sig.where("n_shingles = 0").withColumn("group", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    out = some.drop("cid", "f1").unionByName(none.select("doc_id", "k0", "k1", "n_shingles", "group", "component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay: the head of each group, and all rows without shingles.
+
+    Where rows share the head's id, the one with the least text hash stays.
+    """
+    groups = materialize(near_groups(docs, **options), "groups")
+    heads = groups.where("kept and group is not null").groupBy("group").agg(F.min(F.struct("k0", "k1")).alias("k")).select("k.*")
+    stay = heads.unionByName(groups.where("group is null").select("k0", "k1")).distinct()
+    keys = [c.alias(f"__k{i}") for i, c in enumerate(text_key())]
+    kept = docs.select("*", *keys).join(stay.withColumnsRenamed({"k0": "__k0", "k1": "__k1"}), ["__k0", "__k1"], "left_semi")
+    return kept.dropDuplicates(["__k0", "__k1"]).drop("__k0", "__k1")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
