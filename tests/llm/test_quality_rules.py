@@ -1,5 +1,6 @@
 import math
 import re
+import struct
 from collections import Counter
 
 import pytest
@@ -23,10 +24,11 @@ def base(text):
 
 
 def grams(text, buckets):
-    w = WORD.findall((text or "").lower())
-    one = lambda s, seed=42: xxhash.xxh64(s.encode(), seed=seed).intdigest()
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(one(x)) % buckets for x in w] + [signed(one(b, one(a))) % buckets for a, b in zip(w, w[1:], strict=False)]
+    one = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in WORD.findall(text or "")]
+    long_ = lambda v, seed: xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
+    two = [signed(long_(b, long_(a, 42))) for a, b in zip(one, one[1:], strict=False)]
+    return [h % buckets for h in one + two]
 
 
 def brute(rows, trusted, buckets, threshold):

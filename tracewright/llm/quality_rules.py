@@ -3,7 +3,7 @@
 * *Base rules* count characters in words, symbols, repeated lines and words in
   repeated windows of three; a text fails with fewer than ``MIN_WORDS`` words or
   with more than half of its words in repeated windows.
-* *Likelihood ratio.*  Lower-cased words and word pairs are hashed into
+* *Likelihood ratio.*  Words and word pairs, case and all, are hashed into
   ``BUCKETS`` buckets.  Two smoothed multinomials over the buckets, one of trusted
   texts and one of the whole corpus, give every bucket a log ratio.  A text's
   score is the mean ratio of its n-grams, and it is kept from ``THRESHOLD`` on.
@@ -36,24 +36,36 @@ def _length(column, without: str):
     return F.length(F.translate(column, without, ""))
 
 
-def _words(text):
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), 0)
+def _after(column: str, k: int):
+    """The array without its first ``k`` elements."""
+    return F.slice(column, k + 1, F.greatest(F.size(column) - k, F.lit(0)))
 
 
-def _places(count):
-    """0 .. count - 1, empty for none."""
-    return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+def _pairs(hashes: str):
+    """Hashes of neighbours in an array of hashes; zip_with pads, so one of the two is cut."""
+    first = F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0)))
+    return F.zip_with(first, _after(hashes, 1), lambda x, y: F.xxhash64(x, y))
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__hashes`` of the words and ``__pairs`` of neighbouring words.
+
+    Each word is hashed once as a string; everything longer is hashed from that.
+    """
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 0)
+    rows = docs.withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    return rows.withColumn("__pairs", _pairs("__hashes"))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__words`` and the base columns; names of these in ``docs`` are replaced."""
+    """``docs`` with the hashes and the base columns; names of these in ``docs`` are replaced."""
     mine = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    docs = docs.drop(*mine, "__words", "__windows", "__order")
+    docs = docs.drop(*mine, "__hashes", "__pairs", "__windows", "__order", "__lines")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("__words", _words(text))
-    n = F.size("__words")
-    at = lambda i, k: F.get("__words", i + k)
-    rows = rows.withColumn("__windows", F.transform(_places(n - 2), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2))))
+    rows = with_hashes(docs)
+    n = F.size("__hashes")
+    first = F.slice("__pairs", 1, F.greatest(n - 2, F.lit(0)))
+    rows = rows.withColumn("__windows", F.zip_with(first, _after("__hashes", 2), lambda x, y: F.xxhash64(x, y)))
     # Only texts that repeat a window are sorted.
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
     order = F.when(repeats, F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -79,17 +91,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed).drop("__windows", "__order", "__lines")
 
 
-def _grams(words, buckets: int):
-    """Buckets of the words and word pairs of an array column of lower-cased words."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    pair = lambda i: F.pmod(F.xxhash64(F.get(words, i), F.get(words, i + 1)), F.lit(buckets)).cast("int")
-    return F.concat(one, F.transform(_places(F.size(words) - 1), pair))
-
-
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket, n`` over all n-grams of ``docs(text)``."""
-    words = docs.select(_words(F.lower("text")).alias("w")).where("w is not null")
-    return words.select(F.explode(_grams(F.col("w"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """``bucket, n`` over all words and word pairs of ``docs(text)``."""
+    rows = with_hashes(docs.select("text")).select(F.explode(F.concat("__hashes", "__pairs")).alias("h"))
+    return rows.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -114,11 +119,10 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
     """``docs`` with the base columns, ``score`` and ``kept``; the corpus model is that of ``docs``."""
     found = log_ratios(trusted, docs, buckets).first().ratios  # ``buckets`` numbers
     ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")  # folded into one literal
-    rows = base_rules(docs).withColumn("__low", F.transform("__words", lambda w: F.lower(w)))
-    rows = rows.withColumn("__grams", _grams(F.col("__low"), buckets))
-    total = F.aggregate("__grams", F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
+    rows = base_rules(docs).withColumn("__grams", F.concat("__hashes", "__pairs"))
+    total = F.aggregate("__grams", F.lit(0.0), lambda acc, h: acc + F.get(ratios, F.pmod(h, F.lit(buckets)).cast("int")))
     score = F.round(total / F.greatest(F.size("__grams"), F.lit(1)), 6)
-    rows = rows.withColumn("score", score).drop("__words", "__low", "__grams")
+    rows = rows.withColumn("score", score).drop("__hashes", "__pairs", "__grams")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
