@@ -16,7 +16,8 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 
 from ..frames import Frames, conversation_frames, events_frames
 from ..functions import patterns as P
-from . import behaviour, corpus, process, sequence, trends
+from ..result import REGISTRY
+from . import behaviour, corpus, numeric, process, sequence, trends
 from .classify import message_class
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,7 +502,12 @@ def _(spark, d):
 
 
 def _sql_any(patterns) -> str:
-    return "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
+    """Alternatives for an engine whose word edges are ASCII only: edges as consumed characters."""
+    out = []
+    for p in patterns:
+        p = "(?:^|[^\\pL\\pN_])" + p[2:] if p.startswith("\\b") else p
+        out.append("(?:" + p.replace("\\b", "(?:$|[^\\pL\\pN_])") + ")")
+    return "|".join(out).replace("'", "''")
 
 
 _STRIP = "regexp_replace(regexp_replace(regexp_replace({x}, '<system-reminder>.*?</system-reminder>', '', 'gs'), '<command-name>.*?</command-name>', '', 'gs'), '\\[Request interrupted\\]', '', 'g')"
@@ -668,3 +674,112 @@ def _(spark, d):
 
 for _name, (_f, _sql) in corpus.QUERIES.items():
     query(_name, _sql)(_f)
+
+
+# --- iterative estimators ---
+
+AGENT_NAMES = {"view": "Read", "click": "Grep", "purchase": "Edit", "signup": "Bash", "error": "Skill"}
+
+
+def _agents(spark, d) -> Frames:
+    """Surrogate: event types under the names of agent tools, on the last week of events."""
+    e = read(spark, d, "events").where("ts >= '2024-01-24'")
+    frames = events_frames(e.select("event_id", "ts", "user_id", "event_type", "value"))
+    calls = frames.tool_calls.withColumn("name", F.create_map(*(F.lit(x) for pair in AGENT_NAMES.items() for x in pair))[F.col("name")])
+    return Frames(frames.sessions, frames.messages, calls, frames.tool_results)
+
+
+_CATS = {"read": "('view', 'click')", "edit": "('purchase')", "bash": "('signup')", "skill": "('error')"}
+
+
+@query("granger_features", f"""with {E.replace("from events)", "from events where ts >= '2024-01-24')")}, r as (select session_key, pos, tool, count(*) over (partition by session_key) as n, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 4 preceding and current row))
+select session_key, pos as turn, round({" + ".join(f"case when {k} > 0 then -({k} / al) * log2({k} / al) else 0 end" for k in _CATS)}, 6) as tool_diversity, (tool = 'error')::int::double as tool_failure from r where n >= 10""")
+def _(spark, d):
+    return numeric.granger_features(_agents(spark, d), 10).select("session_key", "turn", "tool_diversity", "tool_failure")
+
+
+@query("granger_pairs")
+def _(spark, d):
+    return numeric.fisher_combined(numeric.granger_pairs(numeric.granger_features(_agents(spark, d), 10), ("tool_diversity", "tool_failure")))
+
+
+@query("fisher_combine", """with p as (select event_type as cause, 'u' || (user_id % 150) as effect, ((value * 100)::bigint % 1000 + 0.5) / 1000 as p from events where event_id % 10 = 3 or event_id % 10 = 4),
+s as (select cause, effect, count(*) as k, -sum(ln(p)) as h from p group by cause, effect),
+f as (select cause, effect, k, least(1, list_sum(list_transform(range(k), lambda i: exp(i * ln(h) - lgamma(i + 1) - h)))) as t from s)
+select cause, effect, k as sessions, round(least(1, t * count(*) over ()), 6) as p_corrected from f""")
+def _(spark, d):
+    """Surrogate p values from the events' values."""
+    e = read(spark, d, "events").where("event_id % 10 = 3 or event_id % 10 = 4")
+    p = (F.round(F.col("value") * 100).cast("bigint") % 1000 + 0.5) / 1000
+    return numeric.fisher_combined(e.select(F.col("event_type").alias("cause"), F.concat(F.lit("u"), F.col("user_id") % 150).alias("effect"), p.alias("p")))
+
+
+@query("hmm_states")
+def _(spark, d):
+    features = numeric.turn_features(_agents(spark, d))
+    rows = numeric.sampled(features, "session_key", 100).toPandas()
+    model = numeric.best_hmm([g.sort_values("turn")[list(numeric.FEATURES)].to_numpy(float) for _, g in rows.sort_values("session_key").groupby("session_key")], range(2, 4))
+    return numeric.hidden_states(features, model).groupBy("state").agg(F.count("*").alias("turns"))
+
+
+def _strings(spark, d) -> DataFrame:
+    return process.symbol_strings(_log(spark, d).where("pos <= 40"), SYMBOLS)
+
+
+@query("sw_scores")
+def _(spark, d):
+    return numeric.pair_scores(_strings(spark, d), numeric.alignment_score, "score")
+
+
+@query("ncd_pairs")
+def _(spark, d):
+    return numeric.pair_scores(_strings(spark, d), numeric.compression_distance, "ncd")
+
+
+@query("changepoints")
+def _(spark, d):
+    e = read(spark, d, "events")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = e.select(F.col("user_id").cast("string").alias("session_key"), (F.row_number().over(w) - 1).alias("i"), F.col("value").alias("value"), (F.col("event_type") == "error").cast("double").alias("error"))
+    return numeric.session_regimes(rows, ("value", "error"))
+
+
+@query("sir_fits")
+def _(spark, d):
+    f = events(spark, d)
+    ranked = trends.dated_sessions(f).select("session_key", F.row_number().over(W.orderBy("ts", "session_key")).alias("rank"))
+    return numeric.adoption_fits(trends.adoption_curves(trends.session_pairs(f.tool_calls), ranked))
+
+
+@query("tpattern_significance")
+def _(spark, d):
+    log = _log(spark, d).select(F.col("session_key").cast("bigint").alias("session_ord"), "session_key", "pos", "symbol")
+    return numeric.tpatterns_of(numeric.sampled(log, "session_key", 10 * numeric.FIT_SESSIONS), spark).tables["T-Patterns Level 1"]
+
+
+@query("cox_covariates")
+def _(spark, d):
+    f = events(spark, d)
+    early = f.tool_calls.where("pos <= 3").groupBy("session_key").agg(F.count_if(F.col("name") == "view").cast("double").alias("views"), F.count_if(F.col("name") == "click").cast("double").alias("clicks"))
+    rows = _times(spark, d).select("session_key", "duration", "event").join(early, "session_key").drop("session_key")
+    return numeric.cox_regression(rows)[0]
+
+
+@query("similar_documents")
+def _(spark, d):
+    docs = read(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
+    return corpus.similar_documents(docs, 0.8)
+
+
+def _technique(name: str):
+    technique = REGISTRY[name]
+    on_text = "tool_calls" not in technique.needs
+
+    def run(spark, d):
+        return technique.run((conversations if on_text else events)(spark, d)).findings
+
+    return run
+
+
+for _name in REGISTRY:
+    query("findings_" + _name.replace("-", "_"))(_technique(_name))

@@ -200,7 +200,7 @@ def prefixspan_mining(frames: Frames) -> TechniqueResult:
     path = log.groupBy("session_key").agg(F.concat(F.lit(">"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "symbol"))), lambda x: x["symbol"]), ">"), F.lit(">")).alias("path"))
     # At most 200 patterns are searched in every path.
     hits = path.join(cohort.where("cohort is not null"), "session_key").join(F.broadcast(found.select("pattern")), F.expr("instr(path, concat('>', pattern, '>')) > 0"))
-    both = hits.groupBy("pattern").pivot("cohort", ["low", "high"]).agg(F.count("*")).na.fill(0)
+    both = hits.groupBy("pattern").pivot("cohort", ["low", "high"]).agg(F.count(F.lit(1))).na.fill(0)
     high, low = F.col("high"), F.col("low")
     told = both.select("pattern", F.when(low > 2 * high, "low_correction").when(high > 2 * low, "high_correction").alias("group"), F.when(low > 2 * high, F.try_divide(low, high)).when(high > 2 * low, F.try_divide(high, low)).alias("support_ratio")).where("group is not null")
     sizes = cohort.agg(F.count("*").alias("total_sessions"), F.count_if(F.col("cohort") == "low").alias("low_correction_sessions"), F.count_if(F.col("cohort") == "high").alias("high_correction_sessions"))
