@@ -35,9 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     store.add_argument("--yes", action="store_true")
     args = parser.parse_args(argv)
 
-    from . import plans  # noqa: F401
-    from .plans import behaviour, corpus, numeric, process, sequence, trends  # noqa: F401
-    from .result import REGISTRY
+    from .registry import REGISTRY
 
     if args.command == "list-techniques":
         for t in REGISTRY.values():

@@ -148,7 +148,7 @@ def tool_burstiness(frames: Frames) -> DataFrame:
     gap, before = F.col("place") - F.col("prev1") - 1, F.col("prev1") - F.col("prev2") - 1
     stats = rows.select("name", gap.alias("gap"), before.alias("before")).groupBy("name").agg(
         F.count("*").alias("n"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"),
-        F.corr("before", "gap").alias("r"),
+        F.try_divide(F.covar_pop("before", "gap"), F.stddev_pop("before") * F.stddev_pop(F.when(F.col("before").isNotNull(), F.col("gap")))).alias("r"),
     )
     total = F.col("sd") + F.col("mean")
     b = F.when(F.col("n") == 2, F.when(F.col("mean") > 0, -1.0).otherwise(1.0)).when(total == 0, 1.0).otherwise((F.col("sd") - F.col("mean")) / total)
@@ -217,7 +217,7 @@ def diversity_summary(table: DataFrame) -> DataFrame:
         F.avg("simpson").alias("mean_simpson"),
         F.avg("evenness").alias("mean_evenness"),
         mono.alias("monoculture_count"),
-        (mono / F.count("*")).alias("monoculture_fraction"),
+        F.coalesce(F.try_divide(mono, F.count("*")), F.lit(0.0)).alias("monoculture_fraction"),
         F.count("*").alias("sessions_analyzed"),
     )
 

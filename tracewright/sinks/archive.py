@@ -6,17 +6,22 @@ content.  The tables of objects and observations are the manifest.
 
 from __future__ import annotations
 
+import hashlib
 import os
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.logs import DISPLAY, get, read_lines, roots_below, timestamp, tool_of_path
+from ..sources.logs import DISPLAY, empty_files, get, read_lines, roots_below, timestamp, tool_of_path
 
 OBSERVATIONS = "observation_id string, path string, canonical_path string, tool string, sha256 string, size bigint, mtime timestamp"
 
 
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
 class ArchiveError(ValueError):
     pass
 
@@ -39,10 +44,13 @@ def candidates(spark: SparkSession, roots: list[str], required: bool = True) ->
     if not there:
         return spark.createDataFrame([], "path string, canonical_path string, tool string, sha256 string, size bigint, mtime timestamp, content binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(there)
+    files = files.select("path", "length", F.col("modificationTime").alias("mtime"), "content")
+    none = [(p, 0, datetime.fromtimestamp(os.path.getmtime(p), UTC), bytearray()) for p in empty_files(there)]
+    files = files.unionByName(spark.createDataFrame(none, "path string, length bigint, mtime timestamp, content binary"))
     path = F.regexp_replace("path", "^file:/+", "/")
     real = F.udf(os.path.realpath) if all("://" not in r for r in there) else lambda c: c
     tool = F.coalesce(tool_of_path(path), F.lit("Unknown"))
-    return files.select(path.alias("path"), real(path).alias("canonical_path"), tool.alias("tool"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content").dropDuplicates(["path"])
+    return files.select(path.alias("path"), real(path).alias("canonical_path"), tool.alias("tool"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), "mtime", "content").dropDuplicates(["path"])
 
 
 def observation_id():
@@ -137,8 +145,8 @@ def archive(spark: SparkSession, roots: list[str], target: str, dry_run: bool =
 
 
 def drift(spark: SparkSession, target: str) -> DataFrame:
-    """Objects that are missing or whose content is not that of their name."""
-    known = known_observations(spark, target).select("sha256").distinct()
+    """Objects that are missing or whose content is not that of their name (an empty one has nothing to lose)."""
+    known = known_observations(spark, target).select("sha256").where(F.col("sha256") != EMPTY).distinct()
     if not os.path.isdir(f"{target}/objects"):
         return known.withColumn("problem", F.lit("missing"))
     stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{target}/objects").select(F.regexp_extract("path", "([^/]*)$", 1).alias("sha256"), F.sha2("content", 256).alias("now"))
@@ -151,4 +159,5 @@ def session_index(spark: SparkSession, target: str) -> DataFrame:
     stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{target}/objects")
     facts = enrich(stored.select(F.regexp_extract("path", "([^/]*)$", 1).alias("path"), "content")).withColumnRenamed("path", "sha256")
     shown = F.create_map(*(F.lit(x) for pair in DISPLAY.items() for x in pair))
-    return known_observations(spark, target).join(facts, "sha256").withColumn("tool_name", F.coalesce(F.try_element_at(shown, F.col("tool")), F.col("tool")))
+    rows = known_observations(spark, target).join(facts, "sha256", "left").withColumn("status", F.when(F.col("sha256") == EMPTY, "empty_placeholder").otherwise(F.col("status")))
+    return rows.withColumn("tool_name", F.coalesce(F.try_element_at(shown, F.col("tool")), F.col("tool")))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frames import Frames
-from ..result import REGISTRY, TechniqueResult
+from ..registry import REGISTRY
+from ..result import TechniqueResult
 
 # Words that a column name of a stored table must not contain, and the longest stored string in bytes.
 PRIVATE_WORDS = ("body", "content", "cwd", "excerpt", "filepath", "prompt", "raw", "snippet")
@@ -63,12 +64,14 @@ def corpus_fingerprint(sessions: DataFrame) -> str:
 
 def freeze(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``path, size, sha256, tool`` of every log file."""
-    from ..sources.logs import roots_below, tool_of_path
+    from ..sources.logs import empty_files, roots_below, tool_of_path
 
     roots = [r for p in ([paths] if isinstance(paths, str) else paths) for r in roots_below(p)]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(roots)
     path = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.coalesce(tool_of_path(path), F.lit("Unknown")).alias("tool"))
+    rows = files.select(path.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    none = spark.createDataFrame([(p, 0, hashlib.sha256(b"").hexdigest()) for p in empty_files(roots)], "path string, size bigint, sha256 string")
+    return rows.unionByName(none).withColumn("tool", F.coalesce(tool_of_path(F.col("path")), F.lit("Unknown")))
 
 
 def run_id() -> str:
@@ -109,7 +112,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first().value
+    return spark.read.text(path, wholetext=True).first().value
 
 
 def slug(name: str) -> str:

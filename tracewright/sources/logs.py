@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..frames import MESSAGES, SESSIONS, TOOL_CALLS, TOOL_RESULTS, Frames, conform
 from ..plans.classify import classify_frames
@@ -49,13 +50,18 @@ def roots_below(path: str) -> list[str]:
     return [path, *hidden] if os.path.isdir(path) else []
 
 
+def empty_files(paths: list[str]) -> list[str]:
+    """Log files without a byte in local folders: Spark's file sources pass over them."""
+    walked = ((d, n) for p in paths if "://" not in p for d, _, names in os.walk(p, followlinks=True) for n in names)
+    return sorted({os.path.join(d, n) for d, n in walked if n.endswith(".jsonl") and os.path.getsize(os.path.join(d, n)) == 0})
+
+
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``path, content`` of every ``*.jsonl`` below the paths; a missing path has none."""
     paths = [r for p in ([paths] if isinstance(paths, str) else paths) for r in roots_below(p)]
     if not paths:
         return spark.createDataFrame([], "path string, content string")
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    rows = reader.text(paths).select(F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("path"), F.col("value").alias("content"))
+    rows = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("path"), F.col("value").alias("content"))
     return rows
 
 
@@ -160,7 +166,7 @@ def claude_entries(lines: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", F.when(user, "User").otherwise("Assistant").alias("role"), timestamp(get("v", "$.timestamp")).alias("ts"), blocks_of(get("v", "$.message.content", "variant"), lambda b: common_block(b, user)).alias("blocks"))
 
 
-@F.pandas_udf("struct<raw:string,shown:string>")
+@F.pandas_udf(StructType([StructField("raw", StringType()), StructField("shown", StringType())]))
 def reasoning_summary(summary: pd.Series, signature: pd.Series) -> pd.DataFrame:
     """Text fields below a summary and a signature's summary, in document order; ``shown`` without repetitions."""
 

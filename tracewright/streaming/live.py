@@ -23,13 +23,13 @@ def new_contents(spark: SparkSession, folder: str, delay: str = "1 day") -> Data
 
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Bursts of a user's events with no pause longer than ``gap``; final once the watermark has passed."""
-    rows = events.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w"))
     return rows.agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "errors")
 
 
 def error_rates(events: DataFrame, width: str = "1 day", slide: str = "6 hours", delay: str = "1 hour") -> DataFrame:
     """Sliding shares of errors."""
-    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", width, slide).alias("w"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", width, slide).alias("w"))
     return rows.agg(F.avg((F.col("event_type") == "error").cast("double")).alias("rate"), F.count("*").alias("events")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rate", "events")
 
 
