@@ -100,36 +100,43 @@ def starts(phrases) -> str:
 
 
 def any_of(column: Column, patterns) -> Column:
-    return column.rlike("|".join(f"(?:{p})" for p in patterns))
+    """Whether some pattern matches; those that start at a word's edge or the text's start share that test."""
+    edge, first = r"\b", "^"
+    groups = {edge: [p[2:] for p in patterns if p.startswith(edge)], first: [p[1:] for p in patterns if p.startswith(first)]}
+    rest = [p for p in patterns if not p.startswith((edge, first))]
+    return column.rlike("|".join([*(f"{k}(?:{'|'.join(f'(?:{p})' for p in v)})" for k, v in groups.items() if v), *(f"(?:{p})" for p in rest)]))
 
 
 def has_word(column: Column, phrase: str) -> Column:
     return column.rlike(r"(?i)\b" + re.escape(phrase).replace("\\ ", " ") + r"\b")
 
 
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(column: Column) -> Column:
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    return F.trim(column, F.lit(WHITE))
 
 
 def without_boilerplate(column: Column, strip: bool = True) -> Column:
     out = F.regexp_replace(column, r"(?s)<system-reminder>.*?</system-reminder>", "")
     out = F.regexp_replace(out, r"(?s)<command-name>.*?</command-name>", "")
-    out = F.regexp_replace(out, r"\[Request interrupted\]", "")
+    out = F.replace(out, F.lit("[Request interrupted]"), F.lit(""))
     return trimmed(out) if strip else out
 
 
 def mostly_ascii(column: Column, share: float = 0.85) -> Column:
     """Share of ASCII letters among what is not white space; empty counts as English."""
-    dense = F.regexp_replace(column, r"\s", "")
-    return (F.length(dense) == 0) | (F.length(F.regexp_replace(dense, "[^A-Za-z]", "")) >= share * F.length(dense))
+    dense = F.length(F.regexp_replace(column, r"\s+", ""))
+    return (dense == 0) | (F.length(F.regexp_replace(column, "[^A-Za-z]+", "")) >= share * dense)
 
 
 def frustration(column: Column) -> Column:
     """Score from 0 to 5."""
     low = F.lower(column)
     score = sum((F.when(any_of(low, p), n).otherwise(0) for n, p in FRUSTRATION), F.lit(0))
-    letters = F.length(F.regexp_replace(column, r"\P{L}", ""))
-    upper = F.length(F.regexp_replace(column, r"\P{Lu}", ""))
+    letters = F.length(F.regexp_replace(column, r"\P{L}+", ""))
+    upper = F.length(F.regexp_replace(column, r"\P{Lu}+", ""))
     loud = (F.length(column) > 20) & (letters > 0) & (2 * upper >= letters)
     return F.least(F.lit(5), score + F.when(loud, 1).otherwise(0))
 

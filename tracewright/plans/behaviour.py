@@ -273,19 +273,19 @@ def user_signals(messages: DataFrame) -> DataFrame:
     rows = messages.where("role = 'User'").withColumn("clean", clean).where("trim(text) <> ''")
     state = F.when(F.col("clean") == "", "boilerplate").when(~P.mostly_ascii(F.col("clean")), "other_language").otherwise("classified")
     low = F.lower("clean")
-    found = F.filter(F.array(*(F.when(P.any_of(low, p), c) for c, p in P.SIGNALS.items())), lambda c: c.isNotNull())
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unclassified")))
-    return rows.select("session_key", "msg_idx", state.alias("state"), F.when(state == "classified", found).alias("categories"), F.when(state == "classified", P.frustration(F.col("clean"))).alias("score"))
+    flags = F.array_compact(F.array(*(F.when(P.any_of(low, p), c) for c, p in P.SIGNALS.items())))
+    rows = rows.withColumn("state", state)
+    ok = F.col("state") == "classified"
+    rows = rows.select("session_key", "msg_idx", "state", F.when(ok, flags).alias("flags"), F.when(ok, P.frustration(F.col("clean"))).alias("score"))
+    return rows.select("session_key", "msg_idx", "state", F.when(F.size("flags") == 0, F.array(F.lit("unclassified"))).otherwise(F.col("flags")).alias("categories"), "score")
 
 
 def signal_counts(signals: DataFrame) -> DataFrame:
     """Messages of each category; shares may add up to more than 1."""
-    rows = signals.where("state = 'classified'")
-    total = rows.agg(F.count("*").alias("total"))
-    every = F.array(*map(F.lit, [*P.SIGNALS, "unclassified"]))
-    spine = total.select("total", F.explode(every).alias("category"))  # six rows
-    counts = rows.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
-    return spine.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("count"), F.coalesce(F.try_divide("n", "total"), F.lit(0.0)).alias("pct_of_classified"))
+    names = [*P.SIGNALS, "unclassified"]
+    row = signals.where("state = 'classified'").agg(F.count("*").alias("total"), *(F.count_if(F.array_contains("categories", c)).alias(c) for c in names))
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("count"), F.coalesce(F.try_divide(c, "total"), F.lit(0.0)).alias("pct_of_classified")) for c in names)))
+    return row.select(each)
 
 
 def frustration_histogram(signals: DataFrame) -> DataFrame:
