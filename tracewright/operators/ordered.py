@@ -39,15 +39,14 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str, intervals: int = I
     return joined.withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("__interval", "__before")
 
 
-def two_before(df: DataFrame, group: str, place: str, intervals: int = INTERVALS) -> DataFrame:
-    """``df`` with ``prev1`` and ``prev2``, the two places before each row's in its group; places are 1, 2, ... n.
+def two_before(df: DataFrame, group: str, place: str, n: int, intervals: int = INTERVALS) -> DataFrame:
+    """``df`` with ``prev1`` and ``prev2``, the two places before each row's in its group; places are 1, 2, ... ``n``.
 
     Windows run over (group, interval), not over whole groups, so a group that
     holds most rows is spread; what crosses an interval's edge comes from a
     table with two places for each group and interval.
     """
-    n = df.agg(F.coalesce(F.max(place), F.lit(1)).alias("n")).first().n
-    parts = df.withColumn("__interval", F.floor((F.col(place) - 1) * min(intervals, n) / n).cast("int"))
+    parts = df.withColumn("__interval", F.floor((F.col(place) - 1) * min(intervals, n) / max(1, n)).cast("int"))
     inner = W.partitionBy(group, "__interval").orderBy(place)
     parts = parts.withColumns({"prev1": F.lag(place, 1).over(inner), "prev2": F.lag(place, 2).over(inner)})
     last = parts.groupBy(group, "__interval").agg(F.max(place).alias("__l1"), F.max("prev1").alias("__l2"))

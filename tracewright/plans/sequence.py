@@ -144,7 +144,7 @@ def tool_burstiness(frames: Frames) -> DataFrame:
 
     Intervals run over the concatenated sequence, so they cross session borders.
     """
-    rows = two_before(global_places(frames), "name", "place")
+    rows = two_before(global_places(frames), "name", "place", frames.tool_calls.count())
     gap, before = F.col("place") - F.col("prev1") - 1, F.col("prev1") - F.col("prev2") - 1
     stats = rows.select("name", gap.alias("gap"), before.alias("before")).groupBy("name").agg(
         F.count("*").alias("n"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"),
