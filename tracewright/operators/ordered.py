@@ -17,11 +17,8 @@ def splits_of(df: DataFrame, key: str, intervals: int = INTERVALS) -> list[int]:
 
 
 def interval(key: Column, splits: list[int]) -> Column:
-    """Number of cut points at or below the key, by a literal array."""
-    if not splits:
-        return F.lit(0)
-    cuts = F.array(*(F.lit(x).cast("bigint") for x in splits))
-    return F.size(F.filter(cuts, lambda c: c <= key))
+    """Number of cut points at or below the key."""
+    return sum(((key >= x).cast("int") for x in splits), F.lit(0))
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, out: str, intervals: int = INTERVALS) -> DataFrame:
