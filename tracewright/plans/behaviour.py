@@ -222,12 +222,16 @@ def code_columns(messages: DataFrame) -> DataFrame:
     return messages.where("role <> 'System'").select("session_key", "msg_idx", *(f.cast("int").alias(c) for c, f in flags.items()))
 
 
-def network_sessions(coded: DataFrame, window: int = 5, least: int = 3) -> DataFrame:
-    """Each session's edge weights: shares of turns whose last ``window`` turns have both codes."""
+def network_sessions(coded: DataFrame, window: int = 5, least: int = 3, full: bool = False) -> DataFrame:
+    """Each session's edge weights: shares of turns whose last ``window`` turns have both codes.
+
+    ``full`` counts only windows that have all their turns.
+    """
     own = W.partitionBy("session_key")
     recent = own.orderBy("msg_idx").rowsBetween(1 - window, 0)
-    rows = coded.select("session_key", F.count("*").over(own).alias("turns"), *(F.max(c).over(recent).alias(c) for c in P.CODES)).where(F.col("turns") >= least)
-    return rows.groupBy("session_key").agg(*(F.avg(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in EDGES), *(F.sum(c).alias(f"n|{c}") for c in ()))
+    rows = coded.select("session_key", F.count("*").over(own).alias("turns"), F.count("*").over(recent).alias("seen"), *(F.max(c).over(recent).alias(c) for c in P.CODES))
+    rows = rows.where((F.col("turns") >= least) & (F.col("seen") >= (window if full else 1)))
+    return rows.groupBy("session_key").agg(*(F.avg(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in EDGES))
 
 
 def network_edges(sessions: DataFrame) -> DataFrame:

@@ -424,16 +424,20 @@ def _(spark, d):
     return process.event_frequencies(_log(spark, d))
 
 
-# --- control charts on the daily share of errors ---
+# --- control charts on the hourly share of errors ---
 
-SPC = """p0 as (select strftime(ts, '%Y-%m-%d') as session_id, count(*) filter (where event_type = 'error') / count(*) as value from events group by 1),
+SPC = """p0 as (select strftime(ts, '%Y-%m-%d %H') as session_id, count(*) filter (where event_type = 'error') / count(*) as value from events group by 1),
 p as (select row_number() over (order by session_id) - 1 as i, session_id, value, abs(value - lag(value) over (order by session_id)) as mr from p0),
 lim as (select avg(value) as mean, avg(mr) as mr_bar, avg(value) + 2.66 * avg(mr) as ucl, greatest(0, avg(value) - 2.66 * avg(mr)) as lcl, avg(mr) / 1.128 as sigma from p)"""
 
 
-def _points(spark, d) -> DataFrame:
-    by = read(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("session_id")).agg(F.avg((F.col("event_type") == "error").cast("int")).alias("value"))
-    return trends.in_order(by.withColumn("ts", F.to_timestamp("session_id")).withColumn("session_ord", F.lit(0)), "value")
+SPC_MAX = SPC.replace("count(*) filter (where event_type = 'error') / count(*)", "max(value)")
+
+
+def _points(spark, d, value=None) -> DataFrame:
+    value = F.avg((F.col("event_type") == "error").cast("int")) if value is None else value
+    by = read(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("session_id")).agg(value.alias("value"))
+    return trends.in_order(by.withColumn("ts", F.to_timestamp("session_id", "yyyy-MM-dd HH")).withColumn("session_ord", F.lit(0)), "value")
 
 
 @query("spc_limits", f"with {SPC} select round(mean, 6) as mean, round(ucl, 6) as ucl, round(lcl, 6) as lcl, round(mr_bar, 6) as mr_bar, round(sigma, 6) as sigma from lim")
@@ -446,10 +450,10 @@ def _(spark, d):
     return trends.out_of_control(_points(spark, d))
 
 
-@query("spc_rule2", f"""with {SPC}, z as (select i, greatest(sum((value - mean > 2 * sigma)::int) over w, sum((mean - value > 2 * sigma)::int) over w)::bigint as beyond, count(*) over w as n from p, lim where sigma > 0 window w as (order by i rows between 1 preceding and 1 following))
+@query("spc_rule2", f"""with {SPC_MAX}, z as (select i, greatest(sum((value - mean > 2 * sigma)::int) over w, sum((mean - value > 2 * sigma)::int) over w)::bigint as beyond, count(*) over w as n from p, lim where sigma > 0 window w as (order by i rows between 1 preceding and 1 following))
 select i, beyond from z where n = 3 and beyond >= 2""")
 def _(spark, d):
-    return trends.two_of_three(_points(spark, d))
+    return trends.two_of_three(_points(spark, d, F.max("value")))
 
 
 @query("spc_cusum", f"""with {SPC}, u as (select i, sigma, sum(value - mean - sigma / 2) over (order by i) as up, sum(mean - sigma / 2 - value) over (order by i) as dn from p, lim),
@@ -464,6 +468,64 @@ def _(spark, d):
     return trends.capability(_points(spark, d), 0.0, 0.4)
 
 
+# --- further statistics ---
+
+
+def _order_sql(k: int) -> str:
+    context = " || '>' || ".join(f"lag(tool, {j}) over w" for j in range(k, 0, -1)) or "''"
+    return f"""select {k}::bigint as k, -sum(n * log2(n / r)) / sum(n) as entropy from (select n, sum(n) over (partition by c) as r from (
+      select c, tool, count(*) as n from (select {context} as c, tool from e window w as (partition by session_key order by pos)) where c is not null group by c, tool))"""
+
+
+@query("order_entropy", f"with {E}, o as ({' union all '.join(map(_order_sql, range(4)))}) select k, round(entropy, 6) as entropy from o")
+def _(spark, d):
+    return process.order_entropy(_log(spark, d))
+
+
+@query("edge_tools", f"with {E}, x as (select tool as symbol, pos, count(*) over (partition by session_key) as n from e) select symbol, count(*) filter (where pos <= 5) as first_n, count(*) filter (where pos > n - 5) as last_n from x group by symbol")
+def _(spark, d):
+    return process.edge_symbols(_log(spark, d))
+
+
+GAINS = f"""{VISITS}, gi as (select session_key, run::bigint as run, tool as patch, (tool not in ('view', 'click'))::int as exploit, row_number() over (partition by session_key, run order by pos) as i, count(*) over (partition by session_key, run) as n from r1),
+gv as (select session_key, run, patch, max(n) as residence, sum(exploit)::bigint as gain, coalesce(sum(exploit) filter (where i * 2 <= n), 0)::bigint as first_gain, coalesce(sum(exploit) filter (where i * 2 > n), 0)::bigint as second_gain,
+  max(n) - coalesce(max(i) filter (where exploit > 0), 0) as giving_up from gi group by session_key, run, patch)"""
+
+
+@query("mvt_visits", f"with {GAINS} select * from gv")
+def _(spark, d):
+    return process.visit_gains(_turns(spark, d))
+
+
+@query("mvt_test", f"with {GAINS} select count(*) as visits, round(corr(residence, gain), 6) as residence_gain_r, round(avg((second_gain < first_gain)::int), 6) as mvt_share, round(avg(giving_up), 6) as giving_up_time from gv")
+def _(spark, d):
+    return process.mvt_test(process.visit_gains(_turns(spark, d)))
+
+
+@query("cumulative_incidence", f"""with {E}, c0 as (select session_key, pos, tool from e where pos <= 12 and tool in ('error', 'purchase')), c1 as (select session_key, min(pos) as duration, arg_min(tool, pos) as cause from c0 group by session_key),
+c as (select k.session_key, coalesce(c1.duration, k.n) as duration, cause from (select session_key, least(12, count(*)) as n from e group by session_key) k left join c1 using (session_key)),
+g as (select duration, count(cause) as d, (sum(count(*)) over (order by duration desc))::bigint as at_risk from c group by duration),
+sv as (select duration, at_risk, case when min(1 - d / at_risk) over w <= 0 then 0 else exp(sum(ln(case when d < at_risk then 1 - d / at_risk end)) over w) end as s from g window w as (order by duration)),
+lf as (select duration, at_risk, coalesce(lag(s) over (order by duration), 1) as lft from sv)
+select duration, cause, round(sum(lft * k / at_risk) over (partition by cause order by duration), 6) as incidence from (select duration, cause, count(*) as k from c where cause is not null group by duration, cause) join lf using (duration)""")
+def _(spark, d):
+    calls = events(spark, d).tool_calls.where("pos <= 12")
+    hit = F.when(F.col("name").isin("error", "purchase"), F.col("pos"))
+    by = calls.groupBy("session_key").agg(F.min(hit).alias("first"), F.min_by("name", hit).alias("cause"), F.count("*").alias("n"))
+    return trends.cumulative_incidence(by.select(F.coalesce("first", "n").alias("duration"), F.when(F.col("first").isNotNull(), F.col("cause")).alias("cause")))
+
+
+@query("cohort_weeks", """with x as (select strftime(ts, '%G-%V') as week, user_id, count(*) filter (where event_type = 'view') = 0 as no_views from events group by 1, 2)
+select week, count(*) as sessions, count(*) filter (where no_views) as without_views from x where user_id not in (select user_id from events where value > 250) group by week""")
+def _(spark, d):
+    """Sessions by ISO week, a flag, and a cohort left out by an anti join."""
+    e = read(spark, d, "events")
+    kept = e.join(e.where("value > 250").select("user_id").distinct(), "user_id", "left_anti")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), "ts").cast("string"), F.lit("-"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
+    by = kept.groupBy(week.alias("week"), "user_id").agg((F.count_if(F.col("event_type") == "view") == 0).alias("no_views"))
+    return by.groupBy("week").agg(F.count("*").alias("sessions"), F.count_if("no_views").alias("without_views"))
+
+
 # --- epistemic networks on documents: the lines of a document are its turns ---
 
 _CODE_SQL = {c: "(regexp_matches(text, '(?i)\\b(" + "|".join(P.CODE_KEYWORDS[c]) + ")\\b'))::int" if c in P.CODE_KEYWORDS else "0" for c in P.CODES}
@@ -484,6 +546,11 @@ def _(spark, d):
     return behaviour.network_edges(behaviour.network_sessions(_coded(spark, d)))
 
 
+@query("ena_full_windows", f"""with {ENA.replace("count(*) over (partition by doc_id) as turns,", "count(*) over (partition by doc_id) as turns, count(*) over w as seen,").replace("from wi where turns >= 3", "from wi where turns >= 3 and seen = 5")} select code_a, code_b, round(weight, 6) as weight from ed""")
+def _(spark, d):
+    return behaviour.network_edges(behaviour.network_sessions(_coded(spark, d), full=True))
+
+
 @query("ena_centrality", f"""with {ENA}, n as (select code_a as code, weight from ed union all select code_b, weight from ed), g as (select code, sum(weight) as w from n group by code)
 select code, round(case when sum(w) over () > 0 then w / sum(w) over () else 0 end, 6) as centrality from g""")
 def _(spark, d):

@@ -304,6 +304,10 @@ QUERIES = {
         f"""with {_REFS}, n as (select src as project, 1 as o, 0 as i, weight as ow, 0 as iw from eg union all select dst, 0, 1, 0, weight from eg)
         select project, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree, sum(ow)::bigint as out_weight, sum(iw)::bigint as in_weight from n group by project""",
     ),
+    "graph_adjacency": (
+        lambda s, d: adjacency(reference_edges(_refs(s, d)), list(PROJECTS)),
+        f"with {_REFS} select src, " + ", ".join(f"coalesce(sum(weight) filter (where dst = '{p}'), 0)::bigint as {p}" for p in PROJECTS) + " from eg group by src",
+    ),
     "mutual_pairs": (
         lambda s, d: mutual_pairs(reference_edges(_refs(s, d))),
         f"with {_REFS} select x.src as a, x.dst as b from eg x join eg y on x.src = y.dst and x.dst = y.src where x.src < x.dst",

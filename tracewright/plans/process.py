@@ -345,3 +345,56 @@ def pattern_codes(frames: Frames, intended: bool = False) -> DataFrame:
         .when(F.coalesce("failed", F.lit(False)), "AF").when(F.coalesce(F.length("thinking"), F.lit(0)) > 0, "AK").otherwise(tool)
     )
     return rows.select("session_key", F.row_number().over(W.partitionBy("session_key").orderBy("msg_idx", "call_idx")).alias("pos"), code.alias("symbol"))
+
+
+# --- further sequence statistics ---
+
+
+def order_entropy(log: DataFrame, orders=(1, 2, 3)) -> DataFrame:
+    """``k, entropy``: entropy of the next symbol given the k before it, over all sessions; k = 0 is the marginal one."""
+    w = W.partitionBy("session_key").orderBy("pos")
+    out = None
+    for k in (0, *orders):
+        context = F.concat_ws(">", *(F.lag("symbol", j).over(w) for j in range(k, 0, -1))) if k else F.lit("")
+        rows = log.select(context.alias("c"), F.col("symbol"), (F.lag("symbol", k).over(w).isNotNull() if k else F.lit(True)).alias("full")).where("full")
+        cells = rows.groupBy("c", "symbol").agg(F.count("*").alias("n"))
+        total = F.sum("n").over(W.partitionBy("c"))
+        one = cells.select("n", total.alias("r")).agg((-F.sum(F.col("n") * F.log2(F.col("n") / F.col("r"))) / F.sum("n")).alias("entropy")).select(F.lit(k).alias("k"), "entropy")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def edge_symbols(log: DataFrame, width: int = 5) -> DataFrame:
+    """Counts of symbols among the first and the last ``width`` places of the sessions."""
+    own = W.partitionBy("session_key")
+    place, back = F.row_number().over(own.orderBy("pos")), F.row_number().over(own.orderBy(F.desc("pos")))
+    rows = log.select("symbol", place.alias("i"), back.alias("j"))
+    return rows.groupBy("symbol").agg(F.count_if(F.col("i") <= width).alias("first_n"), F.count_if(F.col("j") <= width).alias("last_n"))
+
+
+def visit_gains(turns: DataFrame) -> DataFrame:
+    """Marginal-value measures of patch visits: gain (exploiting turns), first-half and second-half gain, giving-up time.
+
+    A visit gives up after its last gain; a patch is left optimally when the
+    second half gains less than the first.
+    """
+    from ..operators.ordered import runs
+
+    rows = runs(turns, ["session_key"], ["turn"], ["patch"]).where("patch is not null")
+    own = W.partitionBy("session_key", "run")
+    i, n = F.row_number().over(own.orderBy("turn")), F.count("*").over(own)
+    rows = rows.select("session_key", "run", "patch", "exploit", i.alias("i"), n.alias("n"))
+    half = F.col("i") * 2 <= F.col("n")
+    return rows.groupBy("session_key", "run", "patch").agg(
+        F.max("n").alias("residence"), F.sum("exploit").alias("gain"), F.sum(F.when(half, F.col("exploit")).otherwise(0)).alias("first_gain"),
+        F.sum(F.when(~half, F.col("exploit")).otherwise(0)).alias("second_gain"), (F.max("n") - F.coalesce(F.max(F.when(F.col("exploit") > 0, F.col("i"))), F.lit(0))).alias("giving_up"),
+    )
+
+
+def mvt_test(visits: DataFrame) -> DataFrame:
+    """Correlation of residence and gain, share of visits left with falling gain, mean giving-up time."""
+    spread = F.stddev_pop("residence") * F.stddev_pop("gain")
+    return visits.agg(
+        F.count("*").alias("visits"), F.try_divide(F.covar_pop("residence", "gain"), spread).alias("residence_gain_r"),
+        F.avg((F.col("second_gain") < F.col("first_gain")).cast("double")).alias("mvt_share"), F.avg("giving_up").alias("giving_up_time"),
+    )

@@ -59,6 +59,19 @@ def log_rank(times: DataFrame, group: str) -> DataFrame:
     return by.select(group, "observed", "expected", F.coalesce(F.try_divide((F.col("observed") - F.col("expected")) ** 2, "expected"), F.lit(0.0)).alias("chi2"))
 
 
+def cumulative_incidence(times: DataFrame) -> DataFrame:
+    """Competing risks: ``duration, cause, incidence`` from ``duration, cause`` (null is censored).
+
+    Each cause adds its share of those at risk times the survival of all just before.
+    """
+    every = kaplan_meier(times.select("duration", F.col("cause").isNotNull().alias("event")))
+    up = W.orderBy("duration")
+    before = every.select("duration", "at_risk", F.coalesce(F.lag("survival").over(up), F.lit(1.0)).alias("left"))
+    causes = times.where("cause is not null").groupBy("duration", "cause").agg(F.count("*").alias("k"))
+    rows = causes.join(before, "duration").withColumn("step", F.col("left") * F.col("k") / F.col("at_risk"))
+    return rows.select("duration", "cause", F.sum("step").over(W.partitionBy("cause").orderBy("duration")).alias("incidence"))
+
+
 @technique("survival-analysis", needs=("sessions", "messages", "tool_calls"))
 def survival_analysis(frames: Frames) -> TechniqueResult:
     """Time to the first correction: survival, cumulative hazard and proportional hazards."""
@@ -100,9 +113,6 @@ def control_series(frames: Frames, least: int = 20) -> DataFrame:
     )
 
 
-ORDER = (F.col, "ts", "session_ord")
-
-
 def in_order(rows: DataFrame, value: str) -> DataFrame:
     """``i, session_id, ts, value, mr``: the individuals chart's points.
 
