@@ -321,3 +321,55 @@ def user_signal_analysis(frames: Frames) -> TechniqueResult:
     top = chains.orderBy(F.desc("peak_intensity"), F.desc("length"), "session_id", "start_index").limit(20)
     tables = {"Category Counts": counts, "Frustration Distribution": frustration_histogram(signals), "Escalation Sequences": top}
     return TechniqueResult("user-signal-analysis", tables, union(*(findings_of("user-signal-analysis", x) for x in (sizes, each, found, peak))))
+
+
+# --- scored classes and merged turns ---
+
+
+def class_scores(text) -> dict:
+    """Likelihoods of four classes from the number of patterns that match; long texts are hardly corrections."""
+    low, size = F.lower(text), F.length(text)
+    hits = lambda name: sum((F.when(low.rlike(p), 1).otherwise(0) for p in P.SIGNALS[name]), F.lit(0))
+    k, q = hits("correction"), hits("question")
+    base = F.least(F.lit(0.95), 0.6 + 0.15 * (k - 1))
+    fade = F.when(size > 300, F.greatest(F.lit(0.5), 1 - (size - 300) / 1400)).otherwise(1.0)
+    return {
+        "correction": F.when(k > 0, base * fade).otherwise(0.0),
+        "approval": F.when(hits("approval") > 0, 0.85).otherwise(0.0),
+        "question": F.when(q >= 2, 0.8).when((q == 1) & low.rlike(r"\?$"), 0.7).when(q == 1, 0.5).otherwise(0.0),
+        "directive": F.when(hits("directive") > 0, 0.7).otherwise(0.0),
+    }
+
+
+def scored_messages(messages: DataFrame) -> DataFrame:
+    """User messages with the scores and the best class (the earlier one on ties, ``none`` where all are 0)."""
+    text = P.trimmed(F.coalesce("text", F.lit("")))
+    rows = messages.where("role = 'User'").select("session_key", "msg_idx", *(c.alias(n) for n, c in class_scores(text).items()))
+    best = F.greatest(*map(F.col, ("correction", "approval", "question", "directive")))
+    pick = F
+    for n in ("correction", "approval", "question", "directive"):
+        pick = pick.when((best > 0) & (F.col(n) == best), n)
+    return rows.withColumn("best", pick.otherwise("none"))
+
+
+# Words that mark a stance in thinking.
+MARKERS = {
+    "uncertainty": ("maybe", "perhaps", "might", "unclear", "not sure", "uncertain"),
+    "confidence": ("definitely", "certainly", "clearly", "obviously", "sure"),
+    "plan": ("plan", "first", "then", "next", "step", "finally"),
+    "risk": ("risk", "danger", "careful", "warning", "break", "unsafe"),
+    "tool_doubt": ("tool failed", "did not work", "didn't work", "unexpected output"),
+}
+
+
+def merged_turns(messages: DataFrame) -> DataFrame:
+    """Consecutive assistant messages as one turn: lengths, marker counts in thinking, and whether a correction follows."""
+    w = W.partitionBy("session_key").orderBy("msg_idx")
+    rows = runs(messages.where("role in ('User', 'Assistant')"), ["session_key"], ["msg_idx"], ["role"])
+    rows = rows.withColumn("next", F.lead("classification").over(w))
+    by = rows.where("role = 'Assistant'").groupBy("session_key", "run").agg(
+        F.min("msg_idx").alias("first_idx"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", F.coalesce("thinking", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("thinking"),
+        F.sum(F.length(F.coalesce("text", F.lit("")))).alias("text_len"), F.max_by("next", "msg_idx").alias("next"),
+    )
+    count = lambda words: F.regexp_count(F.lower("thinking"), F.lit(r"\b(" + "|".join(words) + r")\b"))
+    return by.select("session_key", "first_idx", F.length("thinking").alias("thinking_len"), "text_len", *(count(v).alias(k) for k, v in MARKERS.items()), F.coalesce(F.col("next") == "HumanCorrection", F.lit(False)).alias("corrected"))

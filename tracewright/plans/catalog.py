@@ -611,6 +611,26 @@ def _(spark, d):
     return behaviour.escalations(_signals(spark, d))
 
 
+_HITS = {c: " + ".join(f"regexp_matches(low, '{_sql_any([p])}')::int" for p in ps) for c, ps in P.SIGNALS.items()}
+SCORED = f"""s0 as (select conv_id::varchar as session_key, turn as msg_idx, lower(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as low from conversations where role = 'user'),
+s1 as (select *, {", ".join(f"{_HITS[c]} as h_{c}" for c in ("correction", "approval", "question", "directive"))} from s0),
+s2 as (select session_key, msg_idx, case when h_correction > 0 then least(0.95::double, 0.6 + 0.15 * (h_correction - 1)) * case when length(low) > 300 then greatest(0.5::double, 1 - (length(low) - 300) / 1400) else 1 end else 0 end as correction,
+  case when h_approval > 0 then 0.85 else 0 end as approval, case when h_question >= 2 then 0.8 when h_question = 1 and regexp_matches(low, '\\?$') then 0.7 when h_question = 1 then 0.5 else 0 end as question, case when h_directive > 0 then 0.7 else 0 end as directive from s1)"""
+
+
+@query("scored_messages", f"""with {SCORED} select session_key, msg_idx, round(correction, 6) as correction, approval::double as approval, question::double as question, directive::double as directive,
+case greatest(correction, approval, question, directive) when 0 then 'none' when correction then 'correction' when approval then 'approval' when question then 'question' else 'directive' end as best from s2""")
+def _(spark, d):
+    return behaviour.scored_messages(conversations(spark, d).messages)
+
+
+@query("merged_turns", f"""with {C}, r0 as (select *, (lag(role) over w is distinct from role)::int as new, lead(classification) over w as nx from m where role in ('User', 'Assistant') window w as (partition by session_key order by msg_idx)),
+r1 as (select *, sum(new) over (partition by session_key order by msg_idx) as run from r0)
+select session_key, min(msg_idx) as first_idx, sum(length(text))::bigint as text_len, coalesce(arg_max(nx, msg_idx) = 'HumanCorrection', false) as corrected from r1 where role = 'Assistant' group by session_key, run""")
+def _(spark, d):
+    return behaviour.merged_turns(conversations(spark, d).messages).select("session_key", "first_idx", "text_len", "corrected")
+
+
 # --- timeline ---
 
 DATED = "dt as (select user_id::varchar as session_key, 'p' || (user_id % 7) as project, strftime(arg_min(ts, (ts, event_id)), '%Y-%m-%d') as date from events group by user_id)"
