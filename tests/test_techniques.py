@@ -282,3 +282,13 @@ def test_time_patterns():
     codes = np.array([0, 1, 2] * 60)
     found_ = {p for p, *_ in numeric.significant_pairs(codes, ["A", "B", "C"], window=1)}
     assert found_ == {"A->B", "B->C", "C->A"}
+
+
+def test_topics_and_fingerprints():
+    import pandas as pd
+
+    rows = [(d, t, 1.0) for d in range(20) for t in (("a", "b") if d % 2 else ("c", "d"))]
+    w, h, names = numeric.topics(pd.DataFrame(rows, columns=["doc_id", "term", "weight"]), 2)
+    assert {tuple(sorted(names[j] for j in np.argsort(-h[t])[:2])) for t in range(2)} == {("a", "b"), ("c", "d")}
+    assert numeric.fingerprint("AB" * 50) == numeric.fingerprint("AB" * 500) != numeric.fingerprint("AC" * 50)
+    assert numeric.fingerprint_distance("AB" * 50, "AB" * 400) < numeric.fingerprint_distance("AB" * 50, "CDE" * 60)

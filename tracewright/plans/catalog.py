@@ -858,6 +858,27 @@ def _(spark, d):
     return corpus.similar_documents(docs, 0.8)
 
 
+@query("topic_terms")
+def _(spark, d):
+    return numeric.topic_terms(read(spark, d, "documents").where("lang = 'en'"), 4, sample=500, vocabulary=1000).drop("weight")
+
+
+@query("fingerprint_pairs")
+def _(spark, d):
+    return numeric.pair_scores(_strings(spark, d), numeric.fingerprint_distance, "ncd")
+
+
+@query("rolling_changepoints")
+def _(spark, d):
+    return numeric.session_regimes(numeric.rolling_features(_agents(spark, d)), ("tool_entropy",))
+
+
+@query("rolling_tool_entropy", f"""with {E.replace("from events)", "from events where ts >= '2024-01-24')")}, r as (select session_key, pos, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 9 preceding and current row))
+select session_key, pos - 1 as i, round({" + ".join(f"case when {k} > 0 then -({k} / al) * log2({k} / al) else 0 end" for k in _CATS)}, 6) as tool_entropy from r""")
+def _(spark, d):
+    return numeric.rolling_features(_agents(spark, d)).select("session_key", "i", "tool_entropy")
+
+
 def _technique(name: str):
     technique = REGISTRY[name]
     on_text = "tool_calls" not in technique.needs

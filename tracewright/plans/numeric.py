@@ -693,6 +693,67 @@ def change_point_detection(frames: Frames) -> TechniqueResult:
     return TechniqueResult("change-point-detection", tables, union(findings_of("change-point-detection", per), findings_of("change-point-detection", most)))
 
 
+def rolling_features(frames: Frames, width: int = 10) -> DataFrame:
+    """Tool entropy, tool rate, user text length and correction density over the last ten assistant turns, for :func:`session_regimes`."""
+    w = W.partitionBy("session_key").orderBy("msg_idx")
+    tools = frames.tool_calls.withColumn("category", P.tool_category(F.col("name"))).groupBy("session_key", "msg_idx").agg(F.count("*").alias("n"), *(F.count_if(F.col("category") == c).alias(c) for c in FEATURES[:6]))
+    user = F.col("role") == "User"
+    rows = frames.messages.select(
+        "session_key", "msg_idx", "role", F.last(F.when(user, F.length("text")), True).over(w).alias("asked"),
+        F.last(F.when(user, (F.col("classification") == "HumanCorrection").cast("double")), True).over(w).alias("corrected"),
+    ).where("role = 'Assistant'").join(tools, ["session_key", "msg_idx"], "left").na.fill(0)
+    recent = w.rowsBetween(1 - width, 0)
+    sums = [F.sum(c).over(recent) for c in FEATURES[:6]]
+    total = sum(sums[1:], sums[0])
+    entropy = sum((F.when(x > 0, -(x / total) * F.log2(x / total)).otherwise(0.0) for x in sums), F.lit(0.0))
+    return rows.select(
+        "session_key", (F.row_number().over(w) - 1).alias("i"), entropy.alias("tool_entropy"), F.avg("n").over(recent).alias("tool_rate"),
+        F.avg("asked").over(recent).alias("user_length"), F.avg("corrected").over(recent).alias("correction_density"),
+    )
+
+
+def fingerprint(symbols: str, windows: int = 10, top: int = 5, n: int = 2) -> str:
+    """A stream of any length as ten windows of their five most frequent n-grams with frequencies from 0 to 9."""
+    out = []
+    for k in range(windows):
+        part = symbols[k * len(symbols) // windows : (k + 1) * len(symbols) // windows + n - 1]
+        grams: dict = {}
+        for i in range(len(part) - n + 1):
+            grams[part[i : i + n]] = grams.get(part[i : i + n], 0) + 1
+        best = sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:top]
+        total = max(1, sum(grams.values()))
+        out.append("".join(f"{g}{min(9, 10 * c // total)}" for g, c in best))
+    return "|".join(out)
+
+
+def fingerprint_distance(a: str, b: str) -> float:
+    """Compression distance of two streams' fingerprints, which does not favour equal lengths."""
+    return compression_distance(fingerprint(a), fingerprint(b))
+
+
+def topics(weights: pd.DataFrame, k: int = 12, rounds: int = 200, seed: int = 42) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Non-negative factors of ``doc_id, term, weight`` by multiplicative updates: documents x k, k x terms, terms."""
+    table = weights.pivot_table(index="doc_id", columns="term", values="weight", fill_value=0.0)
+    x, rng = table.to_numpy(float), np.random.default_rng(seed)
+    w, h = rng.random((x.shape[0], k)) + 0.1, rng.random((k, x.shape[1])) + 0.1
+    for _ in range(rounds):
+        h *= (w.T @ x) / (w.T @ w @ h + 1e-12)
+        w *= (x @ h.T) / (w @ (h @ h.T) + 1e-12)
+    return w, h, [str(c) for c in table.columns]
+
+
+def topic_terms(docs: DataFrame, k: int = 12, top: int = 8, sample: int = 2000, vocabulary: int = 5000) -> DataFrame:
+    """``topic, rank, term, weight`` of a sample of documents over the most frequent terms, as the method samples them."""
+    from .corpus import tf_idf
+
+    few = sampled(docs.where("text is not null").select("doc_id", "text"), "doc_id", sample)
+    v = tf_idf(few)
+    terms = v.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(vocabulary)
+    _, h, names = topics(v.join(F.broadcast(terms.select("term")), "term").select("doc_id", "term", "weight").toPandas().sort_values(["doc_id", "term"]), k)
+    rows = [(t, r + 1, names[j], float(h[t, j])) for t in range(len(h)) for r, j in enumerate(np.lexsort((names, -h[t]))[:top])]
+    return docs.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+
+
 @technique("echo", needs=("sessions",))
 def echo(frames: Frames) -> TechniqueResult:
     """Counts the sessions: a self-test of the technique interface."""
