@@ -768,21 +768,22 @@ for _name, (_f, _sql) in corpus.QUERIES.items():
 AGENT_NAMES = {"view": "Read", "click": "Grep", "purchase": "Edit", "signup": "Bash", "error": "Skill"}
 
 
-def _agents(spark, d) -> Frames:
-    """Surrogate: event types under the names of agent tools, on the last week of events."""
-    e = read(spark, d, "events").where("ts >= '2024-01-24'")
+def _agents(spark, d, where: str = "true") -> Frames:
+    """Surrogate: event types under the names of agent tools."""
+    e = read(spark, d, "events").where(where)
     frames = events_frames(e.select("event_id", "ts", "user_id", "event_type", "value"))
     calls = frames.tool_calls.withColumn("name", F.create_map(*(F.lit(x) for pair in AGENT_NAMES.items() for x in pair))[F.col("name")])
     return Frames(frames.sessions, frames.messages, calls, frames.tool_results)
 
 
+LAST_WEEK = "ts >= '2024-01-24'"  # of the two queries whose SQL has it
 _CATS = {"read": "('view', 'click')", "edit": "('purchase')", "bash": "('signup')", "skill": "('error')"}
 
 
 @query("granger_features", f"""with {E.replace("from events)", "from events where ts >= '2024-01-24')")}, r as (select session_key, pos, tool, count(*) over (partition by session_key) as n, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 4 preceding and current row))
 select session_key, pos as turn, round({" + ".join(f"case when {k} > 0 then -({k} / al) * log2({k} / al) else 0 end" for k in _CATS)}, 6) as tool_diversity, (tool = 'error')::int::double as tool_failure from r where n >= 10""")
 def _(spark, d):
-    return numeric.granger_features(_agents(spark, d), 10).select("session_key", "turn", "tool_diversity", "tool_failure")
+    return numeric.granger_features(_agents(spark, d, LAST_WEEK), 10).select("session_key", "turn", "tool_diversity", "tool_failure")
 
 
 @query("granger_pairs")
@@ -876,7 +877,7 @@ def _(spark, d):
 @query("rolling_tool_entropy", f"""with {E.replace("from events)", "from events where ts >= '2024-01-24')")}, r as (select session_key, pos, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 9 preceding and current row))
 select session_key, pos - 1 as i, round({" + ".join(f"case when {k} > 0 then -({k} / al) * log2({k} / al) else 0 end" for k in _CATS)}, 6) as tool_entropy from r""")
 def _(spark, d):
-    return numeric.rolling_features(_agents(spark, d)).select("session_key", "i", "tool_entropy")
+    return numeric.rolling_features(_agents(spark, d, LAST_WEEK)).select("session_key", "i", "tool_entropy")
 
 
 def _technique(name: str):
