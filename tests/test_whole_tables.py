@@ -15,3 +15,22 @@ def test_agent_queries_take_all_events(spark, sf_dir):
     tested = max(r.sessions for r in catalog.QUERIES["granger_pairs"](spark, sf_dir).collect())
     late = e.where(catalog.LAST_WEEK).groupBy("user_id").count().where("count >= 10").count()
     assert late < tested <= sum(n >= 10 for n in want.values())
+
+
+def test_sequence_queries_take_whole_sessions(spark, sf_dir):
+    log = catalog._log(spark, sf_dir)
+    sizes = {r.session_key: r["count"] for r in log.groupBy("session_key").count().collect()}
+    assert max(sizes.values()) > 12
+    assert {r.session_key: len(r.s) for r in catalog._strings(spark, sf_dir).collect()} == sizes
+    paths = {}
+    for r in sorted(log.collect(), key=lambda r: r.pos):
+        paths.setdefault(r.session_key, []).append(r.symbol)
+
+    def holds(path, pattern):
+        rest = iter(path)
+        return all(x in rest for x in pattern)
+
+    found = catalog.QUERIES["prefixspan_patterns"](spark, sf_dir).collect()
+    assert found and all(r.support == sum(holds(p, r.pattern.split(">")) for p in paths.values()) for r in found)
+    seen = catalog._times(spark, sf_dir).agg(F.count_if("event").alias("n"), F.max("duration").alias("last")).first()
+    assert seen.n == sum("error" in p for p in paths.values()) and seen.last > 12

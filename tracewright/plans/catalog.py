@@ -291,27 +291,31 @@ rk as (select duration, count(*) filter (where event) as d, count(*) as n from t
 rt as (select duration, d, n - d as censored, (sum(n) over (order by duration desc))::bigint as at_risk from rk)"""
 
 
-def _times(spark, d) -> DataFrame:
-    calls = events(spark, d).tool_calls.where("pos <= 12")
+SQL_POS = 12  # of the queries whose SQL has it
+
+
+def _times(spark, d, most: int | None = None) -> DataFrame:
+    calls = events(spark, d).tool_calls
+    calls = calls if most is None else calls.where(F.col("pos") <= most)
     by = calls.groupBy("session_key").agg(F.min(F.when(F.col("name") == "error", F.col("pos"))).alias("first"), F.count("*").alias("n"))
     return by.select("session_key", F.coalesce("first", "n").alias("duration"), F.col("first").isNotNull().alias("event"), F.concat(F.lit("g"), F.col("session_key").cast("long") % 3).alias("grp"))
 
 
 @query("km_curve", f"""with {TIMES} select duration, d, censored, at_risk, round(case when min(1 - d / at_risk) over (order by duration) <= 0 then 0 else exp(sum(ln(case when d < at_risk then 1 - d / at_risk end)) over (order by duration)) end, 6) as survival from rt""")
 def _(spark, d):
-    return trends.kaplan_meier(_times(spark, d))
+    return trends.kaplan_meier(_times(spark, d, SQL_POS))
 
 
 @query("nelson_aalen", f"with {TIMES} select duration, d, censored, at_risk, round(sum(d / at_risk) over (order by duration), 6) as hazard from rt")
 def _(spark, d):
-    return trends.nelson_aalen(_times(spark, d))
+    return trends.nelson_aalen(_times(spark, d, SQL_POS))
 
 
 @query("logrank_groups", f"""with {TIMES}, gm as (select 'g' || (user_id % 3) as grp, duration, event from tm), ev as (select duration, d as dd, at_risk as nn from rt where d > 0),
 ex as (select g.grp, sum((select count(*) from gm where gm.grp = g.grp and gm.duration >= ev.duration) * dd / nn) as expected from (select distinct grp from gm) g, ev group by g.grp)
 select grp, (select count(*) from gm where gm.grp = ex.grp and event) as observed, round(expected, 6) as expected, round(((select count(*) from gm where gm.grp = ex.grp and event) - expected) ** 2 / expected, 6) as chi2 from ex""")
 def _(spark, d):
-    return trends.log_rank(_times(spark, d), "grp")
+    return trends.log_rank(_times(spark, d, SQL_POS), "grp")
 
 
 # --- process ---
@@ -372,7 +376,7 @@ def _(spark, d):
 
 @query("prefixspan_patterns")
 def _(spark, d):
-    return process.frequent_patterns(_log(spark, d).where("pos <= 12"))
+    return process.frequent_patterns(_log(spark, d))
 
 
 SYMBOLS = {"click": "C", "error": "E", "purchase": "P", "signup": "S", "view": "V"}
@@ -811,7 +815,7 @@ def _(spark, d):
 
 
 def _strings(spark, d) -> DataFrame:
-    return process.symbol_strings(_log(spark, d).where("pos <= 40"), SYMBOLS)
+    return process.symbol_strings(_log(spark, d), SYMBOLS)
 
 
 @query("sw_scores")
