@@ -809,9 +809,7 @@ def _(spark, d):
 @query("hmm_states")
 def _(spark, d):
     features = numeric.turn_features(_agents(spark, d))
-    rows = numeric.sampled(features, "session_key", 100).toPandas()
-    model = numeric.best_hmm([g.sort_values("turn")[list(numeric.FEATURES)].to_numpy(float) for _, g in rows.sort_values("session_key").groupby("session_key")], range(2, 4))
-    return numeric.hidden_states(features, model).groupBy("state").agg(F.count("*").alias("turns"))
+    return numeric.hidden_states(features, numeric.fitted_hmm(features)).groupBy("state").agg(F.count("*").alias("turns"))
 
 
 def _strings(spark, d) -> DataFrame:
@@ -846,7 +844,7 @@ def _(spark, d):
 @query("tpattern_significance")
 def _(spark, d):
     log = _log(spark, d).select(F.col("session_key").cast("bigint").alias("session_ord"), "session_key", "pos", "symbol")
-    return numeric.tpatterns_of(numeric.sampled(log, "session_key", 10 * numeric.FIT_SESSIONS), spark).tables["T-Patterns Level 1"]
+    return numeric.tpatterns_of(log, spark).tables["T-Patterns Level 1"]
 
 
 @query("cox_covariates")

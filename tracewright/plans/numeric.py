@@ -1,19 +1,23 @@
 """Iterative estimators: hidden states, Granger tests, proportional hazards, alignments, compression distances, time patterns, curves and change points.
 
 Features come from SQL.  What is estimated for one session, pair or convention
-runs in ``applyInPandas``; models of the whole corpus are fitted on a bounded,
-seeded sample of sessions (``FIT_SESSIONS``) and applied to all.
+runs in ``applyInPandas``; models of the whole corpus are fitted on all of it, by
+sums over partitions.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +29,7 @@ from ..operators.ordered import runs
 from ..result import TechniqueResult, findings_from_rows, findings_of, technique, union
 from . import process, trends
 
-FIT_SESSIONS, SAMPLE = 500, 50
+SAMPLE = 50
 
 
 def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -101,41 +105,122 @@ def fit_hmm(sequences: list[np.ndarray], n: int, rounds: int = 100, tolerance: f
         centre = np.array([flat[own == k].mean(axis=0) if (own == k).any() else centre[k] for k in range(n)])
     floor = 1e-3 + 1e-3 * flat.var(axis=0)
     model = Hmm(np.full(n, 1 / n), np.full((n, n), 1 / n), centre, np.tile(flat.var(axis=0) + floor, (n, 1)))
+    for _ in range(rounds):
+        sums = expected(model, sequences)
+        gain = sums[0] - model.loglik
+        model = maximised(sums, floor)
+        if abs(gain) < tolerance:
+            break
+    return model
+
+
+def expected(model: Hmm, sequences: list[np.ndarray]) -> tuple:
+    """Expectation step over some sequences (padded): log likelihood, and sums of starts, moves, weights, values and squares."""
+    n = len(model.start)
     size = np.array([len(s) for s in sequences])
     most, count = size.max(), len(sequences)
-    x = np.zeros((count, most, flat.shape[1]))
+    x = np.zeros((count, most, sequences[0].shape[1]))
     for i, s in enumerate(sequences):
         x[i, : len(s)] = s
     live = np.arange(most)[None] < size[:, None]
+    e = model.emission(x)
+    top = e.max(axis=2, keepdims=True)
+    like = np.where(live[..., None], np.exp(e - top), 1.0)
+    alpha, scale = np.empty_like(like), np.ones((count, most))
+    for t in range(most):
+        a = (model.start if t == 0 else alpha[:, t - 1] @ model.move) * like[:, t]
+        s = a.sum(axis=1) + 1e-300
+        a = a / s[:, None]
+        keep = live[:, t]
+        alpha[:, t] = a if t == 0 else np.where(keep[:, None], a, alpha[:, t - 1])
+        scale[:, t] = np.where(keep, s, 1.0)
+    total = float((np.log(scale) + np.where(live, top[..., 0], 0.0)).sum())
+    beta, pair = np.ones_like(like), np.zeros((n, n))
+    for t in range(most - 2, -1, -1):
+        nxt = like[:, t + 1] * beta[:, t + 1] / scale[:, t + 1][:, None]
+        keep = live[:, t + 1]
+        beta[:, t] = np.where(keep[:, None], nxt @ model.move.T, 1.0)
+        pair += np.einsum("si,ij,sj->ij", alpha[keep, t], model.move, nxt[keep])
+    gamma = alpha * beta
+    gamma = np.where(live[..., None], gamma / (gamma.sum(axis=2, keepdims=True) + 1e-300), 0.0)
+    return total, gamma[:, 0].sum(axis=0), pair, gamma.sum(axis=(0, 1)), np.einsum("stk,std->kd", gamma, x), np.einsum("stk,std->kd", gamma, x**2)
+
+
+def maximised(sums: tuple, floor: np.ndarray) -> Hmm:
+    """Maximisation step."""
+    total, start, pair, weight, values, squares = sums
+    weight = weight + 1e-12
+    mean = values / weight[:, None]
+    var = squares / weight[:, None] - mean**2
+    return Hmm(start / start.sum(), (pair + 1e-12) / (pair + 1e-12).sum(axis=1, keepdims=True), mean, np.maximum(var, 0) + floor, total)
+
+
+def session_sums(paths: DataFrame, work) -> tuple:
+    """Element sums of ``work(sequences)`` over all sessions; one row a partition reaches the driver."""
+
+    def partial(batches):
+        out = None
+        for pdf in batches:
+            seqs = sorted((np.asarray(x, float).reshape(-1, len(FEATURES)) for x in pdf.path), key=len)
+            while seqs:  # padded blocks of a bounded size, or one session
+                take = 1
+                while take < len(seqs) and (take + 1) * len(seqs[-take - 1]) <= 50_000 and (take + 1) * len(seqs[-1]) <= 100_000:
+                    take += 1
+                own = work(seqs[-take:])
+                out = own if out is None else [[a + b for a, b in zip(p, q, strict=True)] for p, q in zip(out, own, strict=True)]
+                del seqs[-take:]
+        if out is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "found": [pickle.dumps(out)]})
+
+    rows = sorted(paths.mapInPandas(partial, "part int, found binary").collect(), key=lambda r: r.part)
+    found = [pickle.loads(bytes(r.found)) for r in rows]
+    return [[sum(x[1:], x[0]) for x in zip(*each, strict=True)] for each in zip(*found, strict=True)]
+
+
+def fitted_hmm(features: DataFrame, sizes=range(2, 6), rounds: int = 100, tolerance: float = 1e-2) -> Hmm | None:
+    """:func:`best_hmm` of all sessions of ``session_key, turn, <features>``, its sums taken by partition.
+
+    All sizes advance in the same job; the first centres are the distinct turns of least hash.
+    """
+    turn = F.struct("turn", F.array(*(F.col(c).cast("double") for c in FEATURES)).alias("x"))
+    paths = features.groupBy("session_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(turn)), lambda r: r["x"])).alias("path"))
+    paths = paths.sortWithinPartitions("session_key").select("path").persist()
+    first = features.groupBy(*FEATURES).count().orderBy(F.xxhash64(F.lit(42), *FEATURES), *FEATURES).limit(max(sizes)).toPandas()  # one row a state
+    if not len(first):
+        return None
+    (turns, total, square), = session_sums(paths, lambda seqs: [[float(sum(map(len, seqs))), sum(s.sum(axis=0) for s in seqs), sum((s**2).sum(axis=0) for s in seqs)]])
+    spread = np.maximum(square / turns - (total / turns) ** 2, 0)
+    floor = 1e-3 + 1e-3 * spread
+    sizes = [n for n in sizes if n <= turns]
+    centres = [np.resize(first[list(FEATURES)].to_numpy(float), (n, len(FEATURES))) for n in sizes]
+
+    def nearest(seqs):
+        flat, out = np.concatenate(seqs), []
+        for c in centres:
+            own = np.eye(len(c))[((flat[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)]
+            out.append([own.sum(axis=0), own.T @ flat])
+        return out
+
+    for _ in range(20):
+        after = [np.where(n[:, None] > 0, v / np.maximum(n, 1)[:, None], c) for (n, v), c in zip(session_sums(paths, nearest), centres, strict=True)]
+        still = all((a == c).all() for a, c in zip(after, centres, strict=True))
+        centres = after
+        if still:
+            break
+    models = {n: Hmm(np.full(n, 1 / n), np.full((n, n), 1 / n), c, np.tile(spread + floor, (n, 1))) for n, c in zip(sizes, centres, strict=True)}
+    open_ = list(models)
     for _ in range(rounds):
-        e = model.emission(x)
-        top = e.max(axis=2, keepdims=True)
-        like = np.where(live[..., None], np.exp(e - top), 1.0)
-        alpha, scale = np.empty_like(like), np.ones((count, most))
-        for t in range(most):
-            a = (model.start if t == 0 else alpha[:, t - 1] @ model.move) * like[:, t]
-            s = a.sum(axis=1) + 1e-300
-            a = a / s[:, None]
-            keep = live[:, t]
-            alpha[:, t] = a if t == 0 else np.where(keep[:, None], a, alpha[:, t - 1])
-            scale[:, t] = np.where(keep, s, 1.0)
-        total = float((np.log(scale) + np.where(live, top[..., 0], 0.0)).sum())
-        beta, pair = np.ones_like(like), np.zeros((n, n))
-        for t in range(most - 2, -1, -1):
-            nxt = like[:, t + 1] * beta[:, t + 1] / scale[:, t + 1][:, None]
-            keep = live[:, t + 1]
-            beta[:, t] = np.where(keep[:, None], nxt @ model.move.T, 1.0)
-            pair += np.einsum("si,ij,sj->ij", alpha[keep, t], model.move, nxt[keep])
-        gamma = alpha * beta
-        gamma = np.where(live[..., None], gamma / (gamma.sum(axis=2, keepdims=True) + 1e-300), 0.0)
-        weight = gamma.sum(axis=(0, 1)) + 1e-12
-        mean = np.einsum("stk,std->kd", gamma, x) / weight[:, None]
-        var = np.einsum("stk,std->kd", gamma, x**2) / weight[:, None] - mean**2
-        gain = total - model.loglik
-        model = Hmm(gamma[:, 0].mean(axis=0), (pair + 1e-12) / (pair + 1e-12).sum(axis=1, keepdims=True), mean, np.maximum(var, 0) + floor, total)
-        if abs(gain) < tolerance:
+        now = [models[n] for n in open_]
+        found = session_sums(paths, lambda seqs: [list(expected(m, seqs)) for m in now])
+        gains = [sums[0] - models[n].loglik for n, sums in zip(open_, found, strict=True)]
+        for n, sums in zip(open_, found, strict=True):
+            models[n] = maximised(sums, floor)
+        open_ = [n for n, g in zip(open_, gains, strict=True) if abs(g) >= tolerance]
+        if not open_:
             break
-    return model
+    paths.unpersist()
+    width = len(FEATURES)
+    return min(models.items(), key=lambda x: ((x[0] * (x[0] - 1) + 2 * x[0] * width) * math.log(turns) - 2 * x[1].loglik, x[0]), default=(0, None))[1]
 
 
 def best_hmm(sequences: list[np.ndarray], sizes=range(2, 6)) -> Hmm | None:
@@ -171,11 +256,10 @@ def hsmm(frames: Frames, least_sessions: int = 10, least_turns: int = 20) -> Tec
     """Hidden behavioural states and the one before corrections."""
     spark = frames.sessions.sparkSession
     features = turn_features(frames)
-    rows = sampled(features, "session_key", FIT_SESSIONS).toPandas()
-    sequences = [g.sort_values("turn")[list(FEATURES)].to_numpy(float) for _, g in rows.sort_values("session_key").groupby("session_key")]
-    if len(sequences) < least_sessions or len(rows) < least_turns:
+    size = features.agg(F.count_distinct("session_key").alias("sessions"), F.count("*").alias("turns")).first()
+    if size.sessions < least_sessions or size.turns < least_turns:
         return TechniqueResult("hsmm", {}, spark.createDataFrame([], "technique string, label string, value_json string, description string"))
-    model = best_hmm(sequences)
+    model = fitted_hmm(features)
     summary = state_summary(hidden_states(features, model)).orderBy(F.desc("before_correction"), "state").toPandas()  # at most five rows
     at = FEATURES.index
     exploring = model.mean[:, at("read")] + model.mean[:, at("search")] > model.mean[:, [at(c) for c in ("edit", "bash", "skill", "other")]].sum(axis=1)
@@ -331,17 +415,83 @@ def cox_fit(x: np.ndarray, t: np.ndarray, event: np.ndarray, ridge: float = 1e-6
     return beta, np.sqrt(np.diag(np.linalg.inv(hessian))), float(hits / pairs) if pairs else 0.5
 
 
-def cox_regression(rows: DataFrame) -> tuple[DataFrame, float | None]:
-    """Covariate table and concordance, on at most ``10 * FIT_SESSIONS`` sessions by hash; a failure is a row of its own."""
+def risk_sums(rows: DataFrame, names: list[str], beta: np.ndarray) -> pd.DataFrame:
+    """One row a time: sums of risk, risk times covariates and their products, over all and over those with the event."""
+    eta = sum((float(b) * F.col(c) for c, b in zip(names, beta, strict=True)), F.lit(0.0))
+    r = F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), eta)))
+    terms = [r, *(r * F.col(c) for c in names), *(r * F.col(a) * F.col(b) for a in names for b in names)]
+    dead = lambda x: F.sum(F.when(F.col("event"), x).otherwise(0.0))
+    sums = [*(F.sum(x).alias(f"s{i}") for i, x in enumerate(terms)), *(dead(x).alias(f"d{i}") for i, x in enumerate(terms)), *(dead(F.col(c)).alias(f"x{i}") for i, c in enumerate(names))]
+    return rows.groupBy("duration").agg(F.count_if("event").alias("dead"), *sums).toPandas().sort_values("duration", ascending=False)
+
+
+def concordance_of(cells: pd.DataFrame) -> float:
+    """Share of comparable pairs in order, ties half, from ``duration, event, score, n``."""
+    scores, place = np.unique(cells.score.to_numpy(float), return_inverse=True)
+    cells = cells.assign(place=place)
+    tree = [0] * (len(scores) + 1)
+
+    def below(i: int) -> int:
+        out = 0
+        while i:
+            out += tree[i]
+            i -= i & -i
+        return out
+
+    hits = pairs = seen = 0
+    for _, same in cells.sort_values("duration", ascending=False).groupby("duration", sort=False):
+        for event in (False, True):  # those censored at a time outlive its events
+            some = same[same.event == event]
+            if event:
+                for i, n in zip(some.place.tolist(), some.n.tolist(), strict=True):
+                    less = below(i)
+                    pairs += n * seen
+                    hits += n * (less + 0.5 * (below(i + 1) - less))
+            for i, n in zip(some.place.tolist(), some.n.tolist(), strict=True):
+                seen += n
+                i += 1
+                while i < len(tree):
+                    tree[i] += n
+                    i += i & -i
+    return hits / pairs if pairs else 0.5
+
+
+def cox_regression(rows: DataFrame, ridge: float = 1e-6, rounds: int = 50) -> tuple[DataFrame, float | None]:
+    """Covariate table and concordance of all sessions; a failure is a row of its own.
+
+    A Newton step takes one row a distinct time to the driver, the concordance
+    one a distinct time and covariates.
+    """
     spark = rows.sparkSession
-    pdf = rows.orderBy(F.xxhash64(F.lit(42), *rows.columns)).limit(10 * FIT_SESSIONS).toPandas()
     names = [c for c in rows.columns if c not in ("duration", "event")]
-    used = [c for c in names if len(pdf) > 1 and pdf[c].std() > 1e-9]
+    size = rows.agg(F.count("*").alias("n"), F.count_if("event").alias("dead"), *(f(c).alias(f"{k}_{c}") for c in names for k, f in (("mean", F.avg), ("sd", F.stddev_samp)))).first()
+    used = [c for c in names if (size[f"sd_{c}"] or 0.0) > 1e-9]
     try:
-        if len(pdf) < 10 or not pdf.event.any() or not used:
+        if size.n < 10 or not size.dead or not used:
             raise ValueError("insufficient data")
-        x = ((pdf[used] - pdf[used].mean()) / pdf[used].std()).to_numpy(float)
-        beta, error, concordance = cox_fit(x, pdf.duration.to_numpy(float), pdf.event.to_numpy(bool))
+        z = rows.select("duration", "event", *(((F.col(c) - F.lit(size[f"mean_{c}"])) / F.lit(size[f"sd_{c}"])).alias(c) for c in used)).persist()
+        p, beta = len(used), np.zeros(len(used))
+        for _ in range(rounds):
+            by = risk_sums(z, used, beta)
+            s, d = (by[[f"{k}{i}" for i in range(1 + p + p * p)]].to_numpy(float) for k in "sd")
+            s = s.cumsum(axis=0)
+            x = by[[f"x{i}" for i in range(p)]].to_numpy(float)
+            gradient, hessian = x.sum(axis=0), ridge * np.eye(p)
+            for at in np.flatnonzero(by.dead.to_numpy()):
+                m = int(by.dead.iloc[at])
+                f = np.arange(m) / m
+                z0 = s[at, 0] - f * d[at, 0]
+                z1 = (s[at, 1 : p + 1] - f[:, None] * d[at, 1 : p + 1]) / z0[:, None]
+                gradient = gradient - z1.sum(axis=0)
+                hessian = hessian + ((1 / z0).sum() * s[at, p + 1 :] - (f / z0).sum() * d[at, p + 1 :]).reshape(p, p) - z1.T @ z1
+            step = np.linalg.solve(hessian, gradient - ridge * beta)
+            beta = beta + step
+            if np.abs(step).max() < 1e-8:
+                break
+        error = np.sqrt(np.diag(np.linalg.inv(hessian)))
+        cells = z.groupBy("duration", "event", *used).agg(F.count("*").alias("n")).toPandas()
+        concordance = concordance_of(cells.assign(score=(cells[used].to_numpy(float) * beta).sum(axis=1)))
+        z.unpersist()
         out = [(c, float(b), float(math.exp(b)), float(e), float(math.erfc(abs(b / e) / math.sqrt(2)))) for c, b, e in zip(used, beta, error, strict=True)]
         return spark.createDataFrame(out, "covariate string, coef double, hazard_ratio double, se double, p double"), round(concordance, 4)
     except (ValueError, np.linalg.LinAlgError) as failed:
@@ -474,45 +624,116 @@ def observed_within(codes: np.ndarray, n: int, window: int = 5) -> np.ndarray:
     return out
 
 
-def significant_pairs(codes: np.ndarray, names: list[str], window: int = 5, permutations: int = 100, sigmas: float = 2.5, seed: int = 0) -> list[tuple]:
-    """``pattern, observed, expected, z`` of pairs above mean + 2.5 deviations of seeded permutations."""
-    n, rng = len(names), np.random.default_rng(seed)
-    seen = observed_within(codes, n, window)
-    draws = np.array([observed_within(rng.permutation(codes), n, window) for _ in range(permutations)])
-    mean, sd = draws.mean(axis=0), draws.std(axis=0)
+def shuffled_moments(sizes: list[int], window: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Exact mean and deviation (n x n) of :func:`observed_within` over all orders of the codes, from how often each occurs."""
+    total = sum(sizes)
+    fall = lambda n, k: math.prod(n - i for i in range(k))
+    edge = min(window, total)  # places with fewer than ``window`` others on one side
+    pairs = sum(total - k for k in range(1, min(window, total - 1) + 1))
+    ends = lambda f: f(window) * max(0, total - edge) + sum(f(min(window, i)) for i in range(edge))
+    same = ends(lambda d: d * (d - 1))  # ordered couples of pairs with one first place; as many share the second
+    if total > 2 * window:
+        chain = 2 * (window * window * (total - 2 * window) + 2 * window * sum(range(window)))
+    else:
+        chain = 2 * sum(min(window, i) * min(window, total - 1 - i) for i in range(total))
+    apart = pairs * pairs - pairs - 2 * same - chain
+    share = lambda n, k: Fraction(n, fall(total, k)) if n else Fraction(0)
+    mean, sd = (np.zeros((len(sizes), len(sizes))) for _ in range(2))
+    for (i, a), (j, b) in itertools.product(enumerate(sizes), repeat=2):
+        if i == j:
+            first, square = pairs * share(fall(a, 2), 2), pairs * share(fall(a, 2), 2) + (2 * same + chain) * share(fall(a, 3), 3) + apart * share(fall(a, 4), 4)
+        else:
+            first, square = pairs * share(a * b, 2), pairs * share(a * b, 2) + same * share(a * b * (b - 1) + a * (a - 1) * b, 3) + apart * share(a * (a - 1) * b * (b - 1), 4)
+        mean[i, j], sd[i, j] = float(first), math.sqrt(max(Fraction(0), square - first * first))
+    return mean, sd
+
+
+def significant(seen: np.ndarray, sizes: list[int], names: list[str], window: int = 5, sigmas: float = 2.5) -> list[tuple]:
+    """``pattern, observed, expected, z`` of pairs above mean + 2.5 deviations over all permutations."""
+    n = len(names)
+    mean, sd = shuffled_moments(sizes, window)
     z = np.where(sd > 0, (seen - mean) / np.where(sd > 0, sd, 1), np.where(seen > mean, np.inf, -np.inf))
     return [(f"{names[i]}->{names[j]}", int(seen[i, j]), float(mean[i, j]), float(z[i, j])) for i in range(n) for j in range(n) if seen[i, j] > mean[i, j] + sigmas * sd[i, j]]
 
 
+def significant_pairs(codes: np.ndarray, names: list[str], window: int = 5, sigmas: float = 2.5) -> list[tuple]:
+    """:func:`significant` of one sequence."""
+    return significant(observed_within(codes, len(names), window), np.bincount(codes, minlength=len(names)).tolist(), names, window, sigmas)
+
+
 @technique("tpattern-detection", needs=("messages", "tool_calls", "tool_results"))
 def tpattern_detection(frames: Frames, intended: bool = False) -> TechniqueResult:
     """Pairs of events that follow each other more than by chance, and chains of two such pairs."""
     spark = frames.sessions.sparkSession
     log = process.pattern_codes(frames, intended).join(frames.sessions.select("session_key", "session_ord"), "session_key")
-    return tpatterns_of(sampled(log, "session_key", 10 * FIT_SESSIONS), spark)
+    return tpatterns_of(log, spark)
+
+
+def lagged_counts(log: DataFrame, names: list[str], window: int = 5) -> tuple[np.ndarray, Counter]:
+    """:func:`observed_within` and the counts of three in a row, over all of ``session_ord, pos, symbol``.
+
+    Partitions are ranges of the whole order; each returns its counts and the
+    codes at its two ends, from which pairs across partitions are added.
+    """
+    n = len(names)
+    at = {x: i for i, x in enumerate(names)}
+    edge = max(window, 2)
+
+    def count(batches):
+        pair, three, head, tail = np.zeros((n, n), np.int64), Counter(), [], np.zeros(0, np.int64)
+        for pdf in batches:
+            codes = pdf.symbol.map(at).to_numpy(np.int64)
+            head += codes[: edge - len(head)].tolist()
+            across(pair, three, tail, codes)
+            tail = np.concatenate([tail, codes])[-edge:]
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "found": [pickle.dumps((pair, three, head, tail.tolist()))]})
+
+    def across(pair, three, tail, codes):
+        """Adds what ends in ``codes`` and may begin in the ``tail`` before it."""
+        both, skip = np.concatenate([tail, codes]), len(tail)
+        for k in range(1, window + 1):
+            a, b = both[max(0, skip - k) : len(both) - k], both[max(k, skip) :]
+            np.add.at(pair, (a, b), 1)
+        begin = max(0, skip - 2)
+        ids, times = np.unique((both[begin:-2] * n + both[begin + 1 : -1]) * n + both[begin + 2 :], return_counts=True) if len(both) - begin > 2 else ([], [])
+        for i, t in zip(ids, times, strict=True):
+            three[int(i)] += int(t)
+
+    rows = log.select("session_ord", "pos", "symbol").repartitionByRange("session_ord", "pos").sortWithinPartitions("session_ord", "pos")
+    pair, three, tail = np.zeros((n, n), np.int64), Counter(), np.zeros(0, np.int64)
+    for row in sorted(rows.mapInPandas(count, "part int, found binary").collect(), key=lambda r: r.part):  # one row a partition
+        own, chains, head, last = pickle.loads(bytes(row.found))
+        pair += own
+        three.update(chains)
+        across(pair, three, tail, np.array(head, np.int64))
+        inside, again = np.zeros((n, n), np.int64), Counter()  # pairs inside the head are in the partition's own counts
+        across(inside, again, np.zeros(0, np.int64), np.array(head, np.int64))
+        pair -= inside
+        three.subtract(again)
+        tail = np.concatenate([tail, np.array(last, np.int64)])[-edge:]
+    return pair, three
 
 
 def tpatterns_of(log: DataFrame, spark) -> TechniqueResult:
-    """Over ``session_ord, pos, symbol``, sessions in sequence; codes are one byte each on the driver."""
-    rows = log.select("session_ord", "pos", "symbol").orderBy("session_ord", "pos").toPandas()
-    names = sorted(rows.symbol.unique())
-    if len(rows) < 10 or rows.session_ord.nunique() < 3:
-        return TechniqueResult("tpattern_detection", {}, one_row(spark, "tpattern_detection", {"total_events_analyzed": len(rows)}))
-    codes = rows.symbol.map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)
-    one = significant_pairs(codes, names)
+    """Over all of ``session_ord, pos, symbol``, sessions in sequence; counts reach the driver, not events."""
+    by = {r.symbol: r.n for r in log.groupBy("symbol").agg(F.count("*").alias("n")).collect()}  # one row a symbol
+    names, total = sorted(by), sum(by.values())
+    if total < 10 or log.select("session_ord").distinct().limit(3).count() < 3:
+        return TechniqueResult("tpattern_detection", {}, one_row(spark, "tpattern_detection", {"total_events_analyzed": total}))
+    seen, triples = lagged_counts(log, names)
+    one = significant(seen, [by[x] for x in names], names)
     z = {p: v for p, _, _, v in one}
     n = len(names)
-    triples = np.bincount((codes[:-2] * n + codes[1:-1]) * n + codes[2:], minlength=n**3)
     two = []
     for p, q in itertools.product(z, z):
         (a, b), (b2, c) = p.split("->"), q.split("->")
-        count = int(triples[(names.index(a) * n + names.index(b)) * n + names.index(c)]) if b == b2 else 0
+        count = triples[(names.index(a) * n + names.index(b)) * n + names.index(c)] if b == b2 else 0
         if count:
             two.append((f"{a}->{b}->{c}", count, min(z[p], z[q])))
     t1 = spark.createDataFrame(one, "pattern string, observed_count bigint, expected_count double, z_score double")
     t2 = spark.createDataFrame(two, "pattern string, observed_count bigint, z_score double")
     top = max(one, key=lambda r: (r[1], r[0]), default=(None,))[0]
-    findings = one_row(spark, "tpattern_detection", {"level_1_patterns": len(one), "level_2_patterns": len(two), "most_common_pattern": top, "total_events_analyzed": len(rows)})
+    findings = one_row(spark, "tpattern_detection", {"level_1_patterns": len(one), "level_2_patterns": len(two), "most_common_pattern": top, "total_events_analyzed": total})
     return TechniqueResult("tpattern_detection", {"T-Patterns Level 1": t1, "T-Patterns Level 2": t2}, findings)
 
 
@@ -544,15 +765,21 @@ def least_squares(f, p: np.ndarray, low: np.ndarray, high: np.ndarray, y: np.nda
 
 def sir_curve(beta: float, gamma: float, n: float, steps: int) -> np.ndarray:
     """Cumulative infected of the SIR model by fourth-order steps."""
-    state, out = np.array([n - 1.0, 1.0]), []
-    rate = lambda s: np.array([-beta * s[0] * s[1] / n, beta * s[0] * s[1] / n - gamma * s[1]])
+    s, i, out = n - 1.0, 1.0, []
+    b = beta / n
     for _ in range(steps):
-        out.append(n - state[0])
-        k1 = rate(state)
-        k2 = rate(state + k1 / 2)
-        k3 = rate(state + k2 / 2)
-        k4 = rate(state + k3)
-        state = state + (k1 + 2 * k2 + 2 * k3 + k4) / 6
+        out.append(n - s)
+        f = b * s * i
+        s1, i1 = -f, f - gamma * i
+        x, y = s + s1 / 2, i + i1 / 2
+        f = b * x * y
+        s2, i2 = -f, f - gamma * y
+        x, y = s + s2 / 2, i + i2 / 2
+        f = b * x * y
+        s3, i3 = -f, f - gamma * y
+        x, y = s + s3, i + i3
+        f = b * x * y
+        s, i = s + (s1 + 2 * s2 + 2 * s3 - f) / 6, i + (i1 + 2 * i2 + 2 * i3 + f - gamma * y) / 6
     return np.array(out)
 
 
@@ -580,8 +807,7 @@ def adoption_fits(curves: DataFrame) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        step = -(-len(pdf) // 500)
-        model, r2, rate, turn = fit_adoption(pdf["rank"].to_numpy()[::step], pdf.adopters.to_numpy()[::step])
+        model, r2, rate, turn = fit_adoption(pdf["rank"].to_numpy(), pdf.adopters.to_numpy())
         middle = turn / max(1, int(pdf["rank"].max()))
         shape = "unfitted" if r2 <= 0.7 else "early" if middle < 1 / 3 else "late" if middle > 2 / 3 else "steady"
         return pd.DataFrame([(pdf.bigram.iloc[0], int(pdf.adopters.max()), model, r2, rate, turn, shape)], columns=["bigram", "n_adopters", "best_model", "r2", "k_or_beta", "inflection_or_peak", "trajectory_class"])
