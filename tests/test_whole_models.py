@@ -71,3 +71,14 @@ def test_hidden_states_are_fitted_on_all_sessions(spark):
     assert sorted(model.mean[:, 0]) == pytest.approx(level, abs=0.1)
     local = numeric.expected(model, [g[list(numeric.FEATURES)].to_numpy(float) for _, g in pd.DataFrame(rows, columns=["session_key", "turn", *numeric.FEATURES, "corrected"]).groupby("session_key")])
     assert local[3].sum() == pytest.approx(1200 * 12) and local[0] == pytest.approx(model.loglik, abs=1)
+
+
+def test_topics_take_all_documents(spark, sf_dir):
+    from tracewright.plans import catalog
+
+    themes = [["alpha", "beta", "gamma"], ["delta", "omega", "sigma"], ["kappa", "theta", "zeta"]]
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(rng.choice(themes[i % 3], 12)), "en" if i % 2 else "fr") for i in range(2600)]
+    got = numeric.topic_terms(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(6), 3, top=3).collect()
+    assert sorted(sorted(r.term for r in got if r.topic == t) for t in range(3)) == sorted(map(sorted, themes))
+    assert {r.topic for r in catalog.QUERIES["topic_terms"](spark, sf_dir).collect()} == set(range(12))

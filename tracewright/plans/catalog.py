@@ -863,7 +863,7 @@ def _(spark, d):
 
 @query("topic_terms")
 def _(spark, d):
-    return numeric.topic_terms(read(spark, d, "documents").where("lang = 'en'"), 4, sample=500, vocabulary=1000).drop("weight")
+    return numeric.topic_terms(read(spark, d, "documents")).drop("weight")
 
 
 @query("fingerprint_pairs")

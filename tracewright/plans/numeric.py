@@ -968,14 +968,62 @@ def topics(weights: pd.DataFrame, k: int = 12, rounds: int = 200, seed: int = 42
     return w, h, [str(c) for c in table.columns]
 
 
-def topic_terms(docs: DataFrame, k: int = 12, top: int = 8, sample: int = 2000, vocabulary: int = 5000) -> DataFrame:
-    """``topic, rank, term, weight`` of a sample of documents over the most frequent terms, as the method samples them."""
+def topic_factors(rows: DataFrame, k: int, terms: int, rounds: int = 100, inner: int = 20, seed: int = 42) -> np.ndarray:
+    """Non-negative k x terms factors of all ``ids, weights`` (a document's term numbers and weights).
+
+    Document factors never leave their partition: each round solves them from the
+    current term factors by ``inner`` multiplicative updates and returns a k x terms
+    and a k x k sum.
+    """
+    h = np.random.default_rng(seed).random((k, terms)) + 0.1
+    rows = rows.persist()
+
+    def partial(batches):
+        up, gram, squares = np.zeros((k, terms)), np.zeros((k, k)), h @ h.T
+        for pdf in batches:
+            pdf = pdf[pdf.ids.map(len) > 0]
+            if not len(pdf):
+                continue
+            size = pdf.ids.map(len).to_numpy()
+            ids, value = np.concatenate(pdf.ids.to_list()).astype(np.int64), np.concatenate(pdf.weights.to_list())
+            xh = np.add.reduceat(value[:, None] * h.T[ids], np.cumsum(size) - size)
+            w = np.ones_like(xh)
+            for _ in range(inner):
+                w *= xh / (w @ squares + 1e-12)
+            for t in range(k):
+                up[t] += np.bincount(ids, value * np.repeat(w[:, t], size), terms)
+            gram += w.T @ w
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "found": [pickle.dumps((up, gram))]})
+
+    for _ in range(rounds):
+        found = [pickle.loads(bytes(r.found)) for r in sorted(rows.mapInPandas(partial, "part int, found binary").collect(), key=lambda r: r.part)]  # one row a partition
+        up, gram = (sum(x[1:], x[0]) for x in zip(*found, strict=True))
+        after = h
+        for _ in range(inner):
+            after = after * up / (gram @ after + 1e-12)
+        moved = np.linalg.norm(after - h) / (np.linalg.norm(h) + 1e-300)
+        h = after
+        if moved < 1e-4:
+            break
+    rows.unpersist()
+    return h
+
+
+def topic_terms(docs: DataFrame, k: int = 12, top: int = 8, vocabulary: int = 5000) -> DataFrame:
+    """``topic, rank, term, weight`` of all documents over the most frequent terms of all of them."""
     from .corpus import tf_idf
 
-    few = sampled(docs.where("text is not null").select("doc_id", "text"), "doc_id", sample)
-    v = tf_idf(few)
+    v = tf_idf(docs.where("text is not null").select("doc_id", "text")).persist()
     terms = v.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(vocabulary)
-    _, h, names = topics(v.join(F.broadcast(terms.select("term")), "term").select("doc_id", "term", "weight").toPandas().sort_values(["doc_id", "term"]), k)
+    names = sorted(r.term for r in terms.select("term").collect())  # at most ``vocabulary``
+    if not names:
+        return docs.sparkSession.createDataFrame([], "topic int, rank int, term string, weight double")
+    known = docs.sparkSession.createDataFrame(list(enumerate(names)), "id int, term string")
+    one = F.struct("id", "weight")
+    rows = v.join(F.broadcast(known), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    rows = rows.sortWithinPartitions("doc_id").select(F.transform("x", lambda e: e["id"]).alias("ids"), F.transform("x", lambda e: e["weight"]).alias("weights"))
+    h = topic_factors(rows, k, len(names))
+    v.unpersist()
     rows = [(t, r + 1, names[j], float(h[t, j])) for t in range(len(h)) for r, j in enumerate(np.lexsort((names, -h[t]))[:top])]
     return docs.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
