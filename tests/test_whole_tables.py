@@ -34,3 +34,8 @@ def test_sequence_queries_take_whole_sessions(spark, sf_dir):
     assert found and all(r.support == sum(holds(p, r.pattern.split(">")) for p in paths.values()) for r in found)
     seen = catalog._times(spark, sf_dir).agg(F.count_if("event").alias("n"), F.max("duration").alias("last")).first()
     assert seen.n == sum("error" in p for p in paths.values()) and seen.last > 12
+
+
+def test_similar_documents_from_cosine_two_fifths(spark, sf_dir):
+    low = catalog.QUERIES["similar_documents"](spark, sf_dir).agg(F.min("cosine")).first()[0]
+    assert 0.4 < low < 0.5

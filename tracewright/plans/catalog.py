@@ -858,7 +858,7 @@ def _(spark, d):
 @query("similar_documents")
 def _(spark, d):
     docs = read(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
-    return corpus.similar_documents(docs, 0.8)
+    return corpus.similar_documents(docs)
 
 
 @query("topic_terms")
