@@ -84,3 +84,11 @@ def test_query(spark, sf_dir):
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.n_bytes == len(texts[r.doc_id])
         media = audio.encode_wave(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_frames_cover_the_tail():
+    quiet = bytes([128]) * 384
+    loud = quiet[:354] + bytes([255, 0]) * 15
+    (a, span, none), (b, _, some) = (audio.features(audio.encode_wave(x)) for x in (quiet, loud))
+    assert span[-1, 1] * audio.RATE * audio.UP / audio.DOWN >= 288
+    assert not np.array_equal(a, b)

@@ -6,7 +6,7 @@ WAVE file.  Features are computed from the file read back:
 * *Resampling* by ``up/down`` with a windowed-sinc filter in polyphase form: each
   of the ``up`` phases is a strided window of the input times its own taps, so no
   zero is ever inserted or multiplied.
-* *Log-mel* energies of overlapped Hann frames, cut into patches of ``patch``
+* *Log-mel* energies of overlapped Hann frames, the last one filled with zeros, cut into patches of ``patch``
   frames (the last padded with the floor value).  A patch is a tensor of fixed
   shape ``patch x mels``, in Arrow's row-major order, with the time span that its
   frames cover.
@@ -126,7 +126,9 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float, fl
         rate, raw = f.getframerate(), f.readframes(f.getnframes())
     x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     low = rate * UP / DOWN
-    mel, level = log_mel(resample(x), low)
+    y = resample(x)
+    y = np.concatenate([y, np.zeros(max(FRAME - len(y), (FRAME - len(y)) % HOP), np.float32)])  # the last frame covers the tail
+    mel, level = log_mel(y, low)
     n = -(-len(mel) // PATCH)
     patches = np.full((n * PATCH, MELS), FLOOR_DB, np.float32)
     patches[: len(mel)] = mel
