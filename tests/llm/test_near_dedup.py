@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewright.llm.components import connected_components
-from tracewright.llm.near_dedup import near_groups, super_minhash
+from tracewright.llm.near_dedup import near_groups, one_of_each, super_minhash
 from tracewright.llm.textblocks import mix64
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +93,10 @@ def test_extra_columns_and_empty_table(docs, empty):
     clash = docs.withColumns({"cid": F.lit(1), "k0": F.lit("x"), "sig": F.lit(None).cast("int"), "kept": F.lit(2)})
     assert near_groups(clash).count() == docs.count()
     assert near_groups(empty).collect() == []
+
+
+def test_rows_without_shingles_all_stay(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, None)] * 3 + [(None, "")] * 2 + [(5, "")] * 2 + [(6, " \n")] + [(1, text)] * 2 + [(2, text)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), width=5).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows[:8] + [(1, text)], key=repr)

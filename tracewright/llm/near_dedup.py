@@ -352,10 +352,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     groups = materialize(near_groups(docs, **options), "groups")
     heads = groups.where("kept and group is not null").groupBy("group").agg(F.min(F.struct("k0", "k1")).alias("k")).select("k.*")
-    stay = heads.unionByName(groups.where("group is null").select("k0", "k1")).distinct()
+    none = groups.where("group is null").select("k0", "k1", F.lit(False).alias("__grouped"))
+    stay = heads.withColumn("__grouped", F.lit(True)).unionByName(none).distinct()
     keys = [c.alias(f"__k{i}") for i, c in enumerate(text_key())]
-    kept = docs.select("*", *keys).join(stay.withColumnsRenamed({"k0": "__k0", "k1": "__k1"}), ["__k0", "__k1"], "left_semi")
-    return kept.dropDuplicates(["__k0", "__k1"]).drop("__k0", "__k1")
+    kept = docs.select("*", *keys).join(stay.withColumnsRenamed({"k0": "__k0", "k1": "__k1"}), ["__k0", "__k1"])
+    kept = kept.withColumn("__row", F.when(F.col("__grouped"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["__k0", "__k1", "__row"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
