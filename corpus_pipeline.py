@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import line_dedup, mixing, near_dedup, piece_codec, quality
-from tracewright.llm.storage import materialize, release
+from tracewright.llm.storage import materialize
 
 ORACLE_SQL = None
 
@@ -66,5 +66,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{i}")
-        release(spark)
     return docs
