@@ -9,15 +9,17 @@ seeded random codes by least distance between codewords.  A text is flagged
 ambiguous where the two nearest codewords cost about the same.
 
 Training rows are a bounded sample: at most ``PER_LANGUAGE`` rows of each
-language and about ``SAMPLE`` in all, those with the least hashes of their ids
-among the rows learned from, whole texts.  Nothing but text is an input of a
-prediction.
+language and ``SAMPLE`` in all, but at least one of every language, those with the
+least hashes of their ids among the rows learned from, whole texts.  The fit runs
+in one task, and the driver gets codes and weights.  Nothing but text is an input
+of a prediction.  Texts are read in blocks; one very long text makes a block.
 
 Nulls: a null text, or one without any letter, is ``und`` with score 0.  Rows
 with null language or null id are never learned from; a null id counts as held
 out.  Without any language to learn everything is ``und``; with a single one
-every text with a letter is that.  Repeated rows get equal results; further
-columns are not read.
+every text with a letter is that.  Rows of one id and language take a place of
+the sample each and enter it as one row, with the least text; repeated rows get
+equal results.  Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .linear import Ridge, fit_ridge, frequencies, pack, trigrams, unpack
+from .linear import Ridge, fit_in_one_task, fit_ridge, frequencies, pack, trigrams, unpack
 from .textblocks import blocks
 
-SAMPLE, PER_LANGUAGE, LANGUAGES = 1600, 400, 400
+SAMPLE, PER_LANGUAGE = 1600, 400
 PENALTY, AMBIGUOUS, SEED = 10.0, 0.1, 17
 
 
@@ -91,31 +93,45 @@ def held_out_bucket(docs: DataFrame):
     return F.crc32(docs["doc_id"].cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Codes:
-    known = docs.where(learnable(docs))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if len(counts) < 2:
-        return Codes([r.lang for r in counts], code_matrix(len(counts)), np.ones(1), None)
-    each = max(1, min(per_language, sample // len(counts)))
-    # A threshold on the hash leaves a few more than wanted; ranking these few cuts to the number.
-    share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, (each + 4 * each**0.5) / r.n)))))
-    place = F.conv(F.substring(F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    few = known.select("lang", "text", "doc_id", place.alias("place")).where(F.col("place") <= share[F.col("lang")])
-    few = few.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", F.md5("text")))).where(F.col("nth") <= each)
-    rows = few.select("lang", "text").mapInArrow(_features, "lang string, keys binary, values binary").collect()
-    rows.sort(key=lambda r: (r.lang, bytes(r["keys"]), bytes(r["values"])))
-    languages = sorted({r.lang for r in rows})
+def _fit(rows: pa.Table) -> Codes:
+    rows = sorted(rows.to_pylist(), key=lambda r: (r["lang"], r["keys"], r["values"]))
+    languages = sorted({r["lang"] for r in rows})
     code = code_matrix(len(languages))
-    of = np.array([languages.index(r.lang) for r in rows])
+    if len(languages) < 2:
+        return Codes(languages, code, np.ones(1), None)
+    number = {x: i for i, x in enumerate(languages)}
+    of = np.array([number[r["lang"]] for r in rows])
     weight = 1 / np.bincount(of)[of]
     sparse = unpack([r["keys"] for r in rows], [r["values"] for r in rows])
     target = code[of].astype(np.float64)
     model = fit_ridge(sparse, np.zeros((len(rows), 0)), target, weight, PENALTY)
     right = (weight @ (np.sign(model.left_out) == target)) / weight.sum()
     gain = np.maximum(2 * right - 1, 0.01)
+    model.left_out = model.left_out[:0]
     return Codes(languages, code, gain / gain.mean() / len(gain) * code.shape[1] / 4, model)
 
 
+def training_rows(docs: DataFrame, sample: int, per_language: int) -> DataFrame:
+    """``lang, text`` of the sample.
+
+    Ids are ranked without their texts, of which the chosen ones (at most
+    ``sample``, or one a language) are fetched by a broadcast of their keys.
+    """
+    key = ["lang", "doc_id"]
+    known = docs.where(learnable(docs)).select(*key, "text")
+    languages = known.agg(F.count_distinct("lang")).first()[0]
+    each = max(1, min(per_language, sample // max(1, languages)))
+    place = F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string")))
+    first = W.partitionBy("lang").orderBy("place", "doc_id")
+    few = known.select(*key, place.alias("place")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each)
+    return known.join(F.broadcast(few.select(*key).distinct()), key).groupBy(*key).agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Codes:
+    rows = training_rows(docs, sample, per_language).mapInArrow(_features, "lang string, keys binary, values binary")
+    return fit_in_one_task(rows, _fit) or Codes([], code_matrix(0), np.ones(1), None)
+
+
 def _predict(shared):
     def run(batches):
         codes: Codes = shared.value

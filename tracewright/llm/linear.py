@@ -7,15 +7,17 @@ gather of weight rows and one segmented sum.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from .textblocks import _byte_table, utf8_buffers
 
 BITS = 13
-_CHUNK = 1 << 18
+_CHUNK, _COLUMNS = 1 << 18, 1 << 10
 
 
 def _tables(bits: int) -> list[np.ndarray]:
@@ -72,25 +74,48 @@ class Ridge:
 
 
 def fit_ridge(sparse: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray, targets: np.ndarray, weights: np.ndarray, penalty: float, bits: int = BITS) -> Ridge:
-    """Weighted ridge regression on frequencies (scaled by their spread) and standardised dense columns."""
+    """Weighted ridge regression on frequencies (scaled by their spread) and standardised dense columns.
+
+    The rows stay sparse; the kernel and the weights are taken from blocks of
+    ``_COLUMNS`` features, so the fit needs a few squares of the number of rows.
+    """
     n = len(sparse)
-    x = np.zeros((n, 1 << bits), np.float32)
-    for i, (key, value) in enumerate(sparse):
-        x[i, key] = value
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)  # rare trigrams count as much as common ones
-    x *= scale
-    centre, spread = dense.mean(axis=0), dense.std(axis=0) + 1e-9
-    z = ((dense - centre) / spread).astype(np.float32)
+    row = np.repeat(np.arange(n), [len(k) for k, _ in sparse])
+    key, value = (np.concatenate([x[i] for x in sparse]) for i in (0, 1))
+    order = np.argsort(key, kind="stable")
+    row, key, value = row[order], key[order], value[order]
     w = weights / weights.mean()
-    mx, mz = (w @ x / n).astype(np.float32), (w @ z / n).astype(np.float32)
-    my = w @ targets / n
     root = np.sqrt(w)[:, None]
-    x, z, y = (x - mx) * root.astype(np.float32), (z - mz) * root.astype(np.float32), (targets - my) * root
-    kernel = (x @ x.T + z @ z.T).astype(np.float64)
-    inverse = np.linalg.inv(kernel + penalty * np.eye(n))
+    scale = 1 / np.sqrt(np.bincount(key, value, 1 << bits) / n + 1e-5)  # rare trigrams count as much as common ones
+    mx = np.bincount(key, w[row] * value, 1 << bits) * scale / n
+    centre, spread = dense.mean(axis=0), dense.std(axis=0) + 1e-9
+    z = (dense - centre) / spread
+    mz, my = w @ z / n, w @ targets / n
+    z, y = (z - mz) * root, (targets - my) * root
+
+    def feature_blocks():
+        for first in range(0, 1 << bits, _COLUMNS):
+            a, b = np.searchsorted(key, (first, first + _COLUMNS))
+            block = np.zeros((n, min(_COLUMNS, 1 << bits)), np.float32)
+            block[row[a:b], key[a:b] - first] = value[a:b]
+            columns = slice(first, first + block.shape[1])
+            block *= scale[columns].astype(np.float32)
+            block -= mx[columns].astype(np.float32)
+            block *= root.astype(np.float32)
+            yield columns, block
+
+    kernel = z @ z.T
+    for _, block in feature_blocks():
+        kernel += block @ block.T
+    kernel[np.diag_indices(n)] += penalty
+    inverse = np.linalg.inv(kernel)
+    del kernel
     alpha = inverse @ y
     left_out = (y - alpha / np.diag(inverse)[:, None]) / root + my
-    wx = (x.T @ alpha).astype(np.float32)
+    del inverse
+    wx = np.empty((1 << bits, targets.shape[1]))
+    for columns, block in feature_blocks():
+        wx[columns] = block.T @ alpha
     wz = z.T @ alpha
     bias = my - mx @ wx - mz @ wz - (centre / spread) @ wz
     return Ridge(np.ascontiguousarray(scale[:, None] * wx, np.float32), wz / spread[:, None], bias, left_out)
@@ -118,3 +143,18 @@ def pack(sparse: list[tuple[np.ndarray, np.ndarray]]) -> tuple[pa.Array, pa.Arra
 
 def unpack(keys, values) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.frombuffer(k, np.int32), np.frombuffer(v, np.float32)) for k, v in zip(keys, values, strict=True)]
+
+
+def fit_in_one_task(rows: DataFrame, fit):
+    """What ``fit`` makes of all ``rows`` as one Arrow table, on an executor; the driver gets only that.
+
+    For samples with a documented bound.  None where there are no rows.
+    """
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            yield pa.record_batch([pa.array([pickle.dumps(fit(pa.Table.from_batches(batches)))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize, release
+from .storage import materialize
 from .substring_dedup import text_key
 from .textblocks import Words, blocks, mix64, ranges, signed
 
@@ -273,7 +273,6 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
         F.first("mark").alias("mark"),
     )
     classes = materialize(classes, "classes")
-    release(docs.sparkSession)
 
     in_bucket = classes.select("cid", F.posexplode("buckets").alias("band", "bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
@@ -293,7 +292,6 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     wanted = members.join(classes.select("cid", "key"), "cid").select("cid", "key.k0", "key.k1").distinct()
     texts = keyed.select("k0", "k1", "text").join(wanted, ["k0", "k1"]).select("cid", "text")
     texts = materialize(texts, "texts")
-    release(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
@@ -301,7 +299,6 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
         return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(width, threshold), "a long, b long")
 
     links = materialize(verified(first), "links")
-    release(docs.sparkSession)
     groups = materialize(connected_components(links), "groups")
 
     def mixed_blocks(groups: DataFrame) -> DataFrame:
@@ -323,16 +320,13 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     limits = (threshold - slack, threshold)
     best = mixed_blocks(groups).mapInArrow(_best_pairs(*limits), "a long, b long").distinct()
     links = links.unionByName(materialize(verified(best), "best-links"))
-    release(docs.sparkSession)
     groups = materialize(connected_components(links), "groups")
 
     rows = mixed_blocks(groups)
     rows = materialize(rows.mapInArrow(_possible_rows(*limits), rows.schema), "possible")
-    release(docs.sparkSession)
     rest = rows.join(texts, "cid").select("block", "query", "cid", "label", "n", "band", "sig", "mark", "text").repartition("block").sortWithinPartitions("block")
     rest = rest.mapInArrow(_verify_blocks(width, threshold, *limits), "a long, b long")
     links = links.unionByName(materialize(rest, "last-links"))
-    release(docs.sparkSession)
     groups = materialize(connected_components(links), "groups")
 
     heads = classes.select("cid", "f1", "head").join(groups.withColumnRenamed("node", "cid"), "cid", "left")

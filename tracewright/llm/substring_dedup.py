@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, release
+from .storage import materialize
 from .textblocks import Words, blocks, ranges, signed, sliding_min, utf8_buffers
 
 K, M = 35, 8
@@ -164,7 +164,6 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     keyed = docs.select(*text_key(), "text")
     path = keyed.mapInArrow(_paths(k, m), "k0 long, k1 long, anchor long, p1 long, p2 long, start int, edges int, loops boolean")
     found = materialize(path.join(often, "anchor"), "paths")
-    release(spark)
 
     distinct = found.groupBy("anchor", "p1", "p2").agg(
         F.count("*").alias("n"), F.max("loops").alias("loops"), F.min(F.struct("k0", "k1", "start", "edges")).alias("source")
@@ -180,7 +179,6 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     )
     edges = keyed.join(opened, ["k0", "k1"]).mapInArrow(_open_paths(k), "k0 long, k1 long, anchor long, start int, edge array<long>")
     edges = materialize(edges, "edges")
-    release(spark)
     twice = (
         edges.select("anchor", F.explode("edge").alias("edge"))
         .groupBy("anchor", "edge")
@@ -191,7 +189,6 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     )
     single = edges.join(twice, "anchor").select("k0", "k1", "start", "edge", "twice").mapInArrow(_match_edges, "k0 long, k1 long, start int, edges int")
     spans = materialize(whole.unionByName(single), "spans")
-    release(spark)
     return spans.groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "edges")).alias("spans"))
 
 
