@@ -18,19 +18,28 @@
 5. *Remaining links.*  Buckets that still hold several components are searched
    in blocks: the classes outside the bucket's largest component against all of
    its classes, by signature, each pair only in the first bucket that it shares.
-   All pairs of different components that are not ruled out are verified too.
-   Pairs inside one component need no test, since the result is reachability.
-   A block has a bounded number of classes, however large the bucket is, and
-   emits only what passes.
-6. *Grouping.*  Verified links are grouped by union-find over Spark joins.
+   The best pair of every two components of a block is verified first; what then
+   is still in different components and not ruled out is verified too.  Pairs
+   inside one component need no test, since the result is reachability.
+   A block has a bounded number of classes and of shingles, and emits only what
+   passes.  A bucket for which a class would enter more than ``FAN`` blocks is
+   divided first, by ``SUB_BANDS`` further bands of ``SUB_ROWS`` components each, so
+   that a class is copied a fixed number of times however large the bucket is.
+6. *Grouping.*  Verified links are grouped by union-find over Spark joins; later
+   links only name components, whose own graph is small.
 
 Signatures rule a pair out where fewer than ``threshold - slack`` of the
-components agree, four and a half standard deviations below the threshold.
-Classes are identified by 64 bits of a 128-bit fingerprint of the set.
+components agree, four and a half standard deviations below the threshold.  The
+further bands miss a pair at similarity 0.8 exactly with probability
+(1 - 0.8**8)**60 = 2e-5.  Classes are identified by 64 bits of a 128-bit
+fingerprint of the set.
 
 Nulls and empty texts have no shingles and link with nothing; null ids are
 allowed, and such a document is the head of its group only where no other
-member has an id.  Repeated rows are copies of each other.
+member has an id.  Repeated rows are copies of each other: a class is one row
+and has one text, however many copies there are.  Very long texts are hashed
+whole, one in a block by itself.  Further columns are not read by
+``near_groups`` and pass through ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,12 +49,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .storage import materialize
+from .components import connected_components, merge_components
+from .storage import SMALL_ROWS, drop, materialize
 from .substring_dedup import text_key
 from .textblocks import Words, blocks, mix64, ranges, signed
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SLACK, BLOCK = 4, 0.8, 38, 6, 0.12, 512
+SHINGLE, THRESHOLD, BANDS, ROWS, SLACK = 4, 0.8, 38, 6, 0.12
+BLOCK, BLOCK_SHINGLES, FAN, SUB_BANDS, SUB_ROWS = 512, 1 << 22, 16, 60, 8
 _GOLDEN = 0x9E3779B97F4A7C15
 _ODD = np.uint64(_GOLDEN)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -157,25 +167,57 @@ def _by_block(batches):
         yield pa.Table.from_batches(held)
 
 
+def _sub_bands(m: int) -> np.ndarray:
+    """The components of each further band (SUB_BANDS x SUB_ROWS)."""
+    rng = np.random.default_rng(11)
+    return np.array([rng.choice(m, SUB_ROWS, replace=False) for _ in range(SUB_BANDS)])
+
+
+def _divide(m: int):
+    """Rows of large buckets, once in each of the bucket's further bands; ``sub`` is its number."""
+    bands = _sub_bands(m)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            own = np.ascontiguousarray(sig[:, bands.T].transpose(2, 0, 1)).view(np.uint64)[:, :, 0]  # bands x rows
+            bucket = batch.column(1).to_numpy().view(np.uint64)
+            key = mix64(mix64(own + np.arange(len(bands), dtype=np.uint64)[:, None] * _ODD) ^ bucket)
+            at = pa.array(np.tile(np.arange(batch.num_rows), len(bands)))
+            sub = np.repeat(np.arange(len(bands), dtype=np.int32), batch.num_rows)
+            yield pa.record_batch(
+                [batch.column(0).take(at), pa.array(signed(key.ravel())), batch.column(2).take(at), pa.array(sub), *(batch.column(i).take(at) for i in (3, 4))],
+                ["cid", "bucket", "band", "sub", "n", "label"],
+            )
+
+    return run
+
+
 def _possible(t: pa.Table, least: float, ratio: float):
     """For each query row of a block the rows of other components that sizes and
     signatures do not rule out and that share no earlier bucket with it, and how
     many components of the signature agree."""
     query = t.column("query").to_numpy()
-    label, n, band = (t.column(x).to_numpy() for x in ("label", "n", "band"))
+    label, n, band, sub = (t.column(x).to_numpy() for x in ("label", "n", "band", "sub"))
     sig, mark = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("sig", np.uint8), ("mark", np.uint32)))
     rest = np.flatnonzero(~query)
+    earlier = _sub_bands(sig.shape[1])[: max(0, sub[0])].ravel()  # a block is of one further band
     for i in np.flatnonzero(query):
         other = rest[label[rest] != label[i]]
         other = other[np.minimum(n[other], n[i]) >= ratio * np.maximum(n[other], n[i])]
         agree = (sig[other] == sig[i]).sum(axis=1)
         new = (agree >= least * sig.shape[1]) & (mark[other, : band[i]] != mark[i, : band[i]]).all(axis=1)
+        if len(earlier) and new.any():
+            same = sig[other[new]][:, earlier] == sig[i, earlier]
+            new[new] = ~same.reshape(len(same), -1, SUB_ROWS).all(axis=2).any(axis=1)
         if new.any():
             yield i, other[new], agree[new]
 
 
 def _best_pairs(least: float, ratio: float):
-    """The pair with the most agreement of every two components of a block."""
+    """The pair with the most agreement of every two components of a block, and the components."""
 
     def run(batches):
         for t in _by_block(batches):
@@ -188,7 +230,8 @@ def _best_pairs(least: float, ratio: float):
                     found = (-int(agree[top]), *sorted((int(cid[i]), int(cid[other[top]]))))
                     sides = tuple(sorted((int(label[i]), int(j))))
                     best[sides] = min(best.get(sides, found), found)
-            yield pa.record_batch([pa.array([x[1] for x in best.values()], pa.int64()), pa.array([x[2] for x in best.values()], pa.int64())], ["a", "b"])
+            rows = [(x[1], x[2], *sides) for sides, x in best.items()]
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["a", "b", "la", "lb"])
 
     return run
 
@@ -208,13 +251,13 @@ def _possible_rows(least: float, ratio: float):
 
 
 def _verify_blocks(width: int, threshold: float, least: float, ratio: float):
-    """Pairs of a block whose full shingle sets meet the threshold."""
+    """Components of a block with a pair whose full shingle sets meet the threshold."""
     percent = round(100 * threshold)
 
     def run(batches):
         for t in _by_block(batches):
             t = t.combine_chunks()
-            cid = t.column("cid").to_numpy()
+            label = t.column("label").to_numpy()
             value, at = shingle_sets(t.column("text").chunk(0), width)
             size = np.diff(at)
             out = [[], []]
@@ -224,31 +267,47 @@ def _verify_blocks(width: int, threshold: float, least: float, ratio: float):
                 hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
                 both = np.add.reduceat(hit, np.append(0, np.cumsum(size[other]))[:-1], dtype=np.int64)
                 linked = other[100 * both >= percent * (size[i] + size[other] - both)]
-                out[0].append(np.minimum(cid[linked], cid[i]))
-                out[1].append(np.maximum(cid[linked], cid[i]))
+                out[0].append(np.minimum(label[linked], label[i]))
+                out[1].append(np.maximum(label[linked], label[i]))
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
-            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            found = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["la", "lb"])
 
     return run
 
 
-def _verify(width: int, threshold: float):
+def _verify(width: int, threshold: float, keep: list[str]):
+    """The columns ``keep`` of the rows whose two texts, the last columns, meet the threshold."""
     percent = round(100 * threshold)
 
     def run(batches):
         for block in blocks(batches, "ta"):
-            va, oa = shingle_sets(block.column(2), width)
-            vb, ob = shingle_sets(block.column(3), width)
+            va, oa = shingle_sets(block.column(len(keep)), width)
+            vb, ob = shingle_sets(block.column(len(keep) + 1), width)
             ok = np.zeros(block.num_rows, bool)
             for i in range(block.num_rows):
                 x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.record_batch(list(block.filter(pa.array(ok)).columns[:2]), ["a", "b"])
+            yield pa.record_batch(list(block.filter(pa.array(ok)).columns[: len(keep)]), keep)
 
     return run
 
 
+def class_texts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``cid, text``: one text of each class of ``wanted(cid, k0, k1)``.
+
+    Copies of a row are taken together before anything is shuffled.
+    """
+    if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        rows = keyed.select("k0", "k1", "text").join(F.broadcast(wanted), ["k0", "k1"]).groupBy("cid").agg(F.first("text").alias("text"))
+    else:
+        rows = keyed.groupBy("k0", "k1").agg(F.first("text").alias("text")).join(wanted, ["k0", "k1"]).select("cid", "text")
+    texts = materialize(rows, "texts")
+    drop(wanted)
+    return texts
+
+
 def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, slack: float = SLACK) -> DataFrame:
     """``doc_id, k0, k1, n_shingles, group, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -274,8 +333,8 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
     )
     classes = materialize(classes, "classes")
 
-    in_bucket = classes.select("cid", F.posexplode("buckets").alias("band", "bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
+    in_bucket = classes.select("cid", "n", F.posexplode("buckets").alias("band", "bucket"))
+    shared = in_bucket.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("bucket", "lead")
     members = materialize(in_bucket.join(shared, "bucket"), "members")
     signatures = classes.select("cid", "sig", "n")
 
@@ -288,46 +347,61 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESH
 
     stars = members.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
     first = materialize(compared(stars).select("a", "b"), "first-pairs")
-
-    wanted = members.join(classes.select("cid", "key"), "cid").select("cid", "key.k0", "key.k1").distinct()
-    texts = keyed.select("k0", "k1", "text").join(wanted, ["k0", "k1"]).select("cid", "text")
-    texts = materialize(texts, "texts")
+    wanted = members.select("cid").distinct().join(classes.select("cid", "key"), "cid").select("cid", "key.k0", "key.k1")
+    texts = class_texts(keyed, materialize(wanted, "wanted"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
         b = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(width, threshold), "a long, b long")
+        keep = pairs.columns
+        return pairs.join(b, "b").join(a, "a").select(*keep, "ta", "tb").mapInArrow(_verify(width, threshold, keep), ", ".join(f"{c} long" for c in keep))
 
     links = materialize(verified(first), "links")
-    groups = materialize(connected_components(links), "groups")
+    groups = connected_components(links)
+    drop(first, links)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Buckets with several groups: their largest group ``main`` and how many ``parts`` they are searched in."""
+        counts = rows.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+        each = counts.groupBy("bucket").agg(
+            F.count("*").alias("labels"), F.sum("m").alias("members"), F.sum("size").alias("size"), F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("largest")
+        )
+        parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
+        wide = F.least(parts, F.col("members") - F.col("largest")) > FAN
+        return each.where("labels > 1").select("bucket", "main", parts.alias("parts"), wide.alias("wide"))
 
     def mixed_blocks(groups: DataFrame) -> DataFrame:
         """Blocks of the buckets with several groups: the classes outside the largest as queries, and all."""
-        label = members.select("bucket", "band", "cid").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
-        label = materialize(label.select("cid", "bucket", "band", F.coalesce("component", "cid").alias("label")), "labelled")
-        counts = label.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("main"))
-        open_ = label.join(mixed.where("labels > 1").drop("labels"), "bucket").join(classes.select("cid", "n", "sig", "mark"), "cid")
-        parts = F.ceil(F.col("members") / BLOCK)
-        own = F.pmod(F.xxhash64("cid", "bucket"), parts)
-        every = F.sequence(F.lit(0).cast("long"), parts - 1)
+        label = members.select("bucket", "band", "cid", "n").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+        label = materialize(label.select("cid", "bucket", "band", F.lit(-1).alias("sub"), "n", F.coalesce("component", "cid").alias("label")), "labelled")
+        found = materialize(mixed(label), "mixed")
+        open_ = label.join(found.where("not wide").drop("wide"), "bucket")
+        if not found.where("wide").isEmpty():
+            wide = label.join(found.where("wide").select("bucket"), "bucket").join(classes.select("cid", "sig"), "cid")
+            part = wide.select("cid", "bucket", "band", "n", "label", "sig").mapInArrow(_divide(bands * rows), label.schema)
+            part = materialize(part, "divided")
+            open_ = open_.unionByName(part.join(mixed(part).drop("wide"), "bucket"))
+        open_ = open_.join(classes.select("cid", "sig", "mark"), "cid")
+        own = F.pmod(F.xxhash64("cid", "bucket"), F.col("parts"))
+        every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
         ask = open_.where(F.col("label") != F.col("main")).withColumn("query", F.lit(True)).withColumn("q", own).withColumn("r", F.explode(every))
         answer = open_.withColumn("query", F.lit(False)).withColumn("r", own).join(ask.select("bucket", "q").distinct(), "bucket")
         block = F.xxhash64("bucket", "q", "r").alias("block")
-        columns = (block, "query", "cid", "label", "n", "band", "sig", "mark")
+        columns = (block, "query", "cid", "label", "n", "band", "sub", "sig", "mark")
         return ask.select(*columns).unionByName(answer.select(*columns)).repartition("block").sortWithinPartitions("block")
 
     limits = (threshold - slack, threshold)
-    best = mixed_blocks(groups).mapInArrow(_best_pairs(*limits), "a long, b long").distinct()
-    links = links.unionByName(materialize(verified(best), "best-links"))
-    groups = materialize(connected_components(links), "groups")
-
-    rows = mixed_blocks(groups)
-    rows = materialize(rows.mapInArrow(_possible_rows(*limits), rows.schema), "possible")
-    rest = rows.join(texts, "cid").select("block", "query", "cid", "label", "n", "band", "sig", "mark", "text").repartition("block").sortWithinPartitions("block")
-    rest = rest.mapInArrow(_verify_blocks(width, threshold, *limits), "a long, b long")
-    links = links.unionByName(materialize(rest, "last-links"))
-    groups = materialize(connected_components(links), "groups")
+    best = mixed_blocks(groups).mapInArrow(_best_pairs(*limits), "a long, b long, la long, lb long").distinct()
+    links = materialize(verified(best), "best-links")
+    groups = merge_components(groups, links)
+    drop(links)
+
+    open_rows = mixed_blocks(groups)
+    possible = materialize(open_rows.mapInArrow(_possible_rows(*limits), open_rows.schema), "possible")
+    rest = possible.join(texts, "cid").select(*open_rows.columns, "text").repartition("block").sortWithinPartitions("block")
+    links = materialize(rest.mapInArrow(_verify_blocks(width, threshold, *limits), "la long, lb long").distinct(), "last-links")
+    groups = merge_components(groups, links)
+    drop(links, possible, texts, members)
 
     heads = classes.select("cid", "f1", "head").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     heads = heads.withColumn("component", F.coalesce("component", "cid"))
@@ -344,14 +418,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Where rows share the head's id, the one with the least text hash stays.
     """
-    groups = materialize(near_groups(docs, **options), "groups")
+    groups = materialize(near_groups(docs, **options), "near-groups")
     heads = groups.where("kept and group is not null").groupBy("group").agg(F.min(F.struct("k0", "k1")).alias("k")).select("k.*")
-    none = groups.where("group is null").select("k0", "k1", F.lit(False).alias("__grouped"))
-    stay = heads.withColumn("__grouped", F.lit(True)).unionByName(none).distinct()
-    keys = [c.alias(f"__k{i}") for i, c in enumerate(text_key())]
-    kept = docs.select("*", *keys).join(stay.withColumnsRenamed({"k0": "__k0", "k1": "__k1"}), ["__k0", "__k1"])
-    kept = kept.withColumn("__row", F.when(F.col("__grouped"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["__k0", "__k1", "__row"]).select(*docs.columns)
+    none = groups.where("group is null").select("k0", "k1", F.lit(False).alias("grouped"))
+    stay = heads.withColumn("grouped", F.lit(True)).unionByName(none).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *text_key())
+    kept = rows.join(stay, ["k0", "k1"])
+    kept = kept.withColumn("one", F.when(F.col("grouped"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["k0", "k1", "one"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
