@@ -10,33 +10,42 @@ is repeated, and every word it covers goes.
    paths of its anchor.  About one row leaves the scan for 14 edges.
 2. *Repeated anchors.*  Anchors are counted; a join keeps the paths of those
    that occur at least twice (or whose path repeats an edge within itself).
-3. *Compaction.*  If all paths of an anchor are the same sequence, the path has
-   no branch: it stays one row and is repeated as a whole.  Where an anchor has
-   different paths, those that occur twice are still repeated as a whole; those
-   that occur once, with one source of each of the others, are *opened* into
-   edges at their source coordinates, and the edges are counted.
-4. *Spans.*  Repeated paths and edges return to their documents as word spans,
-   which are merged where they touch, and the words outside them are kept.
-
-Paths are compared by three independent 64-bit values (anchor and two hashes of
-the sequence), edges by anchor and edge hash.
+3. *Opening.*  If all paths of an anchor are the same sequence, the path has no
+   branch: it stays one row and is repeated as a whole.  Where an anchor has
+   different paths, those that occur twice are still repeated as a whole; one
+   source of each is *opened* into edges, each with the hashes of its two nodes.
+4. *Compaction.*  Edges that occur twice are joined to the nodes' degrees in the
+   graph of repeated edges.  Runs of repeated edges of a path that pass no
+   branching node, and that follow the same other occurrence, become one row.
+5. *Verification.*  Each row is a long span with the coordinates of another
+   occurrence.  The words at both coordinates are read from the texts, and a span
+   counts only if they are the same (by a 128-bit digest of the words).
+6. *Spans.*  Verified spans return to their documents and are merged where they
+   touch, and the words outside them are kept.
+
+Paths are found by three independent 64-bit values (anchor and two hashes of the
+sequence), edges by anchor and edge hash; equal words are told by verification.
+Edges and spans are rows throughout, so a very common anchor is many keys.
 
 Nulls: a null text has no words.  Rows are addressed by ``doc_id`` and a hash of
 the text, so null or repeated ids are fine and equal rows get equal results.
 Texts with fewer than ``k`` words lose nothing.  Any further columns, also those
-named like the ones used here, stay untouched.  An empty table gives no rows.
+named like the ones used here, are not read.  An empty table gives no rows.  Very
+long texts are hashed whole, one in a block by itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import drop, materialize
 from .textblocks import Words, blocks, ranges, signed, sliding_min, utf8_buffers
 
 K, M = 35, 8
@@ -50,6 +59,11 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> list:
     ]
 
 
+def one_text(keyed: DataFrame) -> DataFrame:
+    """One of each group of equal rows, taken together before anything is shuffled."""
+    return keyed.groupBy("k0", "k1").agg(F.first("text").alias("text"))
+
+
 def path_rows(words: Words, k: int, m: int):
     """Paths of a block: row, first edge, number of edges, anchor, self-repeating, and a span hash."""
     n = len(words.starts)
@@ -110,7 +124,7 @@ def _paths(k: int, m: int):
 
 
 def _open_paths(k: int):
-    """Edges of the paths to open, at their coordinates in the text."""
+    """Edges of the paths to open, at their coordinates in the text, with their nodes."""
 
     def run(batches):
         for block in blocks(batches):
@@ -120,75 +134,113 @@ def _open_paths(k: int):
             counts = np.diff(np.frombuffer(todo.buffers()[1], np.int32)[todo.offset : todo.offset + len(todo) + 1])
             paths = todo.flatten()
             start, edges = (np.asarray(paths.field(x)).astype(np.int64) for x in ("start", "edges"))
+            path = np.repeat(np.arange(len(start)), edges)
             row = np.repeat(np.arange(len(counts)), counts)
-            edge = signed(spans.of(ranges(words.first[:-1][row] + start, edges), k))
+            at = ranges(start, edges)
+            place = at + words.first[:-1][row[path]]
             yield pa.record_batch(
                 [
-                    block.column(0).take(pa.array(row)),
-                    block.column(1).take(pa.array(row)),
-                    paths.field("anchor"),
-                    paths.field("start"),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(edges)).astype(np.int32)), pa.array(edge)),
+                    block.column(0).take(pa.array(row[path])),
+                    block.column(1).take(pa.array(row[path])),
+                    paths.field("anchor").take(pa.array(path)),
+                    pa.array(start[path].astype(np.int32)),
+                    pa.array(at.astype(np.int32)),
+                    pa.array(signed(spans.of(place, k))),
+                    pa.array(signed(spans.of(place, k - 1))),
+                    pa.array(signed(spans.of(place + 1, k - 1))),
                 ],
-                ["k0", "k1", "anchor", "start", "edge"],
+                ["k0", "k1", "anchor", "path", "at", "edge", "source", "target"],
             )
 
     return run
 
 
-def _match_edges(batches):
-    """Runs of edges of each opened path that are in its anchor's repeated set."""
-    for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for i in range(batch.num_rows):
-            edge = np.asarray(batch.column(3)[i].values)
-            hit = np.flatnonzero(np.isin(edge, np.asarray(batch.column(4)[i].values)))
-            if not len(hit):
-                continue
-            cut = np.flatnonzero(np.append(True, np.diff(hit) > 1))
-            n = np.diff(np.append(cut, len(hit)))
-            start = batch.column(2)[i].as_py() + hit[cut]
-            for column, values in zip(out, ([batch.column(0)[i].as_py()] * len(n), [batch.column(1)[i].as_py()] * len(n), start, n), strict=True):
-                column.extend(values)
-        yield pa.record_batch(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())],
-            ["k0", "k1", "start", "edges"],
-        )
+def compacted(edges: DataFrame) -> DataFrame:
+    """``k0, k1, start, edges`` and the other occurrence ``o0, o1, o_start`` of nonbranching runs of repeated edges."""
+    spot = F.struct("k0", "k1", "at")
+    repeated = edges.groupBy("anchor", "edge").agg(
+        F.count("*").alias("n"), F.min(spot).alias("lo"), F.max(spot).alias("hi"), F.first("source").alias("source"), F.first("target").alias("target")
+    )
+    repeated = materialize(repeated.where("n > 1").drop("n"), "repeated-edges")
+    ends = repeated.select(F.col("source").alias("node"), F.lit(1).alias("leaving"), F.lit(0).alias("entering"))
+    ends = ends.unionByName(repeated.select(F.col("target").alias("node"), F.lit(0).alias("leaving"), F.lit(1).alias("entering")))
+    branching = ends.groupBy("node").agg(F.sum("leaving").alias("leaving"), F.sum("entering").alias("entering")).where("leaving > 1 or entering > 1")
+    known = repeated.join(branching.select("node"), F.col("source") == F.col("node"), "left")
+    known = known.select("anchor", "edge", "lo", "hi", F.col("node").isNotNull().alias("branches"))
+    rows = edges.select("k0", "k1", "anchor", "path", "at", "edge").join(known, ["anchor", "edge"])
+    other = F.when(F.col("lo") == spot, F.col("hi")).otherwise(F.col("lo"))
+    rows = rows.select("k0", "k1", "path", "at", "branches", other.alias("o"))
+    w = W.partitionBy("k0", "k1", "path").orderBy("at")
+    follows = (F.lag("at").over(w) == F.col("at") - 1) & ~F.col("branches")
+    follows &= (F.lag("o.k0").over(w) == F.col("o.k0")) & (F.lag("o.k1").over(w) == F.col("o.k1")) & (F.lag("o.at").over(w) == F.col("o.at") - 1)
+    rows = rows.withColumn("new", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    runs = rows.groupBy("k0", "k1", "path", "run").agg(F.min("at").alias("start"), F.count("*").cast("int").alias("edges"), F.min("o").alias("o"))
+    return runs.select("k0", "k1", "start", "edges", F.col("o.k0").alias("o0"), F.col("o.k1").alias("o1"), F.col("o.at").alias("o_start"))
+
+
+def _digests(k: int):
+    """A digest of the words of each span, as they are in the text."""
+
+    def run(batches):
+        for block in blocks(batches):
+            data, offsets = utf8_buffers(block.column(2))
+            raw = data.tobytes()
+            out: list[list] = [[], [], []]
+            counts = []
+            for i, spans in enumerate(block.column(3).to_pylist()):
+                words = raw[offsets[i] : offsets[i + 1]].split()
+                counts.append(len(spans))
+                for span in spans:
+                    a, n = span["start"], span["edges"]
+                    value = hashlib.blake2b(b" ".join(words[a : a + n + k - 1]), digest_size=16).digest()
+                    for column, x in zip(out, (a, n, value), strict=True):
+                        column.append(x)
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.record_batch(
+                [block.column(0).take(row), block.column(1).take(row), pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
+                ["k0", "k1", "start", "edges", "digest"],
+            )
+
+    return run
+
+
+def verified(spans: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """The spans whose words are those at the other occurrence."""
+    own = ["k0", "k1", "start", "edges"]
+    other = spans.select(F.col("o0").alias("k0"), F.col("o1").alias("k1"), F.col("o_start").alias("start"), "edges")
+    needed = spans.select(*own).unionByName(other).groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "edges")).alias("spans"))
+    texts = one_text(keyed).join(needed, ["k0", "k1"]).mapInArrow(_digests(k), "k0 long, k1 long, start int, edges int, digest binary")
+    digest = materialize(texts, "digests")
+    theirs = digest.select(F.col("k0").alias("o0"), F.col("k1").alias("o1"), F.col("start").alias("o_start"), "edges", F.col("digest").alias("theirs"))
+    return spans.join(digest, own).join(theirs, ["o0", "o1", "o_start", "edges"]).where("digest = theirs").select(*own)
 
 
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """``k0, k1, spans``: for each row with any, its repeated runs of edges (first word, edges)."""
-    spark = docs.sparkSession
     anchors = docs.select("text").mapInArrow(_anchors(k, m), "anchor long, loops boolean")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.max("loops").alias("any")).where("n > 1 or any").select("anchor")
     keyed = docs.select(*text_key(), "text")
     path = keyed.mapInArrow(_paths(k, m), "k0 long, k1 long, anchor long, p1 long, p2 long, start int, edges int, loops boolean")
     found = materialize(path.join(often, "anchor"), "paths")
 
-    distinct = found.groupBy("anchor", "p1", "p2").agg(
-        F.count("*").alias("n"), F.max("loops").alias("loops"), F.min(F.struct("k0", "k1", "start", "edges")).alias("source")
-    )
+    spot = F.struct("k0", "k1", "start")
+    distinct = found.groupBy("anchor", "p1", "p2").agg(F.count("*").alias("n"), F.max("loops").alias("loops"), F.max("edges").alias("edges"), F.min(spot).alias("lo"), F.max(spot).alias("hi"))
     distinct = materialize(distinct, "distinct-paths")
     branching = distinct.groupBy("anchor").agg((F.count("*") > 1).alias("branches"), F.max("loops").alias("any")).where("branches or any")
-    whole = found.join(distinct.where("n > 1").select("anchor", "p1", "p2"), ["anchor", "p1", "p2"]).select("k0", "k1", "start", "edges")
+    whole = found.join(distinct.where("n > 1").select("anchor", "p1", "p2", "lo", "hi"), ["anchor", "p1", "p2"])
+    other = F.when(F.col("lo") == spot, F.col("hi")).otherwise(F.col("lo"))
+    whole = whole.withColumn("o", other).select("k0", "k1", "start", "edges", F.col("o.k0").alias("o0"), F.col("o.k1").alias("o1"), F.col("o.start").alias("o_start"))
     opened = (
         distinct.join(branching.select("anchor"), "anchor")
-        .select("anchor", "source.*")
+        .select("anchor", "lo.*", "edges")
         .groupBy("k0", "k1")
         .agg(F.collect_list(F.struct("anchor", "start", "edges")).alias("todo"))
     )
-    edges = keyed.join(opened, ["k0", "k1"]).mapInArrow(_open_paths(k), "k0 long, k1 long, anchor long, start int, edge array<long>")
+    edges = one_text(keyed).join(opened, ["k0", "k1"]).mapInArrow(_open_paths(k), "k0 long, k1 long, anchor long, path int, at int, edge long, source long, target long")
     edges = materialize(edges, "edges")
-    twice = (
-        edges.select("anchor", F.explode("edge").alias("edge"))
-        .groupBy("anchor", "edge")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .groupBy("anchor")
-        .agg(F.collect_list("edge").alias("twice"))
-    )
-    single = edges.join(twice, "anchor").select("k0", "k1", "start", "edge", "twice").mapInArrow(_match_edges, "k0 long, k1 long, start int, edges int")
-    spans = materialize(whole.unionByName(single), "spans")
+    spans = materialize(whole.unionByName(compacted(edges)), "spans")
+    drop(found, distinct, edges)
+    spans = materialize(verified(spans, keyed, k), "verified-spans")
     return spans.groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "edges")).alias("spans"))
 
 
