@@ -37,12 +37,30 @@ def test_plain_and_odd_texts(codec, library, spark, sf_dir):
     same(codec, library, ["", None, " ", "   ", "\n", "\t\n ", " a", "a  b   c    d", "x\r\ny", "▁▁a▁", "日本語 ünï 🙂‍", "\x00a", "{ }\r", "  \n  x", "=" * 300, "aaaa" * 300, "<0x0A> <s> </s> <unk>", "é" * 50])
 
 
-def test_long_segments_take_the_heap_alike(codec, library, monkeypatch):
+def odd_segments(rng):
+    words = ["international", "the", "und", "ation", "▁", "é", "日本語", "aaaa", "==", "0x", "."]
+    yield "".join(rng.choice(list("abcdethe_rin#"), 3000))
+    yield "".join(rng.choice(words, 1500))
+    yield from ("ab" * 2500, "a" * 5001, "=" * 4097, "abc" * 1000, "日本" * 1500, "tion" * 900 + "s")
+    yield "".join(chr(c) for c in rng.integers(33, 0x3000, 4000))
+
+
+def test_long_segments_merge_in_reach(codec, library, monkeypatch):
     rng = np.random.default_rng(5)
-    texts = ["".join(rng.choice(list("abcdethe_rin#"), 3000)), "ab" * 2500]
+    texts = list(odd_segments(rng))
     same(codec, library, texts)
     monkeypatch.setattr(piece_codec, "LONG", 3)
-    same(PieceCodec(codec.t), library, [*texts, "small words too", "thhaen thhaen international"])
+    plain = ["small words too", "thhaen thhaen international", *("".join(rng.choice(list("etaoinshr"), 40)) for _ in range(300))]
+    same(PieceCodec(codec.t), library, [*texts, *plain])
+
+
+def test_megabytes_without_spaces(codec, library):
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 5_000_000))
+    ids, _ = codec.encode([text])
+    want = np.array(library.encode(text))
+    assert np.array_equal(ids, want)
+    assert codec.decode(ids, np.array([0, len(ids)]))[0].decode() == text
 
 
 @settings(max_examples=300, deadline=None)

@@ -9,20 +9,27 @@ library's agenda does), merges it, compacts the array and ranks the two pairs
 that changed.  Segments leave the array when no pair of theirs is a piece.
 Characters that are no piece become byte pieces.
 
-Segments above ``LONG`` symbols would need that many rounds over themselves and
-take the same steps through a heap instead.
+Segments above ``LONG`` symbols, as of texts without spaces, merge in the same
+rounds but in many places at once.  A pair that nothing of lower rank precedes or
+follows within ``reach`` symbols, the length of the longest piece, is merged
+before any of its neighbours in the leftmost-least order too: whatever would
+consume one of its symbols first would have to be a piece that spans the reach.
+Pairs of the same rank in a row merge alternately from its first.  Where a pair
+would make one of no higher rank with its neighbours, pairs of its rank behind it
+wait for the next round.  Such segments are first cut between characters that are
+neighbours in no piece.
 
 Decoding gathers the bytes of all ids of a block through one piece table; a
 leading space is dropped, as the encoder has put it there.
 
 A null text is encoded like an empty one: no ids, and an empty decoded text.
-Rows are independent: null or repeated ids, repeated rows and further columns do
-not matter.  The model's tables (bounded by the vocabulary) are broadcast.
+Rows are independent: null or repeated ids, repeated rows and further columns,
+whatever their names, do not matter.  Memory follows the longest text.  The
+model's tables (bounded by the vocabulary) are broadcast.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import blocks, ranges
+from .textblocks import blocks, ranges, sliding_min
 
 LONG, CACHE = 2048, 200_000
 _SPACE = "▁"
@@ -87,6 +94,16 @@ class PieceTables:
         self.pair = np.array(keys, np.int64)
         self.pair_rank = np.array([pairs[k][0] for k in keys], np.int64)
         self.pair_to = np.array([pairs[k][1] for k in keys], np.int64)
+        # Symbols none of whose pairs ranks at or before the pair that makes them.
+        made = np.full(self.size, -1, np.int64)
+        np.maximum.at(made, self.pair_to, self.pair_rank)
+        least = np.full(self.size, _NO)
+        np.minimum.at(least, self.pair // self.size, self.pair_rank)
+        np.minimum.at(least, self.pair % self.size, self.pair_rank)
+        self.settled = least > made
+        self.reach = max(len(piece) for piece in ids)
+        near = {ord(a) << 21 | ord(b) for piece in ids for a, b in zip(piece, piece[1:], strict=False)}
+        self.neighbours = np.array(sorted(near), np.int64)
         inner = {c for piece in ids if len(piece) > 1 for c in piece}
         crossing = any(_SPACE in piece.lstrip(_SPACE) for piece in ids)
         alone = "".join(c for c in "\n\t" if c not in inner)
@@ -121,8 +138,61 @@ class PieceCodec:
         at = np.minimum(np.searchsorted(self.t.codes, code), len(self.t.codes) - 1)
         return np.where(self.t.codes[at] == code, self.t.code_symbol[at], -1 - code)
 
-    def _rounds(self, symbol: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge until no pair remains; symbols and their segments, segments ascending."""
+    def _cuts(self, text: str) -> np.ndarray:
+        """Which characters of a text can follow the one before them inside no piece."""
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        code[code == 0x20] = ord(_SPACE)
+        key = code[:-1] << 21 | code[1:]
+        at = np.minimum(np.searchsorted(self.t.neighbours, key), len(self.t.neighbours) - 1)
+        return np.append(False, self.t.neighbours[at] != key)
+
+    def _first_of_segment(self, segment: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The leftmost pair of least rank of each segment."""
+        head = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+        least = np.minimum.reduceat(rank, head)
+        hit = np.flatnonzero(rank == np.repeat(least, np.diff(np.append(head, len(rank)))))
+        return hit[np.append(True, segment[hit[1:]] != segment[hit[:-1]])]
+
+    def _first_in_reach(self, symbol: np.ndarray, rank: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Pairs that no pair within reach can prevent."""
+        reach, n = self.t.reach, len(rank)
+
+        def around(values):
+            least = sliding_min(np.concatenate([np.full(reach, _NO), values, np.full(reach, _NO)]), reach)
+            return least[:n], least[reach + 1 : reach + 1 + n]
+
+        before, after = around(rank)
+        free = (rank < _NO) & (before >= rank) & (after >= rank)
+        row = np.append(False, rank[1:] == rank[:-1])
+        first = np.maximum.accumulate(np.where(row, 0, np.arange(n)))
+        free &= ((np.arange(n) - first) & 1 == 0) & (before[first] >= rank)
+        loud = self._loud(symbol, rank, to, np.flatnonzero((after == rank) & (rank < _NO) & ~self.t.settled[to]))
+        if len(loud):
+            noise = np.full(n, _NO)
+            noise[loud] = rank[loud]
+            count = np.cumsum(np.append(0, noise < _NO))
+            noise, _ = around(noise)
+            free &= (noise[first] > rank) & (noise > rank) & (count[first] == count[:-1])
+        return np.flatnonzero(free)
+
+    def _loud(self, symbol: np.ndarray, rank: np.ndarray, to: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the pairs ``at`` might make, with a neighbour as it is or as merged alike, a pair of no higher rank."""
+        if not len(at):
+            return at
+        left = np.concatenate([[-1], symbol])[at]
+        right = np.append(symbol, [-1, -1])[at + 2]
+        alike = np.concatenate([[_NO, _NO], rank, [_NO, _NO]])
+        merged = np.concatenate([[-1, -1], to, [-1, -1]])
+        both = [(left, to[at]), (to[at], right)]
+        both.append((np.where(alike[at] == rank[at], merged[at], -1), to[at]))
+        both.append((to[at], np.where(alike[at + 4] == rank[at], merged[at + 4], -1)))
+        return at[np.minimum.reduce([self._rank(x, y)[0] for x, y in both]) <= rank[at]]
+
+    def _rounds(self, symbol: np.ndarray, segment: np.ndarray, local: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Merge until no pair remains; symbols and their segments, segments ascending.
+
+        A round merges the first pair of each segment, or if ``local`` all that are first in their reach.
+        """
         done_symbol, done_segment = [], []
         rank = np.full(len(symbol), _NO)
         to = np.zeros(len(symbol), np.int64)
@@ -131,17 +201,14 @@ class PieceCodec:
         while len(symbol):
             head = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
             size = np.diff(np.append(head, len(symbol)))
-            least = np.minimum.reduceat(rank, head)
-            live = np.repeat(least < _NO, size)
+            live = np.repeat(np.minimum.reduceat(rank, head) < _NO, size)
             if not live.all():
                 done_symbol.append(symbol[~live])
                 done_segment.append(segment[~live])
                 symbol, segment, rank, to = symbol[live], segment[live], rank[live], to[live]
-                size, least = size[least < _NO], least[least < _NO]
                 if not len(symbol):
                     break
-            hit = np.flatnonzero(rank == np.repeat(least, size))
-            hit = hit[np.append(True, segment[hit[1:]] != segment[hit[:-1]])]
+            hit = self._first_in_reach(symbol, rank, to) if local else self._first_of_segment(segment, rank)
             symbol[hit] = to[hit]
             keep = np.ones(len(symbol), bool)
             keep[hit + 1] = False
@@ -159,32 +226,14 @@ class PieceCodec:
         order = np.argsort(segment, kind="stable")
         return symbol[order], segment[order]
 
-    def _heap(self, symbol: np.ndarray) -> np.ndarray:
-        """The same merges for one long segment, in n log n steps."""
-        s, n = symbol.tolist(), len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        rank, to = self._rank(symbol[:-1], symbol[1:])
-        heap = [(r, i, a, b, t) for i, (r, a, b, t) in enumerate(zip(rank.tolist(), s, s[1:], to.tolist(), strict=False)) if r < _NO]
-        heapq.heapify(heap)
-        pairs = {}
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = after[i]
-            if s[i] != a or j < 0 or s[j] != b:
-                continue
-            s[i], s[j], after[i] = merged, None, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0:
-                    key = (s[x], s[y])
-                    if key not in pairs:
-                        r, t = self._rank(np.array([key[0]]), np.array([key[1]]))
-                        pairs[key] = (int(r[0]), int(t[0]))
-                    r, t = pairs[key]
-                    if r < _NO:
-                        heapq.heappush(heap, (r, x, *key, t))
-        return np.array([x for x in s if x is not None], np.int64)
+    def _long(self, text: str) -> np.ndarray:
+        """Symbols of one long segment."""
+        part = np.cumsum(self._cuts(text))
+        few = np.bincount(part) <= LONG
+        symbol, short = self._symbols(text), few[part]
+        out = [self._rounds(symbol[short], part[short]), self._rounds(symbol[~short], part[~short], local=True)]
+        symbol, part = (np.concatenate(x) for x in zip(*out, strict=True))
+        return symbol[np.argsort(part, kind="stable")]
 
     def _spell(self, symbol: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace symbols that are no piece by byte pieces or the unknown id."""
@@ -213,7 +262,7 @@ class PieceCodec:
                 lengths.append(len(s))
         symbol, segment = self._rounds(self._symbols("".join(flat)), np.repeat(np.array(numbers, np.int64), lengths))
         for i in long_:
-            one = self._heap(self._symbols(segments[i]))
+            one = self._long(segments[i])
             symbol, segment = np.concatenate([symbol, one]), np.concatenate([segment, np.full(len(one), i)])
         if long_:
             order = np.argsort(segment, kind="stable")
