@@ -67,12 +67,14 @@ def test_rows(docs, corpus, empty):
     for r in rows:
         payload = audio.decode_wave(bytes(r.media))
         assert len(payload) % 64 == 0 and len(payload) >= max(64, r.n_bytes) and not any(payload[r.n_bytes :])
-        value = (r.patches, r.segments)
+        value = (bytes(r.patches), r.segments)
         assert seen.setdefault(payload, value) == value
-        assert all(len(p.mel) == audio.PATCH * audio.MELS and p.start < p.end for p in r.patches)
+        table = pa.ipc.open_stream(bytes(r.patches)).read_all()
+        assert table.schema.field("mel").type == pa.fixed_shape_tensor(pa.float32(), (audio.PATCH, audio.MELS))
+        mel, span = audio.read_patches(bytes(r.patches))
+        assert mel.shape == (len(span), audio.PATCH, audio.MELS) and (span[:, 0] < span[:, 1]).all()
+        assert audio.store_patches(mel, span) == bytes(r.patches)
         assert all(a.end > a.start for a in r.segments)
-    struct = pa.array([{"start": p.start, "end": p.end, "mel": p.mel} for p in rows[0].patches], pa.struct([("start", pa.float64()), ("end", pa.float64()), ("mel", pa.list_(pa.float32()))]))
-    assert audio.as_tensors(struct).to_numpy_ndarray().shape == (len(struct), audio.PATCH, audio.MELS)
     assert audio.audio_features(empty).collect() == []
 
 
@@ -92,3 +94,55 @@ def test_frames_cover_the_tail():
     (a, span, none), (b, _, some) = (audio.features(audio.encode_wave(x)) for x in (quiet, loud))
     assert span[-1, 1] * audio.RATE * audio.UP / audio.DOWN >= 288
     assert not np.array_equal(a, b)
+
+
+def brute_features(payload):
+    """Patches, spans and segments of a payload, one frame at a time in double precision."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    y = brute_resample(x, audio.UP, audio.DOWN, audio.TAPS)
+    frames = max(1, -(-(len(y) - audio.FRAME) // audio.HOP) + 1)
+    y = np.append(y, np.zeros((frames - 1) * audio.HOP + audio.FRAME - len(y)))
+    rate, window = audio.RATE * audio.UP / audio.DOWN, np.hanning(audio.FRAME + 1)[:-1]
+    bank = audio._mel_bank(rate, audio.FRAME, audio.MELS)
+    mel, active, segments, start = [], False, [], None
+    for i in range(frames):
+        frame = y[i * audio.HOP : i * audio.HOP + audio.FRAME]
+        power = np.abs(np.fft.rfft(frame * window)) ** 2 / (window**2).sum()
+        mel.append(10 * np.log10(np.maximum(power @ bank, 1e-8)))
+        level = 10 * np.log10(max((frame**2).mean(), 1e-8))
+        now = level > audio.ON_DB or (active and level >= audio.OFF_DB)
+        if now and not active:
+            start = i
+        if active and not now:
+            segments.append((start * audio.HOP / rate, ((i - 1) * audio.HOP + audio.FRAME) / rate))
+        active = now
+    if active:
+        segments.append((start * audio.HOP / rate, ((frames - 1) * audio.HOP + audio.FRAME) / rate))
+    n = -(-frames // audio.PATCH)
+    mel += [[audio.FLOOR_DB] * audio.MELS] * (n * audio.PATCH - frames)
+    spans = [(p * audio.PATCH * audio.HOP / rate, (min((p + 1) * audio.PATCH, frames) - 1) * audio.HOP / rate + audio.FRAME / rate) for p in range(n)]
+    return np.array(mel).reshape(n, audio.PATCH, audio.MELS), np.array(spans), segments
+
+
+def test_query_features_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 3000 or text is null")
+    stored = {r.doc_id: r for r in audio.audio_features(docs).collect()}
+    got = {r.doc_id: r.feature for r in audio.query(spark, sf_dir).collect()}
+    for r in docs.limit(60).collect():
+        text = (r.text or "").encode()
+        patches, spans, segments = brute_features(text + bytes(-len(text) % 64 if text else 64))
+        mel, span = audio.read_patches(bytes(stored[r.doc_id].patches))
+        assert mel == pytest.approx(patches, abs=0.02) and span == pytest.approx(spans)
+        found = [t for x in stored[r.doc_id].segments for t in x]
+        assert found == pytest.approx([t for x in segments for t in x])
+        named = dict(x.split("=") for x in got[r.doc_id].split(";"))
+        assert (int(named["patches"]), int(named["segments"])) == (len(patches), len(segments))
+        assert float(named["active"]) == pytest.approx(sum(b - a for a, b in segments), abs=1e-3)
+        assert float(named["mean"]) == pytest.approx(patches.mean(), abs=0.1)
+        assert named["mel"] == f"{zlib.crc32(np.rint(mel * 8).astype(np.int16).tobytes()):08x}"
+
+
+def test_very_long_text(spark):
+    text = "long text with sound in it " * 60_000
+    r = audio.audio_features(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert audio.decode_wave(bytes(r.media)).startswith(text.encode()) and len(audio.read_patches(bytes(r.patches))[1]) > 500

@@ -7,9 +7,10 @@ WAVE file.  Features are computed from the file read back:
   of the ``up`` phases is a strided window of the input times its own taps, so no
   zero is ever inserted or multiplied.
 * *Log-mel* energies of overlapped Hann frames, the last one filled with zeros, cut into patches of ``patch``
-  frames (the last padded with the floor value).  A patch is a tensor of fixed
-  shape ``patch x mels``, in Arrow's row-major order, with the time span that its
-  frames cover.
+  frames (the last padded with the floor value).  A document's patches are stored
+  as an Arrow stream of one table whose column ``mel`` has Arrow's fixed-shape
+  tensor type (``patch x mels`` floats) beside the time span of each patch; a
+  Spark column itself cannot have that type.  ``read_patches`` gives them back.
 * *Segments* by hysteresis: one opens where the frame level rises above ``on`` and
   closes where it falls below ``off`` decibels relative to full scale.
 
@@ -18,7 +19,8 @@ equal payloads give equal values.  Frames are computed in runs of ``RUN``, which
 bounds the temporaries of a very long payload.
 
 Nulls: a null text is an empty payload, that is 64 zero bytes.  Null ids pass
-through.  An empty table gives no rows; further columns are not read.
+through.  An empty table gives no rows; further columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -139,45 +141,50 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float, fl
     return patches.reshape(n, PATCH, MELS), spans, segments
 
 
-TENSOR = pa.list_(pa.float32(), PATCH * MELS)
-SCHEMA = "n_bytes long, media binary, patches array<struct<start:double,end:double,mel:array<float>>>, segments array<struct<start:double,end:double>>"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))
+PATCHES = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("mel", TENSOR)])
+SCHEMA = "n_bytes long, media binary, patches binary, segments array<struct<start:double,end:double>>"
 
 
-def as_tensors(patches: pa.Array) -> pa.ExtensionArray:
-    """The ``mel`` arrays of patches as Arrow's fixed-shape tensors (patch x mels)."""
-    flat = patches.field("mel").flatten()
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS)), pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS))
+def store_patches(patches: np.ndarray, spans: np.ndarray) -> bytes:
+    """Patches (n x patch x mels) and their time spans (n x 2) as an Arrow stream."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(patches.ravel()), PATCH * MELS)
+    columns = [pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.ExtensionArray.from_storage(TENSOR, flat)]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, PATCHES) as stream:
+        stream.write_batch(pa.record_batch(columns, schema=PATCHES))
+    return out.getvalue().to_pybytes()
+
+
+def read_patches(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``store_patches`` was given."""
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    spans = np.stack([table.column(c).to_numpy() for c in ("start", "end")], axis=1)
+    return table.column("mel").chunk(0).to_numpy_ndarray(), spans
 
 
 def _media(batches):
     for block in blocks(batches):
         data, offsets = utf8_buffers(block.column(block.schema.get_field_index("text")))
         raw = data.tobytes()
-        n_bytes, media, flat, spans, counts, segments, seg_counts = [], [], [], [], [], [], []
+        n_bytes, media, patches, segments, counts = [], [], [], [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             stored = encode_wave(payload_of(raw[a:b]))
             mel, span, segment = features(stored)
             n_bytes.append(b - a)
             media.append(stored)
-            flat.append(mel.ravel())
-            spans.append(span)
-            counts.append(len(span))
+            patches.append(store_patches(mel, span))
             segments += segment
-            seg_counts.append(len(segment))
-        span = np.concatenate(spans)
-        per = PATCH * MELS
-        mel = pa.ListArray.from_arrays(pa.array(np.arange(len(span) + 1, dtype=np.int32) * per), pa.array(np.concatenate(flat)))
-        patches = pa.StructArray.from_arrays([pa.array(span[:, 0]), pa.array(span[:, 1]), mel], ["start", "end", "mel"])
+            counts.append(len(segment))
         pairs = np.array(segments, np.float64).reshape(-1, 2)
         segment = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["start", "end"])
-        at = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
         yield pa.record_batch(
             [
                 block.column(block.schema.get_field_index("doc_id")),
                 pa.array(n_bytes, pa.int64()),
                 pa.array(media, pa.binary()),
-                pa.ListArray.from_arrays(at(counts), patches),
-                pa.ListArray.from_arrays(at(seg_counts), segment),
+                pa.array(patches, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), segment),
             ],
             ["doc_id", "n_bytes", "media", "patches", "segments"],
         )
@@ -195,8 +202,9 @@ def _digests(batches):
         for i in range(batch.num_rows):
             media = batch.column(2)[i].as_py()
             payload = decode_wave(media)
-            patches, segments = batch.column(3)[i].values, batch.column(4)[i].values
-            mel = np.rint(np.asarray(patches.field("mel").flatten()) * 8).astype(np.int16)
+            patches, _ = read_patches(batch.column(3)[i].as_py())
+            segments = batch.column(4)[i].values
+            mel = np.rint(patches * 8).astype(np.int16)
             active = float((np.asarray(segments.field("end")) - np.asarray(segments.field("start"))).sum())
             feature = f"patches={len(patches)};segments={len(segments)};active={active:.3f};mean={mel.mean() / 8:.2f};mel={zlib.crc32(mel.tobytes()):08x}"
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
