@@ -25,7 +25,7 @@ def base(text):
 
 def grams(text, buckets):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    one = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in WORD.findall(text or "")]
+    one = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in WORD.findall((text or "").lower())]
     long_ = lambda v, seed: xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
     two = [signed(long_(b, long_(a, 42))) for a, b in zip(one, one[1:], strict=False)]
     return [h % buckets for h in one + two]
@@ -62,8 +62,10 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 def test_odd_rows(docs, corpus, empty, spark):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, None), (2, 1, 1), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    clash = docs.withColumns({"n_words": F.lit("x"), "bucket": F.lit(1), "n": F.lit(2), "score": F.lit("y")})
-    out = judge(clash, trusted_texts(clash, labels), 64).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    clash = docs.withColumns({"n_words": F.lit("x"), "bucket": F.lit(1), "n": F.lit(2), "score": F.lit("y"), "row": F.lit(3), "grams": F.lit(4), "__grams": F.lit(5), "__lines": F.lit(6), "hashes": F.lit(7)})
+    out = judge(clash, trusted_texts(clash, labels), 64)
+    assert {(r.bucket, r.n, r.row, r.grams, r["__grams"], r["__lines"], r.hashes) for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    out = out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
     rows = [(r[0], r[1]) for r in corpus]
     trusted = [t for i, t in rows if i in (0, 1)]
     check(out.collect(), brute(rows, trusted, 64, quality_rules.THRESHOLD))
@@ -76,3 +78,9 @@ def test_long_repetitive_text(spark):
     text = "a b c d " * 20000 + "x\ny\nx\n" * 1000
     r = base_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(text)
+
+
+def test_windows_keep_their_case(spark):
+    text = "One two three One Two three one two THREE " * 6 + "a b c A B C a b d"
+    r = base_rules(spark.createDataFrame([(1, text), (2, "a b c A b c a B c")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(x.n_words, x.n_repeat_words) for x in r] == [(base(text)[0], base(text)[4]), (9, 0)]

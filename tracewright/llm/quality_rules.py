@@ -3,7 +3,7 @@
 * *Base rules* count characters in words, symbols, repeated lines and words in
   repeated windows of three; a text fails with fewer than ``MIN_WORDS`` words or
   with more than half of its words in repeated windows.
-* *Likelihood ratio.*  Words and word pairs, case and all, are hashed into
+* *Likelihood ratio.*  Lower-cased words and word pairs are hashed into
   ``BUCKETS`` buckets.  Two smoothed multinomials over the buckets, one of trusted
   texts and one of the whole corpus, give every bucket a log ratio.  A text's
   score is the mean ratio of its n-grams, and it is kept from ``THRESHOLD`` on.
@@ -19,7 +19,9 @@ with the least hashes of their ids; the corpus model covers all documents.
 Nulls: a null or empty text has no words and fails the base rules.  A text whose
 n-grams tell nothing has score 0.  Without trusted texts all ratios are those of
 the corpus against a uniform model, shifted out: every score is 0.  Repeated rows
-count as often as they occur; null ids are never trusted.
+count as often as they occur; null ids are never trusted.  Columns of any name
+pass through, but those named like a result are replaced by it.  A very long text
+is one row's arrays of eight bytes a word.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 WORD, SPACES, SYMBOLS = r"[^\x20\x09-\x0D]+", " \t\n\u000b\f\r", "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 BUCKETS, SMOOTHING, THRESHOLD, TRUSTED = 1 << 14, 1.0, -0.08, 5000
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def _length(column, without: str):
@@ -47,53 +50,62 @@ def _pairs(hashes: str):
     return F.zip_with(first, _after(hashes, 1), lambda x, y: F.xxhash64(x, y))
 
 
-def with_hashes(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__hashes`` of the words and ``__pairs`` of neighbouring words.
+def _hashes(text):
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 0)
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    Each word is hashed once as a string; everything longer is hashed from that.
-    """
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 0)
-    rows = docs.withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
-    return rows.withColumn("__pairs", _pairs("__hashes"))
 
+def _windows(hashes: str, pairs):
+    """Hashes of three neighbours, from the hashes of one and two."""
+    first = F.slice(pairs, 1, F.greatest(F.size(hashes) - 2, F.lit(0)))
+    return F.zip_with(first, _after(hashes, 2), lambda x, y: F.xxhash64(x, y))
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` with the hashes and the base columns; names of these in ``docs`` are replaced."""
-    mine = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    docs = docs.drop(*mine, "__hashes", "__pairs", "__windows", "__order", "__lines")
-    text = F.coalesce("text", F.lit(""))
-    rows = with_hashes(docs)
-    n = F.size("__hashes")
-    first = F.slice("__pairs", 1, F.greatest(n - 2, F.lit(0)))
-    rows = rows.withColumn("__windows", F.zip_with(first, _after("__hashes", 2), lambda x, y: F.xxhash64(x, y)))
-    # Only texts that repeat a window are sorted.
-    repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    order = F.when(repeats, F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    rows = rows.withColumn("__order", order)
-    hash_at = lambda j: F.get("__order", j)["h"]
+
+def _repeats(windows: str):
+    return F.size(F.array_distinct(windows)) < F.size(windows)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """``row`` (the other columns of ``docs``), the base columns, and ``hashes`` of lower-cased words and ``pairs`` of them.
+
+    Each word is hashed once as a string; everything longer is hashed from that.
+    Only texts whose lower-cased windows repeat are hashed case by case and sorted.
+    """
+    rows = docs.select(F.struct(*(c for c in docs.columns if c not in RESULTS)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("hashes", _hashes(F.lower("text"))).withColumn("pairs", _pairs("hashes"))
+    rows = rows.withColumn("windows", _windows("hashes", F.col("pairs")))
+    rows = rows.withColumn("exact", F.when(_repeats("windows"), _hashes(F.col("text"))))
+    rows = rows.withColumn("windows", F.when(F.col("exact").isNotNull(), _windows("exact", _pairs("exact"))))
+    rows = rows.withColumn("order", F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    hash_at = lambda j: F.get("order", j)["h"]
     again = F.filter(
-        F.transform("__order", lambda x, j: F.when(x["h"].eqNullSafe(hash_at(j - 1)) | x["h"].eqNullSafe(hash_at(j + 1)), x["i"])),
+        F.transform("order", lambda x, j: F.when(x["h"].eqNullSafe(hash_at(j - 1)) | x["h"].eqNullSafe(hash_at(j + 1)), x["i"])),
         lambda i: i.isNotNull(),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(i, i + 1, i + 2)))))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     rows = rows.withColumns(
         {
-            "n_words": n.cast("long"),
-            "word_chars": _length(text, SPACES).cast("long"),
-            "n_symbols": (F.length(text) - _length(text, SYMBOLS)).cast("long"),
-            "__lines": lines,
-            "n_repeat_words": F.coalesce(F.when(F.col("__order").isNotNull(), covered), F.lit(0)).cast("long"),
+            "n_words": F.size("hashes").cast("long"),
+            "word_chars": _length(F.col("text"), SPACES).cast("long"),
+            "n_symbols": (F.length("text") - _length(F.col("text"), SYMBOLS)).cast("long"),
+            "lines": F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)),
+            "n_repeat_words": F.coalesce(F.when(F.col("order").isNotNull(), covered), F.lit(0)).cast("long"),
         }
     )
-    rows = rows.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
+    rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).drop("__windows", "__order", "__lines")
+    return rows.select("row", "hashes", "pairs", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+
+
+def base_rules(docs: DataFrame) -> DataFrame:
+    """``docs`` with the base columns; names of results in ``docs`` are dropped."""
+    return _measured(docs).select("row.*", *RESULTS[:6])
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket, n`` over all words and word pairs of ``docs(text)``."""
-    rows = with_hashes(docs.select("text")).select(F.explode(F.concat("__hashes", "__pairs")).alias("h"))
+    """``bucket, n`` over all lower-cased words and word pairs of ``docs(text)``."""
+    rows = docs.select(_hashes(F.lower("text")).alias("hashes")).where("hashes is not null")
+    rows = rows.select(F.explode(F.concat("hashes", _pairs("hashes"))).alias("h"))
     return rows.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -119,11 +131,11 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
     """``docs`` with the base columns, ``score`` and ``kept``; the corpus model is that of ``docs``."""
     found = log_ratios(trusted, docs, buckets).first().ratios  # ``buckets`` numbers
     ratios = F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")  # folded into one literal
-    rows = base_rules(docs).withColumn("__grams", F.concat("__hashes", "__pairs"))
-    total = F.aggregate("__grams", F.lit(0.0), lambda acc, h: acc + F.get(ratios, F.pmod(h, F.lit(buckets)).cast("int")))
-    score = F.round(total / F.greatest(F.size("__grams"), F.lit(1)), 6)
-    rows = rows.withColumn("score", score).drop("__hashes", "__pairs", "__grams")
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    rows = _measured(docs).withColumn("grams", F.concat("hashes", "pairs"))
+    total = F.aggregate("grams", F.lit(0.0), lambda acc, h: acc + F.get(ratios, F.pmod(h, F.lit(buckets)).cast("int")))
+    rows = rows.withColumn("score", F.round(total / F.greatest(F.size("grams"), F.lit(1)), 6))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return rows.select("row.*", *RESULTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
