@@ -42,9 +42,10 @@ def test_small_cases(lined):
 
 
 def test_columns(lined, empty):
-    clash = lined.withColumns({"at": F.lit(1), "h1": F.lit("x"), "lines": F.lit(2), "n_lines": F.lit("gone"), "first": F.lit(1)})
+    clash = lined.withColumns({"at": F.lit(1), "h1": F.lit("x"), "lines": F.lit(2), "n_lines": F.lit("gone"), "first": F.lit(1), "row": F.lit(3), "__lines": F.lit(4), "__worded": F.lit(5), "__gone": F.lit(6), "__k0": F.lit(7), "__later": F.lit(8)})
     out = dedup_lines(clash)
     assert set(clash.columns) <= set(out.columns) and out.schema["n_lines"].dataType.simpleString() == "bigint"
+    assert {(r.row, r["__lines"], r["__worded"], r["__gone"], r["__k0"], r["__later"]) for r in out.collect()} == {(3, 4, 5, 6, 7, 8)}
     assert out.count() == 14 and dedup_lines(empty).collect() == []
 
 
@@ -53,3 +54,10 @@ def test_equals_sql(spark, sf_dir):
     want = sorted(duckdb.sql(line_dedup.ORACLE).fetchall())
     assert sorted(tuple(r) for r in line_dedup.query(spark, sf_dir).collect()) == want
     assert sum(r[2] for r in want) > 0
+
+
+def test_very_long_text(spark):
+    long_ = "\n".join(f"line {i}" for i in range(60_000))
+    rows = [(1, long_, "en", "s", 1), (2, "x\nline 5\nline 6\nline 7\ny", "en", "s", 1)]
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (long_, 0), 2: ("x\ny", 3)}

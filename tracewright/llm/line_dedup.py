@@ -12,7 +12,9 @@ is gathered for one document is at most one number a line.
 
 Nulls: a null text stays null and has no lines.  Rows with the same id and the
 same text count as one document in the order of occurrences, so they keep or
-lose the same lines.  An empty text stays empty; further columns pass through.
+lose the same lines.  An empty text stays empty; further columns pass through,
+whatever their names, but those named like a result are replaced by it.  A very
+long text is one row's array of lines.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+ADDED = ("n_lines", "n_lines_removed", "removed_lines")
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -59,24 +62,25 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     Adds ``n_lines`` and ``n_lines_removed`` (lines with a word) and the places of
     the removed lines; columns of these names in ``docs`` are replaced.
     """
-    docs = docs.drop("n_lines", "n_lines_removed", "removed_lines", "__k0", "__k1", "__later")
-    joined = docs.select("*", *_order_key()).join(later_windows(docs, width), ["__k0", "__k1"], "left")
+    given = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*given).alias("row"), *_order_key())
+    joined = rows.join(later_windows(docs, width), ["__k0", "__k1"], "left").withColumn("text", F.col("row")["text"])
     lines = F.split("text", "\n", -1)
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    worded = F.filter(every, lambda i: F.get("__lines", i).rlike(HAS_WORD))
-    covered = F.flatten(F.transform("__later", lambda j: F.array(*(F.get("__worded", j + k) for k in range(width)))))
-    left = F.array_except(every, F.col("__gone"))
-    text = F.when(F.size("__gone") > 0, F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")).otherwise(F.col("text"))
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    worded = F.filter(every, lambda i: F.get("lines", i).rlike(HAS_WORD))
+    covered = F.flatten(F.transform("__later", lambda j: F.array(*(F.get("worded", j + k) for k in range(width)))))
+    left = F.array_except(every, F.col("gone"))
+    text = F.when(F.size("gone") > 0, F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).otherwise(F.col("text"))
     rows = (
-        joined.withColumn("__lines", lines)
-        .withColumn("__worded", F.when(F.col("text").isNotNull(), worded).otherwise(F.array().cast("array<int>")))
-        .withColumn("__gone", F.coalesce(F.array_sort(F.array_distinct(covered)), F.array().cast("array<int>")))
+        joined.withColumn("lines", lines)
+        .withColumn("worded", F.when(F.col("text").isNotNull(), worded).otherwise(F.array().cast("array<int>")))
+        .withColumn("gone", F.coalesce(F.array_sort(F.array_distinct(covered)), F.array().cast("array<int>")))
     )
     return rows.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.size("__worded").cast("long").alias("n_lines"),
-        F.size("__gone").cast("long").alias("n_lines_removed"),
-        F.col("__gone").alias("removed_lines"),
+        *(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in given),
+        F.size("worded").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_lines_removed"),
+        F.col("gone").alias("removed_lines"),
     )
 
 
