@@ -71,3 +71,12 @@ def test_rows_of_the_mix(docs):
     for r in rows.collect():
         got[r.source] += len((r.text or "").split())
     assert {k[0]: v for k, v in taken.items() if v} == {k: v for k, v in got.items() if v}
+
+
+def test_clashing_names_and_very_long_texts(docs, spark):
+    clash = docs.withColumns({x: F.lit(i) for i, x in enumerate(("doc", "extra", "size", "nth", "cut", "__extra", "__doc", "row"))})
+    out = mixed_rows(clash, buckets=4)
+    assert out.columns == clash.columns and {(r.doc, r.extra, r["size"], r.nth, r["__doc"]) for r in out.collect()} == {(0, 1, 2, 3, 6)}
+    rows = [(1, "word " * 400_000, "a"), (2, "one two", "b"), (3, None, "c")]
+    got = {r.doc_id: r["size"] for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: 400_000, 2: 2, 3: 0}

@@ -17,7 +17,9 @@ are never shuffled while the table of sources is small.
 Nulls: a null text has size 0, a null source is a source of its own and comes
 last, a null id hashes like the text ``null``.  Rows with the same id share
 their hash and, at the cut, the words that are left, in proportion to their
-sizes and rounded down.  Sources without words have target 0 and take nothing.  An empty table gives no rows.
+sizes and rounded down.  Sources without words have target 0 and take nothing.  An
+empty table gives no rows.  Columns of any name pass through ``mixed_rows``.  A
+very long text is counted whole, and cut by an array of its words.
 """
 
 from __future__ import annotations
@@ -63,14 +65,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
 
 
 def source_plan(rows: DataFrame, weights, epochs: int, buckets: int) -> DataFrame:
-    """One row a source: its target, whole copies and where the fraction ends.
+    """One row a source of ``rows(none, name, u, size)``: its target, whole copies and where the fraction ends.
 
     Documents whose hash is below ``cut`` are taken once more; those at ``cut``
     (one document, unless ids repeat) share ``part`` of their ``at_cut`` words.
     """
     step = (1 << 60) // buckets
     bucket = F.floor(F.col("u") / step).cast("int")
-    grid = rows.select("none", "name", bucket.alias("bucket"), n_words().alias("size")).groupBy("none", "name", "bucket").agg(F.sum("size").alias("inside"))
+    grid = rows.groupBy("none", "name", bucket.alias("bucket")).agg(F.sum("size").alias("inside"))
     grid = materialize(grid, "mix-grid")
     named = F.when(F.col("none"), None).otherwise(F.col("name"))
     total = grid.groupBy("none", "name").agg(F.sum("inside").alias("source_size")).select(named.alias("source"), "source_size")
@@ -86,26 +88,31 @@ def source_plan(rows: DataFrame, weights, epochs: int, buckets: int) -> DataFram
     edge = grid.withColumn("before", before("bucket", "inside")).join(target.select("none", "name", "rest"), ["none", "name"]).where(crossed)
     edge = edge.select("none", "name", "bucket", "before", "rest")
     near = rows.withColumn("bucket", bucket).join(if_small(edge), ["none", "name", "bucket"])
-    near = near.select("none", "name", "u", "before", "rest", n_words().alias("size")).groupBy("none", "name", "u", "before", "rest").agg(F.sum("size").alias("inside"))
+    near = near.groupBy("none", "name", "u", "before", "rest").agg(F.sum("size").alias("inside"))
     near = near.withColumn("before", F.col("before") + before("u", "inside")).where(crossed)
     cut = near.select("none", "name", F.col("u").alias("cut"), (F.col("rest") - F.col("before")).alias("part"), F.col("inside").alias("at_cut"))
     return materialize(target.drop("rest").join(cut, ["none", "name"], "left"), "mix-plan")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies, extra``.
+ADDED = ("size", "source_size", "target", "copies", "extra")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, buckets: int = BUCKETS, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with ``size, source_size, target, copies, extra``.
 
     ``copies`` whole repetitions of the document and its first ``extra`` words
     are the mix's share of it.  Columns of these names in ``docs`` are replaced.
+    Words are counted once; what follows reads the written counts.
     """
-    given = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "extra")]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
     source = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")]
-    plan = source_plan(docs.select(*source, place(seed).alias("u"), "text"), weights, epochs, buckets)
-    rows = docs.select(F.struct(*given).alias("row"), *source, place(seed).alias("u"), n_words().alias("size"))  # whatever the columns are called
+    rows = docs.select(F.struct(*carry).alias("row"), *source, place(seed).alias("u"), n_words().alias("size"))  # whatever the columns are called
+    rows = materialize(rows, "mix-rows")
+    plan = source_plan(rows.drop("row"), weights, epochs, buckets)
     out = rows.join(if_small(plan), ["none", "name"])
     part = F.floor(F.col("size") * F.col("part") / F.col("at_cut"))
     extra = F.when(F.col("u") < F.col("cut"), F.col("size")).when(F.col("u") == F.col("cut"), part).otherwise(0).cast("long")
-    return out.select(*(F.col("row")[c].alias(c) for c in given), "size", "source_size", "target", "copies", extra.alias("extra"))
+    return out.select(*(F.col("row")[c].alias(c) for c in carry), "size", "source_size", "target", "copies", extra.alias("extra"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -115,16 +122,17 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     one space.
     """
     given = docs.columns
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 0), F.lit(1), F.col("__extra").cast("int")), " ")
-    mixed = mix(docs.select(F.struct(*given).alias("__doc"), "doc_id", "source", "text"), **options)
-    rows = mixed.select("__doc", F.col("extra").alias("__extra"), F.col("size").alias("__size"), F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("__nth"), F.col("copies").alias("__copies"))
-    rows = rows.where("__nth < __copies or __extra > 0").select("__doc.*", "__extra", ((F.col("__nth") == F.col("__copies")) & (F.col("__extra") < F.col("__size"))).alias("__part"))
-    return rows.select(*(F.when(F.col("__part"), part).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in given))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("doc")["text"], F.lit(f"({WORD})"), 0), F.lit(1), F.col("extra").cast("int")), " ")
+    mixed = mix(docs.select(F.struct(*given).alias("doc"), "doc_id", "source", "text"), carry=["doc"], **options)
+    rows = mixed.select("doc", "extra", "size", "copies", F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("nth"))
+    rows = rows.where("nth < copies or extra > 0").withColumn("cut", (F.col("nth") == F.col("copies")) & (F.col("extra") < F.col("size")))
+    own = lambda c: F.col("doc")[c]
+    return rows.select(*((F.when(F.col("cut"), part).otherwise(own(c)) if c == "text" else own(c)).alias(c) for c in given))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"))
+    return mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 ORACLE = r"""
