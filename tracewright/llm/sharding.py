@@ -20,7 +20,8 @@ same order.
 Nulls: a null text has size 1 (0 bytes plus 1), null source and language come
 before all values, a null id hashes like the text ``null``.  Equal rows are
 neighbours.  With fewer rows than shards some shards stay empty; an empty table
-gives no rows.  Further columns are not read.
+gives no rows.  Further columns, whatever their names, are not read.  A very long
+text is one row of many bytes, and its shard is larger by at most that.
 """
 
 from __future__ import annotations
@@ -84,8 +85,12 @@ def key_udf(bits: int, tail: int):
     return key
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot, hilbert`` for each row of ``docs(doc_id, text, source, lang)``."""
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot, hilbert`` for each row of ``docs(doc_id, text, source, lang)``.
+
+    With ``carry`` also ``row``, a struct of these columns.
+    """
+    row = [F.struct(*carry).alias("row")] if carry else []
     tail = 62 - 3 * bits
     low = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
     rows = docs.select(
@@ -97,13 +102,15 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
         F.col("lang").isNotNull().alias("l_some"),
         F.coalesce("lang", F.lit("")).alias("l_value"),
         F.shiftright(low, 60 - tail).alias("low"),
+        *row,
     )
     for column, tag in (("source", "s"), ("lang", "l")):
         table = materialize(quantised(docs, column, bits), f"places-{column}")
         table = table.select(F.col("some").alias(f"{tag}_some"), F.col("value").alias(f"{tag}_value"), F.col("place").alias(f"{tag}_place"))
         rows = rows.join(if_small(table), [f"{tag}_some", f"{tag}_value"])
     key = key_udf(bits, tail)("s_place", "l_place", "size", "low")
-    rows = materialize(rows.select("doc_id", "size", "text_crc32", key.alias("key")), "shard-keys")
+    rest = ["row"] if carry else []
+    rows = materialize(rows.select("doc_id", "size", "text_crc32", key.alias("key"), *rest), "shard-keys")
 
     n = rows.count()
     intervals = int(min(max(n // ROWS_PER_INTERVAL, INTERVALS[0]), INTERVALS[1]))
@@ -130,15 +137,19 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     earlier = W.partitionBy("shard").orderBy("interval").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("shard", "interval", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("from")).alias("offset"))
     slot = (F.col("offset") + F.col("nth")).cast("long")
-    return placed.join(F.broadcast(parts), ["shard", "interval"]).select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"), F.shiftright("key", tail).alias("hilbert"))
+    return placed.join(F.broadcast(parts), ["shard", "interval"]).select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"), F.shiftright("key", tail).alias("hilbert"), *rest)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` partitioned by shard, in curve order inside each."""
-    keys = hilbert_shards(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").dropDuplicates(["__id", "__crc"])
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    joined = docs.join(keys, docs["doc_id"].eqNullSafe(F.col("__id")) & (crc == F.col("__crc")))
-    joined.drop("__id", "__crc").repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` partitioned by shard, in curve order inside each; a column ``shard`` is replaced.
+
+    The order is cut into as many tasks as the session shuffles to, so a shard is
+    several files, each a run of the curve.
+    """
+    columns = [c for c in docs.columns if c != "shard"]
+    rows = hilbert_shards(docs, shards, carry=columns)
+    rows = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select(*(F.col("row")[c].alias(c) for c in columns), "shard").write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
