@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 from ..frames import Frames, conversation_frames, events_frames
 from ..functions import patterns as P
 from ..result import REGISTRY
-from . import behaviour, corpus, numeric, process, sequence, trends
+from . import behaviour, corpus, log_catalog, numeric, process, sequence, trends
 from .classify import message_class
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,36 +286,31 @@ def _(spark, d):
 
 # --- survival on events: time to the first error ---
 
-TIMES = f"""{E}, tm as (select session_key, user_id, coalesce(min(pos) filter (where tool = 'error'), count(*)) as duration, count(*) filter (where tool = 'error') > 0 as event from e where pos <= 12 group by session_key, user_id),
+TIMES = f"""{E}, tm as (select session_key, user_id, coalesce(min(pos) filter (where tool = 'error'), count(*)) as duration, count(*) filter (where tool = 'error') > 0 as event from e group by session_key, user_id),
 rk as (select duration, count(*) filter (where event) as d, count(*) as n from tm group by duration),
 rt as (select duration, d, n - d as censored, (sum(n) over (order by duration desc))::bigint as at_risk from rk)"""
 
 
-SQL_POS = 12  # of the queries whose SQL has it
-
-
-def _times(spark, d, most: int | None = None) -> DataFrame:
-    calls = events(spark, d).tool_calls
-    calls = calls if most is None else calls.where(F.col("pos") <= most)
-    by = calls.groupBy("session_key").agg(F.min(F.when(F.col("name") == "error", F.col("pos"))).alias("first"), F.count("*").alias("n"))
+def _times(spark, d) -> DataFrame:
+    by = events(spark, d).tool_calls.groupBy("session_key").agg(F.min(F.when(F.col("name") == "error", F.col("pos"))).alias("first"), F.count("*").alias("n"))
     return by.select("session_key", F.coalesce("first", "n").alias("duration"), F.col("first").isNotNull().alias("event"), F.concat(F.lit("g"), F.col("session_key").cast("long") % 3).alias("grp"))
 
 
 @query("km_curve", f"""with {TIMES} select duration, d, censored, at_risk, round(case when min(1 - d / at_risk) over (order by duration) <= 0 then 0 else exp(sum(ln(case when d < at_risk then 1 - d / at_risk end)) over (order by duration)) end, 6) as survival from rt""")
 def _(spark, d):
-    return trends.kaplan_meier(_times(spark, d, SQL_POS))
+    return trends.kaplan_meier(_times(spark, d))
 
 
 @query("nelson_aalen", f"with {TIMES} select duration, d, censored, at_risk, round(sum(d / at_risk) over (order by duration), 6) as hazard from rt")
 def _(spark, d):
-    return trends.nelson_aalen(_times(spark, d, SQL_POS))
+    return trends.nelson_aalen(_times(spark, d))
 
 
 @query("logrank_groups", f"""with {TIMES}, gm as (select 'g' || (user_id % 3) as grp, duration, event from tm), ev as (select duration, d as dd, at_risk as nn from rt where d > 0),
 ex as (select g.grp, sum((select count(*) from gm where gm.grp = g.grp and gm.duration >= ev.duration) * dd / nn) as expected from (select distinct grp from gm) g, ev group by g.grp)
 select grp, (select count(*) from gm where gm.grp = ex.grp and event) as observed, round(expected, 6) as expected, round(((select count(*) from gm where gm.grp = ex.grp and event) - expected) ** 2 / expected, 6) as chi2 from ex""")
 def _(spark, d):
-    return trends.log_rank(_times(spark, d, SQL_POS), "grp")
+    return trends.log_rank(_times(spark, d), "grp")
 
 
 # --- process ---
@@ -351,12 +346,12 @@ def _(spark, d):
     return process.predecessors(_log(spark, d), "error")
 
 
-VARIANT = f"{VISITS}, va as (select session_key, string_agg(patch, '>' order by run) as variant from v where first_turn <= 5 group by session_key)"
+VARIANT = f"{VISITS}, va as (select session_key, string_agg(patch, '>' order by run) as variant from v group by session_key)"
 
 
-@query("process_variants", f"with {VARIANT.replace('from e),', 'from e where pos <= 5),', 1)} select variant, count(*) as sessions from va group by variant")
+@query("process_variants", f"with {VARIANT} select variant, count(*) as sessions from va group by variant")
 def _(spark, d):
-    return process.variants(_log(spark, d).where("pos <= 5"))
+    return process.variants(_log(spark, d))
 
 
 def _ngram_sql(n: int) -> str:
@@ -506,14 +501,14 @@ def _(spark, d):
     return process.mvt_test(process.visit_gains(_turns(spark, d)))
 
 
-@query("cumulative_incidence", f"""with {E}, c0 as (select session_key, pos, tool from e where pos <= 12 and tool in ('error', 'purchase')), c1 as (select session_key, min(pos) as duration, arg_min(tool, pos) as cause from c0 group by session_key),
-c as (select k.session_key, coalesce(c1.duration, k.n) as duration, cause from (select session_key, least(12, count(*)) as n from e group by session_key) k left join c1 using (session_key)),
+@query("cumulative_incidence", f"""with {E}, c0 as (select session_key, pos, tool from e where tool in ('error', 'purchase')), c1 as (select session_key, min(pos) as duration, arg_min(tool, pos) as cause from c0 group by session_key),
+c as (select k.session_key, coalesce(c1.duration, k.n) as duration, cause from (select session_key, count(*) as n from e group by session_key) k left join c1 using (session_key)),
 g as (select duration, count(cause) as d, (sum(count(*)) over (order by duration desc))::bigint as at_risk from c group by duration),
 sv as (select duration, at_risk, case when min(1 - d / at_risk) over w <= 0 then 0 else exp(sum(ln(case when d < at_risk then 1 - d / at_risk end)) over w) end as s from g window w as (order by duration)),
 lf as (select duration, at_risk, coalesce(lag(s) over (order by duration), 1) as lft from sv)
 select duration, cause, round(sum(lft * k / at_risk) over (partition by cause order by duration), 6) as incidence from (select duration, cause, count(*) as k from c where cause is not null group by duration, cause) join lf using (duration)""")
 def _(spark, d):
-    calls = events(spark, d).tool_calls.where("pos <= 12")
+    calls = events(spark, d).tool_calls
     hit = F.when(F.col("name").isin("error", "purchase"), F.col("pos"))
     by = calls.groupBy("session_key").agg(F.min(hit).alias("first"), F.min_by("name", hit).alias("cause"), F.count("*").alias("n"))
     return trends.cumulative_incidence(by.select(F.coalesce("first", "n").alias("duration"), F.when(F.col("first").isNotNull(), F.col("cause")).alias("cause")))
@@ -533,7 +528,7 @@ def _(spark, d):
 # --- epistemic networks on documents: the lines of a document are its turns ---
 
 _CODE_SQL = {c: "(regexp_matches(text, '(?i)\\b(" + "|".join(P.CODE_KEYWORDS[c]) + ")\\b'))::int" if c in P.CODE_KEYWORDS else "0" for c in P.CODES}
-ENA = f"""ln as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as msg_idx from documents where text is not null and lang = 'en'),
+ENA = f"""ln as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as msg_idx from documents where text is not null),
 cd as (select doc_id, msg_idx, {", ".join(f"{x} as {c}" for c, x in _CODE_SQL.items())} from ln),
 wi as (select doc_id, count(*) over (partition by doc_id) as turns, {", ".join(f"max({c}) over w as {c}" for c in P.CODES)} from cd window w as (partition by doc_id order by msg_idx rows between 4 preceding and current row)),
 se as (select doc_id, {", ".join(f"avg({a} * {b}) as {a}_{b}" for a, b in behaviour.EDGES)} from wi where turns >= 3 group by doc_id),
@@ -541,7 +536,7 @@ ed as ({" union all ".join(f"select '{a}' as code_a, '{b}' as code_b, coalesce(a
 
 
 def _coded(spark, d) -> DataFrame:
-    lines = read(spark, d, "documents").where("text is not null and lang = 'en'").select(F.col("doc_id").cast("string").alias("session_key"), F.posexplode(F.split("text", "\n", -1)).alias("msg_idx", "text"))
+    lines = read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("session_key"), F.posexplode(F.split("text", "\n", -1)).alias("msg_idx", "text"))
     return behaviour.code_columns(lines.select("*", F.lit("Assistant").alias("role"), F.lit(None).cast("string").alias("thinking"), F.lit(0).alias("n_tool_calls")))
 
 
@@ -728,14 +723,14 @@ def _(spark, d):
     return process.lifetime_deciles(_log(spark, d))
 
 
-BETA = f"""{E}, c as (select 'p' || (user_id % 7) as g, tool, count(*) as n from e where value_ > 90 group by 1, 2), pr as (select g, tool, n / sum(n) over (partition by g) as p from c), sz as (select g, count(*) as s from c group by g),
+BETA = f"""{E}, c as (select 'p' || (user_id % 7) as g, tool, count(*) as n from e group by 1, 2), pr as (select g, tool, n / sum(n) over (partition by g) as p from c), sz as (select g, count(*) as s from c group by g),
 cm as (select a.g as a, b.g as b, count(*) as both_, sum(least(a.p, b.p)) as overlap from pr a join pr b on a.tool = b.tool and a.g < b.g group by 1, 2)"""
 
 
-@query("beta_diversity", f"""with {BETA.replace("event_type as tool,", "event_type as tool, value as value_,")} select x.g as a, y.g as b, round(1 - coalesce(both_, 0) / (x.s + y.s - coalesce(both_, 0)), 6) as jaccard, round(1 - coalesce(overlap, 0), 6) as bray_curtis
+@query("beta_diversity", f"""with {BETA} select x.g as a, y.g as b, round(1 - coalesce(both_, 0) / (x.s + y.s - coalesce(both_, 0)), 6) as jaccard, round(1 - coalesce(overlap, 0), 6) as bray_curtis
 from sz x join sz y on x.g < y.g left join cm on cm.a = x.g and cm.b = y.g""")
 def _(spark, d):
-    rows = read(spark, d, "events").where("value > 90").groupBy(F.concat(F.lit("p"), F.col("user_id") % 7).alias("group"), F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"))
+    rows = read(spark, d, "events").groupBy(F.concat(F.lit("p"), F.col("user_id") % 7).alias("group"), F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"))
     return process.beta_diversity(rows)
 
 
@@ -763,31 +758,38 @@ def _(spark, d):
     return docs.select("doc_id", message_class(F.lit(True)).alias("classification")).where("classification <> 'SystemMessage'")
 
 
-for _name, (_f, _sql) in corpus.QUERIES.items():
+for _name, (_f, _sql) in (corpus.QUERIES | log_catalog.QUERIES).items():
     query(_name, _sql)(_f)
 
 
+@query("strata", f"""with {C}, st as (select session_key, case when bool_or(role = 'User' and starts_with(classification, 'Human')) then 'Interactive' when bool_or(role = 'User') then 'Autonomous' else 'Unknown' end as session_type, count(*) as n from m group by session_key),
+k as (select unnest(['Interactive', 'Subagent', 'Autonomous']) as session_type)
+select 'conversations' as origin, k.session_type, count(session_key) as sessions, coalesce(sum(n), 0)::bigint as messages, 0::bigint as tool_calls from k left join st using (session_type) group by k.session_type
+union all select 'events', session_type, case when session_type = 'Autonomous' then (select count(distinct user_id) from events) else 0 end, case when session_type = 'Autonomous' then (select count(*) from events) else 0 end,
+case when session_type = 'Autonomous' then (select count(*) from events) else 0 end from k""")
+def _(spark, d):
+    return log_catalog.strata(spark, d)
+
+
 # --- iterative estimators ---
 
 AGENT_NAMES = {"view": "Read", "click": "Grep", "purchase": "Edit", "signup": "Bash", "error": "Skill"}
 
 
-def _agents(spark, d, where: str = "true") -> Frames:
+def _agents(spark, d) -> Frames:
     """Surrogate: event types under the names of agent tools."""
-    e = read(spark, d, "events").where(where)
-    frames = events_frames(e.select("event_id", "ts", "user_id", "event_type", "value"))
+    frames = events(spark, d)
     calls = frames.tool_calls.withColumn("name", F.create_map(*(F.lit(x) for pair in AGENT_NAMES.items() for x in pair))[F.col("name")])
     return Frames(frames.sessions, frames.messages, calls, frames.tool_results)
 
 
-LAST_WEEK = "ts >= '2024-01-24'"  # of the two queries whose SQL has it
 _CATS = {"read": "('view', 'click')", "edit": "('purchase')", "bash": "('signup')", "skill": "('error')"}
 
 
-@query("granger_features", f"""with {E.replace("from events)", "from events where ts >= '2024-01-24')")}, r as (select session_key, pos, tool, count(*) over (partition by session_key) as n, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 4 preceding and current row))
+@query("granger_features", f"""with {E}, r as (select session_key, pos, tool, count(*) over (partition by session_key) as n, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 4 preceding and current row))
 select session_key, pos as turn, round({" + ".join(f"case when {k} > 0 then -({k} / al) * log2({k} / al) else 0 end" for k in _CATS)}, 6) as tool_diversity, (tool = 'error')::int::double as tool_failure from r where n >= 10""")
 def _(spark, d):
-    return numeric.granger_features(_agents(spark, d, LAST_WEEK), 10).select("session_key", "turn", "tool_diversity", "tool_failure")
+    return numeric.granger_features(_agents(spark, d), 10).select("session_key", "turn", "tool_diversity", "tool_failure")
 
 
 @query("granger_pairs")
@@ -795,13 +797,13 @@ def _(spark, d):
     return numeric.fisher_combined(numeric.granger_pairs(numeric.granger_features(_agents(spark, d), 10), ("tool_diversity", "tool_failure")))
 
 
-@query("fisher_combine", """with p as (select event_type as cause, 'u' || (user_id % 150) as effect, ((value * 100)::bigint % 1000 + 0.5) / 1000 as p from events where event_id % 10 = 3 or event_id % 10 = 4),
+@query("fisher_combine", """with p as (select event_type as cause, 'u' || (user_id % 150) as effect, ((value * 100)::bigint % 1000 + 0.5) / 1000 as p from events),
 s as (select cause, effect, count(*) as k, -sum(ln(p)) as h from p group by cause, effect),
 f as (select cause, effect, k, least(1, list_sum(list_transform(range(k), lambda i: exp(i * ln(h) - lgamma(i + 1) - h)))) as t from s)
 select cause, effect, k as sessions, round(least(1, t * count(*) over ()), 6) as p_corrected from f""")
 def _(spark, d):
     """Surrogate p values from the events' values."""
-    e = read(spark, d, "events").where("event_id % 10 = 3 or event_id % 10 = 4")
+    e = read(spark, d, "events")
     p = (F.round(F.col("value") * 100).cast("bigint") % 1000 + 0.5) / 1000
     return numeric.fisher_combined(e.select(F.col("event_type").alias("cause"), F.concat(F.lit("u"), F.col("user_id") % 150).alias("effect"), p.alias("p")))
 
@@ -876,10 +878,10 @@ def _(spark, d):
     return numeric.session_regimes(numeric.rolling_features(_agents(spark, d)), ("tool_entropy",))
 
 
-@query("rolling_tool_entropy", f"""with {E.replace("from events)", "from events where ts >= '2024-01-24')")}, r as (select session_key, pos, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 9 preceding and current row))
+@query("rolling_tool_entropy", f"""with {E}, r as (select session_key, pos, {", ".join(f"count(*) filter (where tool in {v}) over w as {k}" for k, v in _CATS.items())}, count(*) over w as al from e window w as (partition by session_key order by pos rows between 9 preceding and current row))
 select session_key, pos - 1 as i, round({" + ".join(f"case when {k} > 0 then -({k} / al) * log2({k} / al) else 0 end" for k in _CATS)}, 6) as tool_entropy from r""")
 def _(spark, d):
-    return numeric.rolling_features(_agents(spark, d, LAST_WEEK)).select("session_key", "i", "tool_entropy")
+    return numeric.rolling_features(_agents(spark, d)).select("session_key", "i", "tool_entropy")
 
 
 def _technique(name: str):

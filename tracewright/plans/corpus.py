@@ -313,9 +313,9 @@ QUERIES = {
         f"with {_REFS} select x.src as a, x.dst as b from eg x join eg y on x.src = y.dst and x.dst = y.src where x.src < x.dst",
     ),
     "components": (
-        lambda s, d: components(s.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 2 = 1").select(F.col("o_custkey").cast("bigint").alias("a"), (-1 - F.col("o_orderkey") % 500).cast("bigint").alias("b"))),
-        """with recursive e0 as (select distinct o_custkey::bigint as a, (-1 - o_orderkey % 500)::bigint as b from orders where o_orderkey % 2 = 1), e as (select a, b from e0 union select b, a from e0),
-        r(node, reached) as (select a, a from e union select r.node, e.b from r join e on e.a = r.reached) select node, min(reached) as component from r group by node""",
+        lambda s, d: components(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").cast("bigint").alias("a"), (-1 - F.col("o_orderkey") % 500).cast("bigint").alias("b"))),
+        """with recursive e0 as (select distinct o_custkey::bigint as a, (-1 - o_orderkey % 500)::bigint as b from orders), e as (select a, b from e0 union select b, a from e0),
+        r(root, node) as (select distinct b, b from e0 union select r.root, e.b from r join e on e.a = r.node) select node, min(root) as component from r group by node""",
     ),
     "comparative_metrics": (
         lambda s, d: comparative_metrics(_docs(s, d).groupBy(F.col("lang").alias("corpus")).agg(F.avg("n_chars").alias("v")).select("corpus", F.lit("mean_chars").alias("metric"), F.col("v").alias("value"))),

@@ -65,10 +65,15 @@ def stable_hashes(column: str, prefix: str):
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(column, 256), 1, 12))
 
 
-def chat_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Session metadata with its repository's, columns pruned at the scan and names hashed."""
-    sessions = spark.read.parquet(f"{folder}/sessions.parquet").select("session_id", "repo_id", "user_id", "agent", "created_at")
-    repos = spark.read.parquet(f"{folder}/repositories.parquet").select("repo_id", "repo_type_domain", "repo_type_audience", "license_type")
+def chat_sessions(sessions: DataFrame, repos: DataFrame) -> DataFrame:
+    """Session metadata with its repository's; names hashed."""
     rows = sessions.join(repos, "repo_id", "left")
     path = F.concat(F.lit("transcripts/"), "session_id", F.lit(".jsonl"))
     return rows.select("session_id", stable_hashes("repo_id", "repo").alias("repo"), F.coalesce(stable_hashes("user_id", "user"), F.lit("missing_user")).alias("user"), "agent", "created_at", "repo_type_domain", "repo_type_audience", "license_type", F.when(F.trim("session_id") != "", path).alias("transcript"))
+
+
+def chat_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`chat_sessions` of a folder's tables, columns pruned at the scan."""
+    sessions = spark.read.parquet(f"{folder}/sessions.parquet").select("session_id", "repo_id", "user_id", "agent", "created_at")
+    repos = spark.read.parquet(f"{folder}/repositories.parquet").select("repo_id", "repo_type_domain", "repo_type_audience", "license_type")
+    return chat_sessions(sessions, repos)
