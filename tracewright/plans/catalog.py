@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 from ..frames import Frames, conversation_frames, events_frames
 from ..functions import patterns as P
 from ..result import REGISTRY
-from . import behaviour, corpus, log_catalog, numeric, process, sequence, trends
+from . import behaviour, corpus, extras, log_catalog, numeric, process, sequence, trends
 from .classify import message_class
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,6 +771,207 @@ def _(spark, d):
     return log_catalog.strata(spark, d)
 
 
+# --- project identity, conformance, success, maturity, exact tests ---
+
+_FORMS = ("/home/ann/work/{}/src", "/Users/bob/{}/lib/tests", "/srv/team/{}", "/srv/team/{}/SRC/bin/", "/{}", "/home/eve", "", "/src/tests", "/data//{}//docs")
+_CANONICAL = ("'work/' || t", "t", "'team/' || t", "'team/' || t", "t", "''", "null", "''", "'data/' || t")
+
+
+@query("project_ids", f"""with x as (select event_id, event_id % {len(_FORMS)} as f, event_type || user_id % 5 as t from events),
+c as (select event_id, case f {" ".join(f"when {i} then {c}" for i, c in enumerate(_CANONICAL))} end as canonical from x)
+select event_id, case when canonical = '' then 'project_root' else 'project_' || sha1(canonical)[1:8] end as project from c""")
+def _(spark, d):
+    """Working folders made of event types, in several places of a file system."""
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("event_id") % len(_FORMS) + 1).cast("int"))
+    cwd = F.replace(form, F.lit("{}"), F.concat("event_type", (F.col("user_id") % 5).cast("string")))
+    return read(spark, d, "events").select("event_id", extras.project_id(cwd).alias("project"))
+
+
+IDEAL = ("view", "click", "view", "purchase", "signup")
+
+
+def _ideal_sql() -> str:
+    steps = ["i1 as (select session_key, min(pos) as p from e where tool = 'view' group by session_key)"]
+    steps += [f"i{k} as (select e.session_key, min(pos) as p from e join i{k - 1} b on e.session_key = b.session_key and e.pos > b.p where tool = '{x}' group by e.session_key)" for k, x in enumerate(IDEAL[1:], 2)]
+    rows = " union all ".join(f"select {k}::bigint as length, count(*) as sessions, round(count(*) / (select count(distinct session_key) from e), 6) as share from i{k}" for k in range(1, len(IDEAL) + 1))
+    return f"with {E}, {', '.join(steps)} {rows}"
+
+
+@query("ideal_conformance", _ideal_sql())
+def _(spark, d):
+    return extras.ideal_conformance(_log(spark, d), list(IDEAL))
+
+
+SUCCESS = f"""{C}, us as (select session_key, count(*) as n, count(*) filter (where classification = 'HumanCorrection') as corrections,
+  coalesce(arg_max(classification, msg_idx) filter (where classification in ('HumanCorrection', 'HumanApproval')), '') as last from m where role = 'User' group by session_key),
+cm as (select session_key, count(*) filter (where msg_idx % 3 = 0) as commits from m where role = 'Assistant' group by session_key),
+sc as (select session_key, corrections, case last when 'HumanApproval' then 'positive' when 'HumanCorrection' then 'correction' else 'neutral' end as final, coalesce(commits, 0) as commits,
+  case last when 'HumanApproval' then 2 when 'HumanCorrection' then -2 else 0 end - 3 * corrections / n + (coalesce(commits, 0) > 0)::int as score from us left join cm using (session_key))"""
+
+
+def _scores(spark, d) -> DataFrame:
+    """Every third turn of an agent stands for a commit."""
+    messages = conversations(spark, d).messages
+    commands = messages.where("role = 'Assistant'").select("session_key", F.when(F.col("msg_idx") % 3 == 0, "git commit -m x").otherwise("ls").alias("command"))
+    return extras.success_scores(messages, commands)
+
+
+@query("success_scores", f"with {SUCCESS} select session_key, corrections, final, commits, round(score, 6) as score from sc")
+def _(spark, d):
+    return _scores(spark, d)
+
+
+@query("pattern_success", f"""with {SUCCESS}, pt as (select distinct session_key, classification as pattern from m where role = 'User'),
+q as (select quantile_cont(score, 0.25) as q1, quantile_cont(score, 0.75) as q3 from sc), r as (select session_key, score, (score <= q1)::int as low, (score >= q3)::int as high from sc, q),
+o as (select pattern, count(*) as n, sum(score) as s, sum(low) as l, sum(high) as h from pt join r using (session_key) group by pattern), a as (select count(*) as n, sum(score) as s, sum(low) as l, sum(high) as h from r)
+select pattern, round(o.s / o.n, 6) as present, round(case when a.n > o.n then (a.s - o.s) / (a.n - o.n) end, 6) as absent, round(o.s / o.n - case when a.n > o.n then (a.s - o.s) / (a.n - o.n) end, 6) as delta,
+round(o.l / a.l, 6) as low_quarter, round(o.h / a.h, 6) as high_quarter from o, a""")
+def _(spark, d):
+    messages = conversations(spark, d).messages
+    patterns = messages.where("role = 'User'").select("session_key", F.col("classification").alias("pattern")).distinct()
+    return extras.pattern_success(patterns, _scores(spark, d))
+
+
+AGES = f"""{TIMES}, fs as (select user_id, arg_min(ts, (ts, event_id)) as ts from events group by user_id), ag as (select user_id, (epoch_us(ts) - epoch_us(min(ts) over (partition by user_id % 7))) / 86400e6 as age from fs),
+gm as (select case when age > (select median(age) from ag) then 'mature' else 'early' end as grp, duration, event from tm join ag using (user_id))"""
+
+
+@query("maturity_logrank", f"""with {AGES}, ev as (select duration, d as dd, at_risk as nn from rt where d > 0),
+ex as (select g.grp, sum((select count(*) from gm where gm.grp = g.grp and gm.duration >= ev.duration) * dd / nn) as expected from (select distinct grp from gm) g, ev group by g.grp)
+select grp, (select count(*) from gm where gm.grp = ex.grp and event) as observed, round(expected, 6) as expected, round(((select count(*) from gm where gm.grp = ex.grp and event) - expected) ** 2 / expected, 6) as chi2 from ex""")
+def _(spark, d):
+    return trends.log_rank(extras.maturity_groups(_times(spark, d), trends.dated_sessions(events(spark, d))), "grp")
+
+
+@query("hazard_shape", f"""with {TIMES}, hz as (select duration, d / at_risk as step, row_number() over (order by duration) - 1 as i from rt),
+sm as (select a.i, sum(0.75 * (1 - ((a.duration - b.duration) / 3.0) ** 2) / 3.0 * b.step) as h from hz a join hz b on abs(a.duration - b.duration) <= 3 group by a.i),
+th as (select avg(h) filter (where i < floor((select count(*) from sm) / 3)) as early, avg(h) filter (where i >= floor(2 * (select count(*) from sm) / 3)) as late from sm)
+select round(early, 6) as early, round(late, 6) as late, round(case when early > 0 then late / early else 1 end, 6) as ratio,
+case when early > 0 and late / early > 1.3 then 'increasing' when early > 0 and late / early < 0.7 then 'decreasing' else 'flat' end as trend from th""")
+def _(spark, d):
+    return extras.hazard_shape(_times(spark, d))
+
+
+@query("three_sigma", f"""with {SPC_MAX}, s as (select avg(value) as m, stddev_samp(value) as sd from p) select i, session_id, round((value - m) / sd, 6) as z from p, s where sd > 0 and abs(value - m) > 3 * sd""")
+def _(spark, d):
+    return extras.three_sigma(_points(spark, d, F.max("value")))
+
+
+@query("spc_cusum_sample", f"""with {SPC}, sd as (select avg(value) as m, stddev_samp(value) as s from p), u as (select i, s, sum(value - m - s / 2) over (order by i) as up, sum(m - s / 2 - value) over (order by i) as dn from p, sd),
+t as (select i, s, up - least(0, min(up) over (order by i)) as s_hi, dn - least(0, min(dn) over (order by i)) as s_lo from u)
+select i, round(s_hi, 6) as s_hi, round(s_lo, 6) as s_lo, s > 0 and greatest(s_hi, s_lo) > 5 * s as alarm from t""")
+def _(spark, d):
+    return trends.cusum(_points(spark, d), sample=True, alarm=5.0)
+
+
+@query("dominance", """with c as (select 'p' || (user_id % 7) as "group", event_type as symbol, count(*) as n from events group by 1, 2)
+select "group", arg_min(symbol, (-n, symbol)) as dominant, round(max(n) / sum(n), 6) as dominance from c group by 1""")
+def _(spark, d):
+    rows = read(spark, d, "events").groupBy(F.concat(F.lit("p"), F.col("user_id") % 7).alias("group"), F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"))
+    return extras.dominance(rows)
+
+
+@query("diet_breadth", f"""with {E}, c as (select session_key, tool, count(*) as n from e where tool <> 'signup' group by session_key, tool), a as (select session_key, count(*) as types, sum(n) as al, sum(n * ln(n)) as nl, sum(n * n) as nn, max(n) as top from c group by session_key)
+select session_key, types, round(case when types > 1 then ln(al) - nl / al else 0 end, 6) as shannon, round(1 - nn / (al * al)::double, 6) as simpson, round(top / al, 6) as dominance from a""")
+def _(spark, d):
+    """An event type is a prey; ``signup`` is none."""
+    return extras.diet_breadth(events(spark, d).tool_calls.select("session_key", F.when(F.col("name") != "signup", F.col("name")).alias("prey")))
+
+
+@query("switching_costs", f"""with {E}, x as (select session_key, pos, case when tool not in ('view', 'click') then tool end as patch from e),
+y as (select session_key, patch, pos - lag(pos) over w - 1 as gap, lag(patch) over w is not distinct from patch as same from x where patch is not null window w as (partition by session_key order by pos))
+select session_key, count(*) as switches, round(avg(gap), 6) as mean_cost from y where gap is not null and (not same or gap > 0) group by session_key""")
+def _(spark, d):
+    """Views and clicks lie between the patches."""
+    return extras.switching_costs(events(spark, d).tool_calls.select("session_key", F.col("pos").alias("turn"), F.when(~F.col("name").isin("view", "click"), F.col("name")).alias("patch")))
+
+
+@query("anomaly_overlap", f"""with {WINDOWS}, s0 as (select session_key, start - 1 as idx, entropy, avg(entropy) over o as mean, stddev_pop(entropy) over o as sd, count(*) over o as n from w window o as (partition by session_key)),
+od as (select session_key, idx from s0 where n >= 5 and sd >= 1e-10 and abs(entropy - mean) > 2 * sd), mk as (select session_key, greatest(0, pos - 11) as mid from e where tool = 'error'),
+hit as (select session_key, idx, exists (select 1 from mk where mk.session_key = od.session_key and abs(mk.mid - od.idx) <= 2) as near from od)
+select session_key, count(*) as anomalies, count(*) filter (where near) as near, round(count(*) filter (where near) / count(*), 6) as share from hit group by session_key""")
+def _(spark, d):
+    calls = events(spark, d).tool_calls
+    return extras.anomaly_overlap(sequence.entropy_windows(calls), calls.where("name = 'error'").select("session_key", "pos"))
+
+
+@query("kmer_fisher", f"""with {KMERS}, ks as (select distinct session_key, kmer from km), f as (select motif, st.user_id % 2 = 1 as high, ks.kmer is not null as has from cv cross join st left join ks on ks.session_key = st.session_key and ks.kmer = cv.motif),
+t as (select motif, count(*) filter (where high and has) as a, count(*) filter (where high and not has) as b, count(*) filter (where not high and has) as c, count(*) filter (where not high and not has) as d from f group by motif),
+p as (select motif, a, b, c, d, unnest(range(a, least(a + c, a + b) + 1)) as i from t),
+l as (select motif, a, b, c, d, exp(lgamma(a + c + 1) - lgamma(i + 1) - lgamma(a + c - i + 1) + lgamma(b + d + 1) - lgamma(a + b - i + 1) - lgamma(b + d - (a + b - i) + 1) - lgamma(a + b + c + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1)) as x from p)
+select motif, a, b, c, d, round(least(1, sum(x)), 6) as p from l group by motif, a, b, c, d""")
+def _(spark, d):
+    strings = process.symbol_strings(_log(spark, d), SYMBOLS)
+    return extras.fisher_enrichment(process.kmer_presence(strings, strings.select("session_key", (F.col("session_key").cast("long") % 2 == 1).alias("high"))))
+
+
+def _dated_references(spark, d) -> DataFrame:
+    """Mentions in documents, dated by their ids."""
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 365).cast("int"))
+    docs = corpus._docs(spark, d).where("text is not null").select(F.element_at(F.array(*map(F.lit, corpus.PROJECTS)), (F.col("doc_id") % len(corpus.PROJECTS) + 1).cast("int")).alias("src"), "text", day.cast("timestamp").alias("ts"))
+    names = spark.createDataFrame([(p,) for p in corpus.PROJECTS], "project string")
+    return corpus.mentions(docs, names, ("src", "ts"))
+
+
+_DATED_REFS = f"""dd as (select {corpus._NAMES}[doc_id % {len(corpus.PROJECTS)} + 1] as src, lower(text) as text, date '2024-01-01' + (doc_id % 365)::int as day from documents where text is not null),
+rf as (select src, n as dst, day, len(regexp_extract_all(regexp_replace(text, '([\\pL\\pN_]+)', ' \\1 ', 'g'), ' ' || n || ' ')) as c from dd, unnest({corpus._NAMES}) t(n) where n <> src)"""
+
+
+@query("monthly_references", f"""with {_DATED_REFS} select strftime(day, '%Y-%m') as month, sum(c)::bigint as "references", count(distinct dst) as projects from rf where c > 0 group by 1""")
+def _(spark, d):
+    return extras.monthly_references(_dated_references(spark, d))
+
+
+@query("first_seen", f"""with {_DATED_REFS}, a as (select src as project, min(day) as x from dd group by 1), b as (select dst as project, min(day) as y from rf where c > 0 group by 1)
+select project, strftime(x, '%Y-%m-%d') as first_active, strftime(y, '%Y-%m-%d') as first_referenced from a full join b using (project)""")
+def _(spark, d):
+    refs = _dated_references(spark, d)
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 365).cast("int")).cast("timestamp")
+    sessions = corpus._docs(spark, d).where("text is not null").select(F.element_at(F.array(*map(F.lit, corpus.PROJECTS)), (F.col("doc_id") % len(corpus.PROJECTS) + 1).cast("int")).alias("project"), day.alias("ts"))
+    return extras.first_seen(sessions, refs).select("project", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_active", "first_referenced")))
+
+
+# --- public metrics, warnings, clusters ---
+
+_VALUES = ("12", "-0.5e3", "true", '"plain_word"', '"two words"', "null", '{"a":1}', '"' + "x" * 41 + '"')
+
+
+@query("public_metrics", """with a as (select unnest(range(0, 12)) as k), f as (select event_id as k, ['12', '-0.5e3', 'true', '"plain_word"', '"two words"', 'null', '{"a":1}', '"' || repeat('x', 41) || '"'][event_id % 8 + 1] as value_json from events where event_id < 10)
+select 't' || k % 3 as technique, 'l' || k as label, case when k < 10 and k % 8 in (0, 1, 2, 3) then value_json end as value_json,
+case when value_json is null or value_json = 'null' then 'undefined' when k % 8 in (0, 1, 2, 3) then 'defined' else 'redacted' end as status from a left join f using (k)""")
+def _(spark, d):
+    """Findings made of the first ten events; twelve are allowed."""
+    e = read(spark, d, "events").where("event_id < 10")
+    value = F.element_at(F.array(*map(F.lit, _VALUES)), (F.col("event_id") % len(_VALUES) + 1).cast("int"))
+    name = lambda k: (F.concat(F.lit("t"), k % 3).alias("technique"), F.concat(F.lit("l"), k).alias("label"))
+    return corpus.public_metrics(e.select(*name(F.col("event_id")), value.alias("value_json")), spark.range(12).select(*name(F.col("id"))))
+
+
+@query("warnings", """with s as (select source, count(*) as sessions, count(*) filter (where n_chars > 9000) as autonomous, count(*) filter (where text is null) as parse_errors from documents group by source)
+select source, sessions, autonomous, parse_errors, array_to_string(list_filter([case when sessions < 30 then 'tiny_n' end, case when autonomous = 0 then 'no_autonomous_sessions' end, case when autonomous > 0 and autonomous < 10 then 'few_autonomous_sessions' end, case when parse_errors > 0 then 'parse_errors' end], lambda x: x is not null), ',') as warnings from s""")
+def _(spark, d):
+    """Sources are strata, long documents autonomous sessions, null texts parse errors."""
+    by = read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("sessions"), F.count_if(F.col("n_chars") > 9000).alias("autonomous"), F.count_if(F.col("text").isNull()).alias("parse_errors"))
+    return corpus.warnings_of(by).withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("similarity_clusters", "select node, g as component from (select c_custkey + 1000 as node, c_nationkey::bigint as g from customer union all select distinct c_nationkey::bigint, c_nationkey::bigint from customer)")
+def _(spark, d):
+    """Customers are near their nation."""
+    c = read(spark, d, "customer")
+    return corpus.similarity_clusters(c.select(F.col("c_nationkey").cast("bigint").alias("a"), (F.col("c_custkey") + 1000).cast("bigint").alias("b"), F.lit(0.9).alias("cosine")))
+
+
+@query("status_counts", """with o as (select source as corpus, lang as metric, case when source = 'web' or avg(n_chars) is null then 'missing' else 'defined' end as status, avg(n_chars) - 500 as value from documents group by source, lang)
+select metric, count(*) filter (where status = 'defined') as defined, count(*) filter (where status <> 'defined') as undefined, round(min(value) filter (where status = 'defined'), 6) as min, round(max(value) filter (where status = 'defined'), 6) as max,
+round(avg(value) filter (where status = 'defined'), 6) as mean, round(max(value) filter (where status = 'defined') - min(value) filter (where status = 'defined'), 6) as range,
+round(max(value) filter (where status = 'defined' and value > 0) / min(value) filter (where status = 'defined' and value > 0), 6) as ratio from o group by metric""")
+def _(spark, d):
+    by = read(spark, d, "documents").groupBy(F.col("source").alias("corpus"), F.col("lang").alias("metric")).agg(F.avg("n_chars").alias("v"))
+    status = F.when((F.col("corpus") == "web") | F.col("v").isNull(), "missing").otherwise("defined")
+    return extras.status_counts(by.select("corpus", "metric", status.alias("status"), (F.col("v") - 500).alias("value")))
+
+
 # --- iterative estimators ---
 
 AGENT_NAMES = {"view": "Read", "click": "Grep", "purchase": "Edit", "signup": "Bash", "error": "Skill"}
@@ -863,6 +1064,11 @@ def _(spark, d):
     return corpus.similar_documents(docs)
 
 
+@query("similarity_links")
+def _(spark, d):
+    return corpus.similarity_links(read(spark, d, "documents").where("doc_id is not null").select("doc_id", "text"))
+
+
 @query("topic_terms")
 def _(spark, d):
     return numeric.topic_terms(read(spark, d, "documents")).drop("weight")

@@ -13,6 +13,7 @@ from ..functions import patterns as P
 from ..result import TechniqueResult, findings_of, technique, union
 
 WORD = r"[a-z]{2,}"
+MOST_PROJECTS = 20_000
 
 
 def terms(docs: DataFrame, pairs: bool = True) -> DataFrame:
@@ -44,15 +45,25 @@ def top_terms(docs: DataFrame, group: str, k: int = 10, pairs: bool = False) ->
     return mean.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
-def similar_documents(docs: DataFrame, least: float = 0.4, heavy: int = 12) -> DataFrame:
-    """Pairs of documents whose cosine is above ``least``.
+def vector_classes(vectors: DataFrame) -> DataFrame:
+    """``doc_id, rep``: the least document of the same vector (equal terms and weights to nine places)."""
+    own = vectors.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(i), "term", F.round("weight", 9)).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)))
+    reps = own.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    return own.join(reps, ["n", "h1", "h2"]).select("doc_id", "rep")
 
-    By the prefix argument: with weights sorted by rarity, two unit vectors of
-    cosine above the bound share a term before the rest of the vector falls under
-    it, so only those rare terms are joined on, and the cosine is computed for
-    the pairs they give.  Very frequent terms come last and are hardly joined.
+
+def similar_documents(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """``a, b, cosine``: pairs of documents whose cosine is above ``least``, each the least of its equal vectors.
+
+    Copies are taken together first (``vector_classes`` says which), so they are
+    not multiplied into pairs.  By the prefix argument: with weights sorted by
+    rarity, two unit vectors of cosine above the bound share a term before the
+    rest of the vector falls under it, so only those rare terms are joined on,
+    and the cosine is computed for the pairs they give.  Very frequent terms come
+    last and are hardly joined.
     """
-    v = tf_idf(docs)
+    every = tf_idf(docs)
+    v = every.join(vector_classes(every).where("doc_id = rep").select("doc_id"), "doc_id")
     df = v.groupBy("term").agg(F.count("*").alias("df"))
     own = W.partitionBy("doc_id").orderBy(F.asc("df"), "term")
     rows = v.join(df, "term").withColumn("rest", 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
@@ -64,6 +75,13 @@ def similar_documents(docs: DataFrame, least: float = 0.4, heavy: int = 12) -> D
     return cosine.where(F.col("cosine") > least)
 
 
+def similarity_links(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """``doc_id, rep, links``: the class of each document with words and how many other classes it is similar to."""
+    pairs = similar_documents(docs, least)
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
+    return vector_classes(tf_idf(docs)).join(ends, "rep", "left").select("doc_id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def similarity_clusters(pairs: DataFrame) -> DataFrame:
     """Density clusters with a minimum of two points: the components of the pair graph."""
     return components(pairs.select("a", "b"))
@@ -91,8 +109,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = after.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         label = after
         if not moved:
-            break
-    return label
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def theme_counts(docs: DataFrame, themes: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -156,18 +174,42 @@ def user_aggregates(sessions: DataFrame, owners: DataFrame, key: str, user: str,
 # --- references between projects ---
 
 
+def _alternation(projects: DataFrame) -> tuple[list[str], str]:
+    """Known names, longest first, and one alternation of them at word edges."""
+    names = [r.project for r in projects.select("project").distinct().limit(MOST_PROJECTS + 1).collect()]
+    if len(names) > MOST_PROJECTS:
+        raise ValueError(f"more than {MOST_PROJECTS} projects do not fit into one pattern")
+    ordered = sorted(names, key=lambda p: (-len(p), p.lower()))
+    return ordered, r"(?<!\w)(" + "|".join(re.escape(p) for p in ordered) + r")(?!\w)"
+
+
+def mentions(messages: DataFrame, projects: DataFrame, keep: tuple[str, ...] = ("src",)) -> DataFrame:
+    """``keep, dst``: each mention of another project in a message of ``src, text``, with functions of the JVM only."""
+    ordered, place = _alternation(projects)
+    if not ordered:
+        return messages.where("false").select(*keep, F.lit("").alias("dst"))
+    lookup = {p.lower(): p for p in reversed(ordered)}
+    known = F.create_map(*(F.lit(x) for pair in lookup.items() for x in pair))
+    found = messages.select(*dict.fromkeys((*keep, "src")), F.explode(F.regexp_extract_all("text", F.lit("(?iU)" + place), 1)).alias("m"))
+    return found.withColumn("dst", known[F.lower("m")]).where("dst <> src").select(*keep, "dst")
+
+
+def reference_weights(references: DataFrame) -> DataFrame:
+    return references.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
 def project_references(messages: DataFrame, projects: DataFrame) -> DataFrame:
-    """``src, dst, kind``: each mention of another project in a message of ``src, text``.
+    """``src, dst, kind``: each mention of another project in a message of ``src, text``, and what its surroundings say.
 
-    Known names are one alternation, longest first, so a text is scanned once.
-    The list of projects goes into the plan; it is a driver-side registry, not data.
+    Known names are one alternation, so a text is scanned once.  The list of
+    projects goes into the plan; it is a driver-side registry, not data.  Where the
+    kind is not asked, ``mentions`` does without Python.
     """
-    names = [r.project for r in projects.select("project").distinct().collect()]
-    if not names:
+    ordered, place = _alternation(projects)
+    if not ordered:
         return messages.sparkSession.createDataFrame([], "src string, dst string, kind string")
-    ordered = sorted(names, key=lambda p: (-len(p), p.lower()))
     lookup = {p.lower(): p for p in reversed(ordered)}
-    place = r"(?i)(?<![\w])(" + "|".join(re.escape(p) for p in ordered) + r")(?![\w])"
+    place = "(?i)" + place
     texts = messages.select("src", "text")
 
     def scan(batches):
@@ -253,10 +295,10 @@ x as (select doc_id, lang, c.term, c.n * (ln((1.0::double + (select n from nd))
 v as (select doc_id, lang, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from x)"""
 
 
-def _refs(spark, d) -> DataFrame:
+def _refs(spark, d, kinds: bool = False) -> DataFrame:
     docs = _docs(spark, d).where("text is not null").select(F.element_at(F.array(*map(F.lit, PROJECTS)), (F.col("doc_id") % len(PROJECTS) + 1).cast("int")).alias("src"), "text")
     names = spark.createDataFrame([(p,) for p in PROJECTS], "project string")
-    return project_references(docs, names)
+    return reference_edges(project_references(docs, names)) if kinds else reference_weights(mentions(docs, names))
 
 
 _NAMES = "['" + "', '".join(PROJECTS) + "']"
@@ -296,20 +338,20 @@ QUERIES = {
         "select lang, source, grouping(lang) * 2 + grouping(source) as level, count(*) as n, sum(n_chars)::bigint as chars from documents group by cube (lang, source)",
     ),
     "project_refs": (
-        lambda s, d: reference_edges(_refs(s, d)).select("src", "dst", "weight"),
+        lambda s, d: _refs(s, d, kinds=True).select("src", "dst", "weight"),
         f"with {_REFS} select src, dst, weight from eg",
     ),
     "graph_degrees": (
-        lambda s, d: graph_degrees(reference_edges(_refs(s, d))),
+        lambda s, d: graph_degrees(_refs(s, d)),
         f"""with {_REFS}, n as (select src as project, 1 as o, 0 as i, weight as ow, 0 as iw from eg union all select dst, 0, 1, 0, weight from eg)
         select project, sum(o)::bigint as out_degree, sum(i)::bigint as in_degree, sum(ow)::bigint as out_weight, sum(iw)::bigint as in_weight from n group by project""",
     ),
     "graph_adjacency": (
-        lambda s, d: adjacency(reference_edges(_refs(s, d)), list(PROJECTS)),
+        lambda s, d: adjacency(_refs(s, d), list(PROJECTS)),
         f"with {_REFS} select src, " + ", ".join(f"coalesce(sum(weight) filter (where dst = '{p}'), 0)::bigint as {p}" for p in PROJECTS) + " from eg group by src",
     ),
     "mutual_pairs": (
-        lambda s, d: mutual_pairs(reference_edges(_refs(s, d))),
+        lambda s, d: mutual_pairs(_refs(s, d)),
         f"with {_REFS} select x.src as a, x.dst as b from eg x join eg y on x.src = y.dst and x.dst = y.src where x.src < x.dst",
     ),
     "components": (

@@ -249,6 +249,15 @@ def kmer_enrichment(strings: DataFrame, groups: DataFrame) -> DataFrame:
     return by.where("low_freq > 0 and high_freq > 0").select("motif", "low_freq", "high_freq", ratio.alias("enrichment_ratio"))
 
 
+def kmer_presence(strings: DataFrame, groups: DataFrame) -> DataFrame:
+    """``motif, a, b, c, d``: high sessions with and without each conserved k-mer, low ones with and without."""
+    motifs = conserved_kmers(strings).select("motif")
+    sizes = groups.join(strings.select("session_key"), "session_key").agg(F.count_if("high").alias("highs"), F.count_if(~F.col("high")).alias("lows"))
+    seen = kmers(strings).select(F.col("kmer").alias("motif"), "session_key").distinct().join(F.broadcast(motifs), "motif").join(groups, "session_key")  # k-mers of a small alphabet
+    by = seen.groupBy("motif").agg(F.count_if("high").alias("a"), F.count_if(~F.col("high")).alias("c")).crossJoin(F.broadcast(sizes))
+    return by.select("motif", "a", (F.col("highs") - F.col("a")).alias("b"), "c", (F.col("lows") - F.col("c")).alias("d"))
+
+
 # --- excitation, lifetimes, as-of ---
 
 

@@ -143,18 +143,21 @@ def two_of_three(points: DataFrame) -> DataFrame:
     return rows.where("n = 3 and beyond >= 2 and sigma > 0").select("i", "beyond")
 
 
-def cusum(points: DataFrame) -> DataFrame:
-    """Two-sided CUSUM with slack k = sigma / 2 and alarm at 4 sigma.
+def cusum(points: DataFrame, sample: bool = False, alarm: float = 4.0) -> DataFrame:
+    """Two-sided CUSUM with slack k = sigma / 2 and alarm at ``alarm`` sigma, from moving ranges or of the sample.
 
     The recurrence S = max(0, S + x) equals T - min(0, running min of T) with the
     running sum T, so it is two window functions.
     """
     w = W.orderBy("i")
-    rows = points.join(F.broadcast(control_limits(points))).withColumn("k", 0.5 * F.col("sigma"))
+    limits = control_limits(points).select("mean", "sigma")
+    if sample:
+        limits = points.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sigma"))
+    rows = points.join(F.broadcast(limits)).withColumn("k", 0.5 * F.col("sigma"))
     rows = rows.withColumns({"up": F.sum(F.col("value") - F.col("mean") - F.col("k")).over(w), "down": F.sum(F.col("mean") - F.col("k") - F.col("value")).over(w)})
     side = lambda c: F.col(c) - F.least(F.lit(0.0), F.min(c).over(w))
     rows = rows.withColumns({"s_hi": side("up"), "s_lo": side("down")})
-    return rows.select("i", "s_hi", "s_lo", F.coalesce((F.col("sigma") > 0) & (F.greatest("s_hi", "s_lo") > 4 * F.col("sigma")), F.lit(False)).alias("alarm"))
+    return rows.select("i", "s_hi", "s_lo", F.coalesce((F.col("sigma") > 0) & (F.greatest("s_hi", "s_lo") > alarm * F.col("sigma")), F.lit(False)).alias("alarm"))
 
 
 def capability(points: DataFrame, lower: float, upper: float) -> DataFrame:
