@@ -1058,13 +1058,18 @@ def _(spark, d):
     return numeric.cox_regression(rows)[0]
 
 
-@query("similar_documents")
+SIMILAR = f"""{corpus._TFIDF}, g as (select doc_id, sha256(string_agg(term || ' ' || round(weight, 9), ' ' order by term)) as h from v group by doc_id),
+cl as (select doc_id, min(doc_id) over (partition by h) as rep from g), u as (select v.doc_id, term, weight from v join cl on v.doc_id = cl.rep and cl.doc_id = cl.rep),
+sm as (select x.doc_id as a, y.doc_id as b, sum(x.weight * y.weight) as cosine from u x join u y on x.term = y.term and x.doc_id < y.doc_id group by 1, 2 having sum(x.weight * y.weight) > 0.4)"""
+
+
+@query("similar_documents", f"with {SIMILAR} select a, b, round(cosine, 6) as cosine from sm")
 def _(spark, d):
     docs = read(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
     return corpus.similar_documents(docs)
 
 
-@query("similarity_links")
+@query("similarity_links", f"with {SIMILAR}, e as (select rep, count(*) as links from (select a as rep from sm union all select b from sm) group by rep) select doc_id, rep, coalesce(links, 0) as links from cl left join e using (rep)")
 def _(spark, d):
     return corpus.similarity_links(read(spark, d, "documents").where("doc_id is not null").select("doc_id", "text"))
 
