@@ -58,6 +58,18 @@ def test_renderers(spark):
     assert render.conversation_text(f, "s0", tools=True) == "[User] hi\n\n[Assistant] ok\n  tools: Read, Edit"
 
 
+def test_long_tables_show_their_true_ends(spark):
+    df = spark.range(5000).orderBy("id")
+    text = render.markdown(TechniqueResult("t", {"T": df}))
+    assert "| 0 |" in text and "| 4999 |" in text and "| 4995 |" in text and "| 1000 |" not in text and text.count("\n| ") < 40
+    old, render.JSON_ROWS = render.JSON_ROWS, 100
+    try:
+        with pytest.raises(ValueError, match="more than 100 rows"):
+            render.as_json(TechniqueResult("t", {"T": df}))
+    finally:
+        render.JSON_ROWS = old
+
+
 def test_archive(spark, tmp_path):
     logs, target = tmp_path / "logs" / ".claude", str(tmp_path / "store")
     logs.mkdir(parents=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-INTERVALS = 64
+INTERVALS, SAMPLE = 64, 4096
 
 
 def splits_of(df: DataFrame, key: str, intervals: int = INTERVALS) -> list[int]:
@@ -36,6 +36,43 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str, intervals: int = I
     return joined.withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("__interval", "__before")
 
 
+def sampled_splits(df: DataFrame, key: str, intervals: int = INTERVALS) -> list:
+    """About equal-count cut points of a key of any ordered type, from the ``SAMPLE`` rows of least hash."""
+    rows = df.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(SAMPLE).collect()
+    values = sorted(r.k for r in rows)
+    return sorted({values[i * len(values) // intervals] for i in range(1, intervals)}) if values else []
+
+
+def numbered(df: DataFrame, key: str, order: list, out: str, intervals: int = INTERVALS, like: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``out``, the row number from 1 in the order of ``order``, which begins with ``key`` (null last).
+
+    Each interval of the key numbers its own rows; the cut points come from
+    ``like`` where its column ``key`` is cheaper to read.
+    """
+    cuts = sampled_splits(df if like is None else like, key, intervals)
+    place = sum(((F.col(key) >= F.lit(x)).cast("int") for x in cuts), F.lit(0))
+    parts = df.withColumn("__interval", F.coalesce(place, F.lit(len(cuts))))
+    before = W.orderBy("__interval").rowsBetween(W.unboundedPreceding, -1)
+    sizes = parts.groupBy("__interval").agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__interval", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = W.partitionBy("__interval").orderBy(*order)
+    joined = parts.join(F.broadcast(sizes), "__interval")  # at most ``intervals`` rows
+    return joined.withColumn(out, F.col("__before") + F.row_number().over(inner)).drop("__interval", "__before")
+
+
+def scans(df: DataFrame, key: str, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, intervals: int = INTERVALS) -> DataFrame:
+    """``df`` with running sums and running minima up to and including each row of a unique long ``key``."""
+    wanted = {**{k: (F.sum, c) for k, c in (sums or {}).items()}, **{k: (F.min, c) for k, c in (least or {}).items()}}
+    parts = df.withColumn("__interval", interval(F.col(key), splits_of(df, key, intervals)))
+    before = W.orderBy("__interval").rowsBetween(W.unboundedPreceding, -1)
+    totals = parts.groupBy("__interval").agg(*(f(c).alias(k) for k, (f, c) in wanted.items()))
+    totals = totals.select("__interval", *(f(k).over(before).alias(f"__{k}") for k, (f, _) in wanted.items()))
+    inner = W.partitionBy("__interval").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    joined = parts.join(F.broadcast(totals), "__interval")  # at most ``intervals`` rows
+    both = {k: F.least(F.col(f"__{k}"), f(c).over(inner)) if f is F.min else F.coalesce(F.col(f"__{k}"), F.lit(0.0)) + f(c).over(inner) for k, (f, c) in wanted.items()}
+    return joined.withColumns(both).drop("__interval", *(f"__{k}" for k in wanted))
+
+
 def two_before(df: DataFrame, group: str, place: str, n: int, intervals: int = INTERVALS) -> DataFrame:
     """``df`` with ``prev1`` and ``prev2``, the two places before each row's in its group; places are 1, 2, ... ``n``.
 

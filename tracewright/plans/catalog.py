@@ -672,7 +672,7 @@ def _(spark, d):
 select bigram, rank, row_number() over (partition by bigram order by rank) as adopters from sp join o using (session_key)""")
 def _(spark, d):
     f = events(spark, d)
-    ranked = trends.dated_sessions(f).select("session_key", F.row_number().over(W.orderBy("ts", "session_key")).alias("rank"))
+    ranked = trends.ranked_sessions(trends.dated_sessions(f))
     return trends.adoption_curves(trends.session_pairs(f.tool_calls), ranked)
 
 
@@ -1040,7 +1040,7 @@ def _(spark, d):
 @query("sir_fits")
 def _(spark, d):
     f = events(spark, d)
-    ranked = trends.dated_sessions(f).select("session_key", F.row_number().over(W.orderBy("ts", "session_key")).alias("rank"))
+    ranked = trends.ranked_sessions(trends.dated_sessions(f))
     return numeric.adoption_fits(trends.adoption_curves(trends.session_pairs(f.tool_calls), ranked))
 
 

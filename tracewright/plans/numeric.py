@@ -827,10 +827,13 @@ def convention_epidemiology(frames: Frames) -> TechniqueResult:
         return TechniqueResult("convention_epidemiology", {}, one_row(spark, "convention_epidemiology", {"sessions_analyzed": n}))
     pairs = trends.session_pairs(frames.tool_calls)
     candidates = trends.convention_candidates(pairs, n)
-    kept = pairs.join(F.broadcast(candidates.select("bigram")), "bigram")  # pairs of tool names in a tenth of all sessions
-    ranked = dated.select("session_key", F.row_number().over(W.orderBy("ts", "session_key")).alias("rank"))
+    kept = pairs.join(F.broadcast(candidates.select("bigram")), "bigram")  # in a tenth of all sessions each, so few
+    ranked = trends.ranked_sessions(dated)
     fits = adoption_fits(trends.adoption_curves(kept, ranked))
-    named = dated.where("project <> '(unknown)'").withColumn("project", P.redacted(F.col("project")))
+    # A session's project is that of its working folder; where logs have none, the name the source gives.
+    folder = frames.sessions.select("session_key", project_id(F.col("cwd")).alias("folder"))
+    other = F.when(F.col("project") != "(unknown)", P.redacted(F.col("project")))
+    named = dated.join(folder, "session_key", "left").withColumn("project", F.coalesce("folder", other)).drop("folder").where("project is not null")
     projects = named.select("project").distinct().count()
     spread = trends.propagation(kept, named, max(1, projects)) if projects >= 3 else trends.propagation(kept, named, 1).where("false")
     pattern = F.when(F.col("reach") > 0.8, "ubiquitous").when(F.col("reach") <= 0.2, "confined").when(F.col("median_latency_days") <= 1, "radial").when(F.col("median_latency_days") >= 7, "sequential").otherwise("diffuse")

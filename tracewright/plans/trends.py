@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..frames import Frames
+from ..operators.ordered import numbered, scans
 from ..result import TechniqueResult, findings_of, technique, union
 
 # --- survival ---
@@ -116,10 +117,14 @@ def control_series(frames: Frames, least: int = 20) -> DataFrame:
 def in_order(rows: DataFrame, value: str) -> DataFrame:
     """``i, session_id, ts, value, mr``: the individuals chart's points.
 
-    One chart is one series, so it has one order; its rows are one number a session.
+    One chart is one series; its order is numbered by intervals of the time, and
+    a point meets the one before it by its number.
     """
-    w = W.orderBy(F.col("ts").asc_nulls_last(), "session_ord")
-    return rows.select((F.row_number().over(w) - 1).alias("i"), "session_id", "ts", F.col(value).cast("double").alias("value"), F.abs(F.col(value) - F.lag(value).over(w)).alias("mr"))
+    keyed = rows.select("session_id", "ts", "session_ord", F.col(value).cast("double").alias("value"), F.unix_micros("ts").alias("__at"))
+    placed = numbered(keyed, "__at", [F.col("__at").asc_nulls_last(), "session_ord"], "n")
+    points = placed.select((F.col("n") - 1).alias("i"), "session_id", "ts", "value")
+    before = points.select((F.col("i") + 1).alias("i"), F.col("value").alias("last"))
+    return points.join(before, "i", "left").select("i", "session_id", "ts", "value", F.abs(F.col("value") - F.col("last")).alias("mr"))
 
 
 def control_limits(points: DataFrame) -> DataFrame:
@@ -129,33 +134,38 @@ def control_limits(points: DataFrame) -> DataFrame:
 
 
 def out_of_control(points: DataFrame) -> DataFrame:
-    rows = points.join(F.broadcast(control_limits(points)))
+    rows = points.crossJoin(F.broadcast(control_limits(points)))
     side = F.when(F.col("value") > F.col("ucl"), "UCL").when(F.col("value") < F.col("lcl"), "LCL")
     return rows.select("i", "session_id", "value", side.alias("limit_violated")).where("limit_violated is not null")
 
 
 def two_of_three(points: DataFrame) -> DataFrame:
-    """Centres of windows of three points of which two lie beyond two sigma on one side."""
-    w = W.orderBy("i").rowsBetween(-1, 1)
-    beyond = lambda s: F.sum(F.when(s * (F.col("value") - F.col("mean")) > 2 * F.col("sigma"), 1).otherwise(0)).over(w)
-    rows = points.join(F.broadcast(control_limits(points)))
-    rows = rows.select("i", F.greatest(beyond(1), beyond(-1)).alias("beyond"), F.count("*").over(w).alias("n"), F.col("sigma"))
-    return rows.where("n = 3 and beyond >= 2 and sigma > 0").select("i", "beyond")
+    """Centres of windows of three points of which two lie beyond two sigma on one side.
+
+    Only points beyond the limit are looked at: each counts for the three windows it is in.
+    """
+    size = points.agg(F.count("*").alias("n"))
+    rows = points.crossJoin(F.broadcast(control_limits(points))).where("sigma > 0")
+    side = F.when(F.col("value") - F.col("mean") > 2 * F.col("sigma"), 1).when(F.col("mean") - F.col("value") > 2 * F.col("sigma"), -1)
+    far = rows.select("i", side.alias("side")).where("side is not null")
+    seen = far.select(F.explode(F.sequence(F.col("i") - 1, F.col("i") + 1)).alias("i"), "side").groupBy("i", "side").agg(F.count("*").alias("beyond"))
+    inside = seen.crossJoin(F.broadcast(size)).where("i >= 1 and i <= n - 2 and beyond >= 2")
+    return inside.groupBy("i").agg(F.max("beyond").alias("beyond"))
 
 
 def cusum(points: DataFrame, sample: bool = False, alarm: float = 4.0) -> DataFrame:
     """Two-sided CUSUM with slack k = sigma / 2 and alarm at ``alarm`` sigma, from moving ranges or of the sample.
 
     The recurrence S = max(0, S + x) equals T - min(0, running min of T) with the
-    running sum T, so it is two window functions.
+    running sum T, so it is two scans, each in intervals.
     """
-    w = W.orderBy("i")
     limits = control_limits(points).select("mean", "sigma")
     if sample:
         limits = points.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sigma"))
-    rows = points.join(F.broadcast(limits)).withColumn("k", 0.5 * F.col("sigma"))
-    rows = rows.withColumns({"up": F.sum(F.col("value") - F.col("mean") - F.col("k")).over(w), "down": F.sum(F.col("mean") - F.col("k") - F.col("value")).over(w)})
-    side = lambda c: F.col(c) - F.least(F.lit(0.0), F.min(c).over(w))
+    rows = points.select("i", "value").crossJoin(F.broadcast(limits)).withColumn("k", 0.5 * F.col("sigma"))
+    rows = scans(rows, "i", sums={"up": F.col("value") - F.col("mean") - F.col("k"), "down": F.col("mean") - F.col("k") - F.col("value")})
+    rows = scans(rows, "i", least={"least_up": F.col("up"), "least_down": F.col("down")})
+    side = lambda c: F.col(c) - F.least(F.lit(0.0), F.col(f"least_{c}"))
     rows = rows.withColumns({"s_hi": side("up"), "s_lo": side("down")})
     return rows.select("i", "s_hi", "s_lo", F.coalesce((F.col("sigma") > 0) & (F.greatest("s_hi", "s_lo") > alarm * F.col("sigma")), F.lit(False)).alias("alarm"))
 
@@ -205,6 +215,12 @@ def dated_sessions(frames: Frames) -> DataFrame:
     return frames.sessions.select("session_key", F.coalesce("project", F.lit("(unknown)")).alias("project")).join(first, "session_key", "left").withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
 
 
+def ranked_sessions(dated: DataFrame) -> DataFrame:
+    """``session_key, rank``: sessions by time, numbered in intervals."""
+    keyed = dated.select("session_key", F.unix_micros("ts").alias("__at"))
+    return numbered(keyed, "__at", ["__at", "session_key"], "rank").select("session_key", F.col("rank").cast("int").alias("rank"))
+
+
 def timeline_cube(dated: DataFrame) -> DataFrame:
     """Day by project, day and project totals from one pass, told apart by ``level`` (GROUPING_ID)."""
     counted = dated.where("date is not null").groupBy("date", "project").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ import re
 
 from ..result import TechniqueResult
 
-TABLE_ROWS, HEAD, TAIL = 50, 25, 5
+TABLE_ROWS, HEAD, TAIL, JSON_ROWS = 50, 25, 5, 100_000
 BLOCKS = "▁▂▃▄▅▆▇█"
 
 
@@ -28,6 +28,12 @@ def rows_shown(rows: list, most: int = TABLE_ROWS, head: int = HEAD, tail: int =
     return rows if len(rows) <= most else [*rows[:head], None, *rows[-tail:]]
 
 
+def fetched(df) -> list:
+    """The rows of a table that are shown: all, or the first and the last ones with a gap (None); no more reach the driver."""
+    rows = [tuple(r) for r in df.limit(TABLE_ROWS + 1).collect()]
+    return rows if len(rows) <= TABLE_ROWS else [*rows[:HEAD], None, *(tuple(r) for r in df.tail(TAIL))]
+
+
 def markdown_table(columns: list[str], rows: list) -> str:
     out = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     for row in rows_shown(rows):
@@ -46,12 +52,17 @@ def markdown(result: TechniqueResult, meta: dict | None = None) -> str:
     if found:
         parts += ["## Findings", "", markdown_table(["Finding", "Value"], [(k, json.dumps(v) if isinstance(v, (dict, list)) else v) for k, v in found]), ""]
     for name, df in result.tables.items():
-        parts += [f"## {name}", "", markdown_table(df.columns, [tuple(r) for r in df.limit(1000).collect()]), ""]
+        parts += [f"## {name}", "", markdown_table(df.columns, fetched(df)), ""]
     return "\n".join(parts)
 
 
 def as_json(result: TechniqueResult, meta: dict | None = None, pretty: bool = True) -> str:
-    tables = [{"name": n, "columns": df.columns, "rows": [list(map(_plain, r)) for r in df.collect()]} for n, df in result.tables.items()]
+    tables = []
+    for name, df in result.tables.items():
+        rows = df.limit(JSON_ROWS + 1).collect()
+        if len(rows) > JSON_ROWS:
+            raise ValueError(f"table {name!r} has more than {JSON_ROWS} rows; read it from the stored run instead")
+        tables.append({"name": name, "columns": df.columns, "rows": [list(map(_plain, r)) for r in rows]})
     body = {"name": result.name, "metadata": meta or {}, "findings": [{"label": k, "value": v} for k, v in findings_of(result)], "tables": tables}
     return json.dumps(body, indent=2 if pretty else None, ensure_ascii=False)
 

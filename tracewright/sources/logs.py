@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..frames import MESSAGES, SESSIONS, TOOL_CALLS, TOOL_RESULTS, Frames, conform
+from ..operators.ordered import numbered
 from ..plans.classify import classify_frames
 
 # Where the tools keep their logs, and how their paths tell them apart, most specific first.
@@ -400,7 +401,7 @@ def parse_logs(files: DataFrame) -> ReadResult:
         F.when(claude, F.regexp_extract("path", "([^/]*)/[^/]*$", 1)).alias("project"), "cwd", "git_branch", "model", "version", "permission_mode", extra.alias("extra"), "first_ts",
     )
     sessions = sessions.join(environment(rows.where("tool = 'ClaudeCode'")), "session_key", "left")
-    sessions = sessions.withColumn("session_ord", F.row_number().over(W.orderBy("source_path")))  # one short row a file
+    sessions = numbered(sessions, "source_path", ["source_path"], "session_ord", like=files.select(F.col("path").alias("source_path")))
     frames = Frames(conform(sessions, SESSIONS), conform(rows, MESSAGES), conform(calls, TOOL_CALLS), conform(results, TOOL_RESULTS))
     unknown = files.where(F.trim("content") != "").select("path").join(tools, "path", "left_anti")
     return ReadResult(classify_frames(frames), rejected, unknown)
