@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .storage import drop, materialize
+from .storage import drop, if_small, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -59,7 +59,8 @@ def merge_components(groups: DataFrame, links: DataFrame) -> DataFrame:
     """
     over = connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     old = over.select(F.col("node").alias("old"), F.col("component").alias("new"))
-    both = groups.join(old, F.col("component") == F.col("old"), "full")
-    out = materialize(both.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "component").alias("component")), "groups")
+    known = groups.join(if_small(old), F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = over.join(groups.select("node"), "node", "left_anti")
+    out = materialize(known.unionByName(fresh.select("node", "component")), "groups")
     drop(groups, over)
     return out

@@ -44,6 +44,8 @@ whole, one in a block by itself.  Further columns are not read by
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,6 +169,7 @@ def _by_block(batches):
         yield pa.Table.from_batches(held)
 
 
+@cache
 def _sub_bands(m: int) -> np.ndarray:
     """The components of each further band (SUB_BANDS x SUB_ROWS)."""
     rng = np.random.default_rng(11)
@@ -203,7 +206,7 @@ def _possible(t: pa.Table, least: float, ratio: float):
     label, n, band, sub = (t.column(x).to_numpy() for x in ("label", "n", "band", "sub"))
     sig, mark = (np.frombuffer(b"".join(t.column(x).to_pylist()), kind).reshape(t.num_rows, -1) for x, kind in (("sig", np.uint8), ("mark", np.uint32)))
     rest = np.flatnonzero(~query)
-    earlier = _sub_bands(sig.shape[1])[: max(0, sub[0])].ravel()  # a block is of one further band
+    earlier = _sub_bands(sig.shape[1])[: sub[0]].ravel() if sub[0] > 0 else ()  # a block is of one further band
     for i in np.flatnonzero(query):
         other = rest[label[rest] != label[i]]
         other = other[np.minimum(n[other], n[i]) >= ratio * np.maximum(n[other], n[i])]
