@@ -96,3 +96,14 @@ def test_archive(spark, tmp_path):
         f.write("x")
     assert [r.problem for r in archive.drift(spark, target).collect()] == ["changed"]
     assert storage.freeze(spark, str(logs)).where("tool = 'ClaudeCode'").count() == 4
+
+
+def test_archives_stay_out_of_git(tmp_path):
+    inside, outside = tmp_path / "work" / "a" / "store", tmp_path / "store"
+    (tmp_path / "work" / ".git").mkdir(parents=True)
+    inside.mkdir(parents=True)
+    outside.mkdir()
+    assert archive.keep_out_of_git(str(outside)) and not (outside / ".gitignore").exists()
+    assert archive.keep_out_of_git(str(inside)) and (inside / ".gitignore").read_text() == "*\n!.gitignore\n"
+    (inside / ".gitignore").write_text("objects\n")
+    assert not archive.keep_out_of_git(str(inside)) and (inside / ".gitignore").read_text() == "objects\n"

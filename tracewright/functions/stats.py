@@ -165,10 +165,10 @@ def pelt(signal: np.ndarray, penalty: float, min_size: int = 8, kernel: str = "r
     for end in range(min_size, n + 1):
         ok = open_[end - open_ >= min_size]
         if len(ok):
-            total = best[ok] + cost(ok, end) + penalty
+            total = best[ok] + cost(ok, end)
             k = int(np.argmin(total))
-            best[end], last[end] = total[k], ok[k]
-            keep = best[ok] + cost(ok, end) <= best[end]
+            best[end], last[end] = total[k] + penalty, ok[k]
+            keep = total <= best[end]
             open_ = np.concatenate([ok[keep], open_[end - open_ < min_size]])
         open_ = np.append(open_, end) if np.isfinite(best[end]) else open_
     out, end = [], n

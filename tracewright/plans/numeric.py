@@ -874,25 +874,32 @@ def user_turn_signals(frames: Frames, least: int = 30) -> DataFrame:
     )
 
 
-def regimes_of(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Regimes (start, end, mean) of one signal; empty where there is nothing to analyse."""
+def regimes_of(x: np.ndarray, most: int | None = 500) -> list[tuple[int, int, float]]:
+    """Regimes (start, end, mean) of one signal; empty where there is nothing to analyse.
+
+    As published, a series of more than ``most`` points is searched at every
+    second, third, ... of them, so its ends are that coarse; None searches all.
+    """
     if (x != 0).sum() < 10 or x.std() < 1e-10:
         return []
-    step = -(-len(x) // 500)
+    step = -(-len(x) // most) if most else 1
     z = ((x - x.mean()) / x.std())[::step]
     cuts = [0, *(min(len(x), c * step) for c in stats.pelt(z, 1.5 * math.log(len(z)))), len(x)]
     return [(a, b, float(x[a:b].mean())) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def session_regimes(signals: DataFrame, names=SIGNALS) -> DataFrame:
-    """``session_key, signal, regime, start, end, mean, class``: a regime's class compares it with the one before."""
+def session_regimes(signals: DataFrame, names=SIGNALS, most: int | None = 500) -> DataFrame:
+    """``session_key, signal, regime, start, end, mean, class``: a regime's class compares it with the one before.
+
+    ``most`` as in ``regimes_of``.
+    """
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out = pdf.sort_values("i"), []
         for name in names:
             x = pdf[name].to_numpy(float)
             before = None
-            for k, (a, b, m) in enumerate(regimes_of(x)):
+            for k, (a, b, m) in enumerate(regimes_of(x, most)):
                 slack = 0.1 * x.std()
                 kind = "flat" if before is None or abs(m - before) <= slack else "rising" if m > before else "falling"
                 out.append((pdf.session_key.iloc[0], name, k, a, b, m, kind))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import warnings
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,24 @@ def known_observations(spark: SparkSession, archive: str) -> DataFrame:
     return spark.read.parquet(path) if os.path.isdir(path) else spark.createDataFrame([], OBSERVATIONS)
 
 
+def keep_out_of_git(target: str) -> bool:
+    """Let a work tree of git that holds the archive ignore it; whether it is ignored after that.
+
+    An ignore file that is there already is left as it is.
+    """
+    above = os.path.realpath(target)
+    while not os.path.exists(os.path.join(above, ".git")):
+        if above == os.path.dirname(above):
+            return True
+        above = os.path.dirname(above)
+    rules = os.path.join(target, ".gitignore")
+    if not os.path.exists(rules):
+        with open(rules, "w") as f:
+            f.write("*\n!.gitignore\n")
+    with open(rules) as f:
+        return any(line.strip() == "*" for line in f)
+
+
 def archive(spark: SparkSession, roots: list[str], target: str, dry_run: bool = False, consent: bool = False, required: bool = True) -> DataFrame:
     """Copy new contents and append new observations; returns the summary.
 
@@ -120,6 +139,8 @@ def archive(spark: SparkSession, roots: list[str], target: str, dry_run: bool =
     except FileExistsError as e:
         raise ArchiveError(f"another run holds {lock}") from e
     try:
+        if not keep_out_of_git(target):
+            warnings.warn(f"{target}/.gitignore does not ignore everything: archived logs could be committed", stacklevel=2)
         planned = planned.persist()
 
         def store(rows):
