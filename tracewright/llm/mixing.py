@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered, scans
 from .storage import if_small, materialize
 
 WEIGHTS, EPOCHS, BUCKETS, SEED = (5, 2, 1), 3, 4096, "mix-1"
@@ -44,24 +45,22 @@ def place(seed: str):
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """``source, source_size, target`` from ``source, source_size``; one row a source."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    nth = (F.row_number().over(by_name) - 1) % len(weights)
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (nth + 1).cast("int"))
-    cap = (F.col("source_size") * epochs).cast("double")
-    level = W.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    all_ = W.partitionBy()
-    sized = sizes.withColumn("w", w).withColumn("cap", cap)
-    sized = sized.withColumns(
-        {
-            "clamped": F.coalesce(F.sum("cap").over(level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)),
-            "open_w": F.sum("w").over(level.rowsBetween(0, W.unboundedFollowing)),
-            "budget": F.sum("source_size").over(all_).cast("double"),
-        }
-    )
-    sized = sized.withColumn("water", (F.col("budget") - F.col("clamped")) / F.col("open_w"))
-    right = F.min(F.when(F.col("water") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), "water"))).over(all_)
-    return sized.select("source", "source_size", F.least("cap", F.col("w") * right["water"]).alias("target"))
+    """``source, source_size, target`` from ``source, source_size``; one row a source.
+
+    Sources are numbered and their caps and weights summed in intervals, so their
+    number does not matter.
+    """
+    named = numbered(sizes, "source", [F.col("source").asc_nulls_last()], "nth")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    sized = named.withColumn("w", w).withColumn("cap", (F.col("source_size") * epochs).cast("double"))
+    sized = sized.withColumn("level", F.col("cap") / F.col("w"))
+    sized = numbered(sized, "level", ["level", F.col("source").asc_nulls_last()], "place")
+    sized = scans(sized, "place", sums={"caps": F.col("cap"), "ws": F.col("w")})
+    total = sizes.agg(F.sum("source_size").cast("double").alias("budget")).crossJoin(sized.agg(F.sum("w").alias("all_w")))
+    sized = sized.crossJoin(F.broadcast(total))  # one row
+    sized = sized.withColumn("water", (F.col("budget") - (F.col("caps") - F.col("cap"))) / (F.col("all_w") - F.col("ws") + F.col("w")))
+    right = sized.agg(F.min(F.when(F.col("water") <= F.col("level"), F.struct("level", "water"))).alias("right"))
+    return sized.crossJoin(F.broadcast(right)).select("source", "source_size", F.least("cap", F.col("w") * F.col("right.water")).alias("target"))
 
 
 def source_plan(rows: DataFrame, weights, epochs: int, buckets: int) -> DataFrame:
@@ -76,6 +75,7 @@ def source_plan(rows: DataFrame, weights, epochs: int, buckets: int) -> DataFram
     grid = materialize(grid, "mix-grid")
     named = F.when(F.col("none"), None).otherwise(F.col("name"))
     total = grid.groupBy("none", "name").agg(F.sum("inside").alias("source_size")).select(named.alias("source"), "source_size")
+    total = materialize(total, "mix-sizes")
     target = source_targets(total, weights, epochs)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     target = target.select(

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered, scans
 from .storage import if_small, materialize
 
 SHARDS, BITS, DIMENSIONS = 16, 8, ("source", "lang", "size")
@@ -70,9 +71,13 @@ def hilbert_index(coordinates: list[np.ndarray], bits: int) -> np.ndarray:
 
 def quantised(docs: DataFrame, column: str, bits: int) -> DataFrame:
     """``none, value, place``: each value's share of smaller rows, in ``bits`` bits."""
-    each = docs.groupBy(F.col(column).isNotNull().alias("some"), F.coalesce(column, F.lit("")).alias("value")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("some", "value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return each.select("some", "value", F.floor(before * (1 << bits) / F.sum("n").over(W.partitionBy())).cast("int").alias("place"))
+    some = F.col(column).isNotNull()
+    each = docs.groupBy(some.alias("some"), F.coalesce(column, F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    each = materialize(each.withColumn("by", F.concat(F.col("some").cast("int").cast("string"), "value")), f"counts-{column}")
+    placed = scans(numbered(each, "by", ["by"], "nth"), "nth", sums={"upto": F.col("n")})
+    total = each.agg(F.sum("n").alias("total"))  # one row
+    before = (F.col("upto") - F.col("n")).cast("long")
+    return placed.crossJoin(F.broadcast(total)).select("some", "value", F.floor(before * (1 << bits) / F.col("total")).cast("int").alias("place"))
 
 
 def key_udf(bits: int, tail: int):
