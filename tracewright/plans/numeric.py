@@ -28,6 +28,7 @@ from ..functions import stats
 from ..operators.ordered import runs
 from ..result import TechniqueResult, findings_from_rows, findings_of, technique, union
 from . import process, trends
+from .extras import project_id
 
 SAMPLE = 50
 

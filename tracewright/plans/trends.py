@@ -181,9 +181,9 @@ def capability(points: DataFrame, lower: float, upper: float) -> DataFrame:
 @technique("spc-control-charts", needs=("sessions", "messages", "tool_results"))
 def spc_control_charts(frames: Frames) -> TechniqueResult:
     """Individuals charts, zone rule and CUSUM over sessions in time order."""
-    rows = control_series(frames)
+    rows = control_series(frames).persist()  # a few numbers a session, read for each chart
     metrics = ("correction_rate", "tool_error_rate", "assistant_len")
-    points = {m: in_order(rows, m) for m in metrics}
+    points = {m: in_order(rows, m).persist() for m in metrics}
     tag = lambda df, m: df.withColumn("metric", F.lit(m))
     limits = union(*(tag(control_limits(p), m) for m, p in points.items())).select("metric", "mean", "ucl", "lcl", "mr_bar")
     ooc = union(*(tag(out_of_control(p), m) for m, p in points.items()))
