@@ -50,12 +50,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     Sources are numbered and their caps and weights summed in intervals, so their
     number does not matter.
     """
-    named = numbered(sizes, "source", [F.col("source").asc_nulls_last()], "nth")
+    named = materialize(numbered(sizes, "source", [F.col("source").asc_nulls_last()], "nth"), "mix-names")
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
     sized = named.withColumn("w", w).withColumn("cap", (F.col("source_size") * epochs).cast("double"))
     sized = sized.withColumn("level", F.col("cap") / F.col("w"))
-    sized = numbered(sized, "level", ["level", F.col("source").asc_nulls_last()], "place")
-    sized = scans(sized, "place", sums={"caps": F.col("cap"), "ws": F.col("w")})
+    sized = materialize(numbered(sized, "level", ["level", F.col("source").asc_nulls_last()], "place"), "mix-levels")
+    sized = materialize(scans(sized, "place", sums={"caps": F.col("cap"), "ws": F.col("w")}), "mix-sums")
     total = sizes.agg(F.sum("source_size").cast("double").alias("budget")).crossJoin(sized.agg(F.sum("w").alias("all_w")))
     sized = sized.crossJoin(F.broadcast(total))  # one row
     sized = sized.withColumn("water", (F.col("budget") - (F.col("caps") - F.col("cap"))) / (F.col("all_w") - F.col("ws") + F.col("w")))

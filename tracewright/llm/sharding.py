@@ -74,7 +74,8 @@ def quantised(docs: DataFrame, column: str, bits: int) -> DataFrame:
     some = F.col(column).isNotNull()
     each = docs.groupBy(some.alias("some"), F.coalesce(column, F.lit("")).alias("value")).agg(F.count("*").alias("n"))
     each = materialize(each.withColumn("by", F.concat(F.col("some").cast("int").cast("string"), "value")), f"counts-{column}")
-    placed = scans(numbered(each, "by", ["by"], "nth"), "nth", sums={"upto": F.col("n")})
+    placed = materialize(numbered(each, "by", ["by"], "nth"), f"numbers-{column}")
+    placed = scans(placed, "nth", sums={"upto": F.col("n")})
     total = each.agg(F.sum("n").alias("total"))  # one row
     before = (F.col("upto") - F.col("n")).cast("long")
     return placed.crossJoin(F.broadcast(total)).select("some", "value", F.floor(before * (1 << bits) / F.col("total")).cast("int").alias("place"))
