@@ -1153,11 +1153,6 @@ union all {_words_sql({"sessions_with_corrections": "w"}, "a")}""",
 {_pairs_sql({"total_events": _N("n"), "unique_activities": "1.0::double", "dfg_edges": "1.0::double", "top_correction_predecessor": "null::double"}, "a")} union all {_words_sql({"most_common_activity": "'other'", "top_rework_activity": "'other'"}, "a")}""",
     "thinking-divergence": f"""with a as (select count(distinct conv_id) as n from conversations)
 {_pairs_sql({"sessions_analyzed": _N("n"), "analyzed_unknown_sessions": _N("n"), **dict.fromkeys(("suppression_rate", "divergence_ratio", "sessions_with_thinking", "messages_with_both", "total_risk_tokens", "suppressed_tokens", "skipped_redacted_sessions", "analyzed_visible_sessions"), "0.0::double")}, "a")}""",
-    "spc-control-charts": f"""with ss as (select user_id, min(ts) as t, avg((event_type = 'error')::int) as value from events group by user_id having count(*) >= 20),
-p as (select row_number() over (order by t, user_id) - 1 as i, value, abs(value - lag(value) over (order by t, user_id)) as mr from ss), lim as (select avg(value) as mean, coalesce(avg(mr), 0) as mr_bar from p),
-z as (select i, sum((value - mean > 2 * mr_bar / 1.128)::int) over w as up, sum((mean - value > 2 * mr_bar / 1.128)::int) over w as dn, count(*) over w as n from p, lim where mr_bar > 0 window w as (order by i rows between 1 preceding and 1 following)),
-a as (select (select count(*) from p) as n, (select count(*) from p, lim where value > mean + 2.66 * mr_bar or value < greatest(0, mean - 2.66 * mr_bar)) as far, (select count(*) from z where n = 3 and greatest(up, dn) >= 2) as two)
-{_pairs_sql({"sessions_analyzed": _N("n"), "correction_rate_mean": "case when n > 0 then 0.0::double end", "correction_rate_ucl": "case when n > 0 then 0.0::double end", "correction_rate_ooc_count": "0.0::double", "tool_error_rate_ooc_count": _N("far"), "assistant_len_ooc_count": "0.0::double", "cusum_first_alarm_index": "null::double", "rule2_violations": _N("two")}, "a")}""",
     "echo": "select 'session_count' as label, count(distinct conv_id)::double as number, null::varchar as text from conversations",
     "user-signal-analysis": f"""with {SIGNALS.replace("select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as msg_idx from documents where text is not null", "select conv_id as doc_id, text, turn as msg_idx from conversations where role = 'user'")},
 f as (select *, coalesce((score < lag(score) over w)::int, 0) as fall from ok window w as (partition by session_key order by msg_idx)), r as (select *, sum(fall) over (partition by session_key order by msg_idx) as run from f),
