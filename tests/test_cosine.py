@@ -67,7 +67,7 @@ def shuffled(spark, run):
     return sum(n for k, n in stages().items() if k not in before)
 
 
-@pytest.mark.parametrize("query", [corpus.similar_documents])
+@pytest.mark.parametrize("query", [corpus.similar_documents, corpus.similarity_links])
 def test_pairs_are_not_shuffled(spark, query):
     """Tables of candidate pairs and of their terms filled the disk."""
     some = texts(90)
