@@ -1007,7 +1007,7 @@ select cause, effect, k as sessions, round(least(1, t * count(*) over ()), 6) as
 def _(spark, d):
     """Surrogate p values from the events' values."""
     e = read(spark, d, "events")
-    p = (F.round(F.col("value") * 100).cast("bigint") % 1000 + 0.5) / 1000
+    p = (F.rint(F.col("value") * 100).cast("bigint") % 1000 + 0.5) / 1000  # ties to even, as the SQL's cast
     return numeric.fisher_combined(e.select(F.col("event_type").alias("cause"), F.concat(F.lit("u"), F.col("user_id") % 150).alias("effect"), p.alias("p")))
 
 

@@ -18,7 +18,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -334,20 +334,41 @@ def granger_pairs(features: DataFrame, series=SERIES) -> DataFrame:
     return features.groupBy("session_key").applyInPandas(test, "session_key string, cause string, effect string, p double")
 
 
+def poisson_below(k: Column, mean: Column) -> Column:
+    """P(X < k) of a Poisson variable, for whole k of 1 or more and a positive mean.
+
+    The largest of the k terms comes from Loader's form, which keeps its digits for
+    any mean; the others follow outwards by their ratios, as far as they are above
+    e^-50 of it: some 24 square roots of the mean, however large k is.
+    """
+    top = F.least(k.cast("bigint") - 1, F.floor(mean))
+    reach = F.ceil(12 * F.sqrt(mean) + 64)
+    x = F.greatest(top, F.lit(1)).cast("double")
+    over = (mean - x) / x
+    stirling = 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    largest = F.when(top < 16, top * F.log(mean) - mean - F.log(F.factorial(F.least(top, F.lit(16)).cast("int")).cast("double")))
+    largest = largest.otherwise(-x * (over - F.log1p(over)) - F.log(2 * math.pi * x) / 2 - stirling)
+
+    def outwards(steps: Column, ratio) -> Column:
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), steps), start, lambda acc, j: F.struct((acc["term"] * ratio(j)).alias("term"), (acc["total"] + acc["term"]).alias("total")), lambda acc: acc["total"])
+
+    down = outwards(F.least(top, reach), lambda j: (top - j) / mean)
+    up = outwards(F.least(k.cast("bigint") - 1 - top, reach), lambda j: mean / (top + j + 1))
+    return F.least(F.lit(1.0), F.exp(largest) * (down + up - 1))
+
+
 def fisher_combined(pairs: DataFrame) -> DataFrame:
     """Fisher's combination over sessions with Bonferroni's factor, in SQL.
 
-    With 2k degrees of freedom the tail of chi-squared is a Poisson sum, taken in
-    logarithms; from 200 sessions on by its normal approximation (Wilson-Hilferty).
+    With 2k degrees of freedom the tail of chi-squared is a Poisson sum, which is
+    taken exactly for any number of sessions.  A null p counts as a session and
+    adds nothing to the sum.
     """
-    by = pairs.groupBy("cause", "effect").agg(F.count("*").alias("k"), (-F.sum(F.log(F.greatest("p", F.lit(1e-300))))).alias("half"))
-    log_term = lambda i: i * F.log(F.col("half")) - F.when(i > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(i, F.lit(2))), F.lit(0.0), lambda acc, j: acc + F.log(j.cast("double")))).otherwise(0.0)
-    exact = F.aggregate(F.sequence(F.lit(0), (F.least("k", F.lit(200)) - 1).cast("int")), F.lit(0.0), lambda acc, i: acc + F.exp(log_term(i) - F.col("half")))
-    df = 2.0 * F.col("k")
-    z = (F.pow(2 * F.col("half") / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    normal = 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
-    p = F.when(F.col("half") <= 0, 1.0).when(F.col("k") <= 200, F.least(F.lit(1.0), exact)).otherwise(normal)
-    return by.select("cause", "effect", F.col("k").alias("sessions"), F.least(F.lit(1.0), p * F.count("*").over(W.partitionBy())).alias("p_corrected"))
+    log = F.when(F.col("p").isNotNull(), F.log(F.greatest("p", F.lit(1e-300))))
+    by = pairs.groupBy("cause", "effect").agg(F.count("*").alias("k"), F.greatest(-F.sum(log), F.lit(1e-300)).alias("half"))
+    by = by.withColumn("tail", poisson_below(F.col("k"), F.col("half")))
+    return by.select("cause", "effect", F.col("k").alias("sessions"), F.least(F.lit(1.0), F.col("tail") * F.count("*").over(W.partitionBy())).alias("p_corrected"))
 
 
 @technique("granger-causality", needs=("messages", "tool_calls", "tool_results"))
