@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.operators import cosine
@@ -74,3 +76,14 @@ def test_pairs_are_not_shuffled(spark, query):
     docs = spark.createDataFrame([(d, f"{some[d % 90][1]} own{chr(97 + d // 90)}") for d in range(450)], "doc_id bigint, text string")
     assert corpus.similar_documents(docs).count() > 10_000
     assert shuffled(spark, lambda: query(docs).foreach(lambda _: None)) < 5_000
+
+
+def test_blocks_hold_documents_of_one_vocabulary():
+    """Blocks of mixed languages left most terms dense; the most frequent word does not tell languages apart."""
+    r = random.Random(3)
+    words = [[f"{w}{a}{b}" for a in "abcdef" for b in "abcdef"] for w in ("x", "y")]
+    docs = [(d, " ".join(["same"] * (9 if d % 3 else 0) + r.choices(words[d % 2], k=40))) for d in range(128)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    blocks = [b["ids"][0].as_py() for b in cosine._packed(iter([batch]), corpus.WORD, pa.int64(), 16)]
+    assert sorted(d for b in blocks for d in b) == list(range(128))
+    assert sum(len({d % 2 for d in b}) > 1 for b in blocks) <= 1
