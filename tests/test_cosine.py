@@ -87,3 +87,18 @@ def test_blocks_hold_documents_of_one_vocabulary():
     blocks = [b["ids"][0].as_py() for b in cosine._packed(iter([batch]), corpus.WORD, pa.int64(), 16)]
     assert sorted(d for b in blocks for d in b) == list(range(128))
     assert sum(len({d % 2 for d in b}) > 1 for b in blocks) <= 1
+
+
+def test_links_in_single_precision_are_exact(spark, monkeypatch):
+    """Links were counted in double precision throughout; what single precision leaves open is summed again."""
+    whole = cosine.blocks(spark.createDataFrame(texts(90), "doc_id bigint, text string"), corpus.WORD)[0].toArrow()
+    x, y = (kind(lambda k: whole[k][0]) for kind in (cosine.Documents, cosine.Terms))
+    kinds, rows = set(), cosine.Product.rows
+    monkeypatch.setattr(cosine.Product, "rows", lambda self, a, b, kind: kinds.add(kind) or rows(self, a, b, kind))
+    exact = cosine.Product(x, y).rows(0, x.n, float)[np.triu_indices(x.n, 1)]
+    kinds.clear()
+    for c in np.sort(exact[exact > 0.1])[::40]:
+        for least in (c - 1e-12, c + 1e-12):
+            of_x, of_y = cosine._links(x, y, least, True)
+            assert of_x.sum() == of_y.sum() == np.count_nonzero(exact > least)
+    assert kinds == {np.float32}
